@@ -1,0 +1,33 @@
+"""Size checks that choose between a plan for small inputs and one for inputs of any size.
+
+The size is Catalyst's own estimate of the optimised plan (file sizes scaled by the projected columns;
+joins multiply, so it errs on the large side). No job runs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+ONE_TASK_BYTES = 64 * 1024 * 1024
+EXACT_BUFFER_BYTES = 256 * 1024 * 1024
+
+_ONE_TASK_KEY = "spark.grainmill.oneTaskBytes"
+_EXACT_BUFFER_KEY = "spark.grainmill.exactBufferBytes"
+
+
+def plan_bytes(df: DataFrame) -> int:
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def _limit(df: DataFrame, key: str, default: int) -> int:
+    return int(df.sparkSession.conf.get(key, str(default)))
+
+
+def fits_one_task(df: DataFrame) -> bool:
+    """True when the whole frame may safely be sorted inside one task."""
+    return plan_bytes(df) <= _limit(df, _ONE_TASK_KEY, ONE_TASK_BYTES)
+
+
+def fits_exact_buffers(df: DataFrame) -> bool:
+    """True when an aggregate that buffers every distinct value of a group stays within one task's memory."""
+    return plan_bytes(df) <= _limit(df, _EXACT_BUFFER_KEY, EXACT_BUFFER_BYTES)
