@@ -14,7 +14,7 @@ from grainmill.functions.dates import years_before
 from grainmill.functions.numbers import ratio
 from grainmill.functions.stats import regression
 from grainmill.operators.quantiles import aggregate_with_quantiles, quantiles
-from grainmill.operators.ranking import add_average_rank
+from grainmill.operators.ranking import add_average_rank, percent_ranks
 from grainmill.operators.series import period_return, rebase, rolling, running_max
 from grainmill.operators.values import mode_by
 
@@ -156,8 +156,7 @@ def scorecard(measures: DataFrame, key: str) -> DataFrame:
     Lower expense is better; drawdown is negative, so higher is better. Rows missing a measure are left out.
     """
     rows = measures.dropna(subset=list(SCORE_WEIGHTS))
-    for name in SCORE_WEIGHTS:
-        rows = add_average_rank(rows, name, f"{name}_pct", descending=name == "expense", percent=True)
+    rows = percent_ranks(rows, key, {name: name == "expense" for name in SCORE_WEIGHTS})
     score = sum((F.lit(weight) * F.col(f"{name}_pct") for name, weight in SCORE_WEIGHTS.items()), F.lit(0.0)) * 100
     # A fixed number of digits makes equal scores tie, whatever the order of the additions.
     rows = rows.withColumn("final_score", F.round(score, 9))

@@ -36,6 +36,25 @@ def average_rank(
     return F.when(present, value)
 
 
+def percent_ranks(df: DataFrame, key: str, columns: dict[str, bool]) -> DataFrame:
+    """Key plus `<column>_pct` for each `{column: descending}`. One row per key, all measures present.
+
+    Small frames are unpivoted so that every measure shares the same two windows.
+    """
+    if not fits_one_task(df):
+        rows = df
+        for name, descending in columns.items():
+            rows = _ranged(rows, name, f"{name}_pct", descending, percent=True)
+        return rows.select(key, *[f"{name}_pct" for name in columns])
+    cells = [
+        F.struct(F.lit(name).alias("m"), (-F.col(name) if descending else F.col(name)).cast("double").alias("v"))
+        for name, descending in columns.items()
+    ]
+    long = df.select(key, F.explode(F.array(*cells)).alias("c")).select(key, "c.m", "c.v")
+    ranked = long.withColumn("r", average_rank(F.col("v"), ["m"], percent=True))
+    return ranked.groupBy(key).agg(*[F.max(F.when(F.col("m") == n, F.col("r"))).alias(f"{n}_pct") for n in columns])
+
+
 def _ranged(df: DataFrame, column: str, name: str, descending: bool, percent: bool) -> DataFrame:
     sign = -1.0 if descending else 1.0
     keyed = df.withColumn("_x", F.col(column).cast("double") * F.lit(sign))

@@ -25,6 +25,7 @@ def local_session(cores: int | str = "*", app: str = "grainmill") -> SparkSessio
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
         "spark.log.level": "ERROR",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     for key, value in settings.items():
         builder = builder.config(key, value)

@@ -61,3 +61,13 @@ def query(name: str, sql: str | None = None):
 def fx(expression: str, digits: int) -> str:
     """SQL twin of `numbers.fixed`."""
     return f"(floor(({expression}) * 1e{digits} + 0.5001) / 1e{digits})"
+
+
+def missing_sql(source: str, columns: list[str]) -> str:
+    """SQL for rows (column, missing, missing_pct) of a table expression."""
+    parts = [
+        f"""SELECT '{c}' AS "column", COUNT(*) FILTER (WHERE {c} IS NULL) AS missing,
+        {fx(f'COUNT(*) FILTER (WHERE {c} IS NULL) * 100.0 / COUNT(*)', 5)} AS missing_pct FROM {source}"""
+        for c in columns
+    ]
+    return " UNION ALL ".join(parts)
