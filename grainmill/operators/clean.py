@@ -538,8 +538,9 @@ def drop_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def clean_value_series(df: DataFrame, key: str, moment: str, value: str) -> Cleaned:
     """Dated values per key: parse dates, drop copies, carry the last value forward, keep values over zero.
 
-    After the copies are gone a key has one row per date and distinct value, so a key's series is bounded by the
-    calendar and the fill may run as a window per key.
+    Within a date the largest value counts as the last. The fill runs on one row per key and date, cut into stretches
+    (`ordered.fill`), and comes back by join, so no key is gathered whole. Rows without a date cannot be placed and are
+    not filled.
     """
     parsed = df.withColumns(
         {
@@ -548,11 +549,10 @@ def clean_value_series(df: DataFrame, key: str, moment: str, value: str) -> Clea
         }
     )
     unique = dedup.drop_duplicates(parsed)
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(key).orderBy(F.col(moment).asc_nulls_last(), F.col(value).asc_nulls_last())
-    carried = F.last(value, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    filled = unique.withColumn("_raw", F.col(value)).withColumn(value, carried)
+    per_date = unique.where(F.col(moment).isNotNull()).groupBy(key, moment).agg(F.max(value).alias("_carried"))
+    carried = ordered.fill(per_date, ["_carried"], moment, [key])
+    filled = unique.join(carried, [key, moment], "left").withColumn(value, F.coalesce(value, "_carried"))
+    filled = filled.select(*df.columns)
     source = df.agg(
         F.struct(F.count(F.lit(1)).alias("n"), count_if(F.col(value).isNull()).alias("missing")).alias("s")
     ).scalar()
@@ -564,7 +564,7 @@ def clean_value_series(df: DataFrame, key: str, moment: str, value: str) -> Clea
         count_if(F.col(value).isNull()).alias("missing_after_fill"),
         count_if(F.col(value) <= 0).alias("invalid_values"),
     )
-    return Cleaned(filled.where(F.col(value) > 0).drop("_raw"), metrics)
+    return Cleaned(filled.where(F.col(value) > 0), metrics)
 
 
 def standard_kind(c: Column, synonyms: dict[str, str]) -> Column:

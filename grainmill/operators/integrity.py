@@ -22,12 +22,8 @@ def candidate_keys(df: DataFrame, words: Sequence[str] = KEY_WORDS) -> list[str]
 
 
 def find_column(df: DataFrame, words: Sequence[str]) -> str | None:
-    """First column whose name contains one of the words, words tried in order."""
-    for word in words:
-        for c in df.columns:
-            if word in c.lower():
-                return c
-    return None
+    """First column, in table order, whose name contains one of the words."""
+    return next((c for c in df.columns if any(w in c.lower() for w in words)), None)
 
 
 def inventory(tables: Mapping[str, DataFrame], words: Sequence[str] = KEY_WORDS) -> DataFrame:
