@@ -182,7 +182,7 @@ def _(t):
     return inspect.date_outliers(rows, NOW).select(*SHORT)
 
 
-@query("n15_plan_from_findings", f"""{O} SELECT DISTINCT id, CASE WHEN id < 0 THEN 'x' ELSE STRFTIME({sql_date('order_date')}, '%Y-%m-%d') END AS order_date FROM dirty""")
+@query("n15_plan_from_findings", f"""{O} SELECT DISTINCT id, STRFTIME({sql_date('order_date')}, '%Y-%m-%d') AS order_date FROM dirty""")
 def _(t):
     rows = dirty_orders(t).select("id", "order_date")
     return apply_plan(rows, build_plan(inspect.duplicates(rows).unionByName(inspect.text_types(rows)))).df

@@ -12,7 +12,6 @@ from grainmill.workloads.fixtures import (
     dirty_customer,
     dirty_orders,
     sql_date,
-    sql_number,
     sql_strip,
 )
 from grainmill.workloads.registry import fx, query
@@ -59,10 +58,10 @@ def _near_sql() -> str:
     for c in ORDER_COLUMNS:
         rest = ", ".join(x for x in ORDER_COLUMNS if x != c)
         parts.append(f"""SELECT '{c}' AS "column", {total} - (SELECT COUNT(*) FROM (SELECT DISTINCT {rest} FROM dirty)) - {exact} AS near_duplicates""")
-    return f"{O} " + " UNION ALL ".join(parts)
+    return " UNION ALL ".join(parts)
 
 
-@query("d04_near_duplicates", _near_sql())
+@query("d04_near_duplicates", f"{O} {_near_sql()}")
 def _(t):
     return near_duplicate_count(dirty_orders(t))
 
@@ -157,9 +156,9 @@ def _(t):
     return profile.issues(hollow(t)).where("id = 'empty_columns'").select("column", "affected_count")
 
 
-@query("d15_repeated_header", "SELECT 'duplicate_columns' AS id, CAST(2 AS BIGINT) AS affected_count FROM nation LIMIT 1")
+@query("d15_repeated_header", "SELECT 'duplicate_columns' AS id, CAST(2 AS BIGINT) AS affected_count FROM customer LIMIT 1")
 def _(t):
-    rows = profile.issues(t.nation, header=["key", "name", "key", "name.1"])
+    rows = profile.issues(t.customer, header=["key", "name", "nation", "key", "name.1"])
     return rows.where("id = 'duplicate_columns'").select("id", "affected_count")
 
 
@@ -196,10 +195,8 @@ def _(t):
 # The same issues written out in SQL for a table with few columns.
 ISSUES = f"""{O}, n AS (SELECT COUNT(*) AS n FROM dirty),
 dup AS (SELECT n - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM dirty)) AS d FROM n),
-near AS (SELECT SUM(CASE WHEN near_duplicates > 0 THEN near_duplicates ELSE 0 END) AS d FROM ({_near_sql().split(' ', 1)[1].split('FROM orders o, UNNEST(RANGE(CASE WHEN o.o_orderkey % 20 = 0 THEN 2 ELSE 1 END)) u(i)) ', 1)[1]})),
+near AS (SELECT SUM(CASE WHEN near_duplicates > 0 THEN near_duplicates ELSE 0 END) AS d FROM ({_near_sql()})),
 q AS (SELECT QUANTILE_CONT(amount, 0.25) AS q1, QUANTILE_CONT(amount, 0.75) AS q3 FROM dirty),
-qc AS (SELECT QUANTILE_CONT(customer, 0.25) AS q1, QUANTILE_CONT(customer, 0.75) AS q3 FROM dirty),
-qi AS (SELECT QUANTILE_CONT(id, 0.25) AS q1, QUANTILE_CONT(id, 0.75) AS q3 FROM dirty),
 i AS (
   SELECT 'duplicate_rows' AS id, NULL AS col, CASE WHEN d * 100.0 / n > 20 THEN 'critical' ELSE 'warning' END AS severity, d AS c, d * 100.0 / n AS pct FROM dup, n
   UNION ALL SELECT 'near_duplicates', NULL, 'warning', d, d * 100.0 / n FROM near, n
@@ -252,24 +249,42 @@ def _(t):
     return profile.compare_health(profile.issues(rows), profile.issues(remove_duplicates(rows).df))
 
 
+def _type_sql(column: str, source: str) -> str:
+    """The type decision of one text column."""
+    low = f"LOWER({sql_strip(column)})"
+    date = f"COALESCE(TRY_STRPTIME({column}, '%Y/%m/%d'), TRY_STRPTIME({column}, '%Y-%m-%d'))"
+    bools = "('true', 'false', 'yes', 'no', 't', 'f', 'y', 'n', '1', '0', '1.0', '0.0')"
+    number = f"TRY_CAST({sql_strip(column)} AS DOUBLE)"
+    marked = f"BOOL_OR(regexp_matches({column}, '[-/:]'))"
+    return f"""SELECT '{column}' AS "column", CASE WHEN COUNT({column}) = 0 THEN 'empty'
+      WHEN COUNT(*) FILTER (WHERE {low} IN {bools}) = COUNT({column}) THEN 'boolean'
+      WHEN COUNT({number}) = COUNT({column}) THEN 'number'
+      WHEN {marked} AND COUNT({date}) = COUNT({column}) THEN 'date' WHEN COUNT({number}) > 0 THEN 'mixed'
+      WHEN {marked} AND COUNT({date}) > 0 THEN 'mixed' ELSE 'text' END AS detected FROM {source}"""
+
+
 @query(
     "p01_detected_types",
-    """SELECT * FROM (VALUES ('id', 'number'), ('name', 'text'), ('segment', 'text'), ('balance', 'text'), ('email', 'text'),
-    ('phone', 'text'), ('active', 'mixed'), ('age', 'number'), ('amount', 'number')) v("column", detected)""",
+    f"{C} " + " UNION ALL ".join(_type_sql(c, "dirty") for c in TEXTS)
+    + "".join(f""" UNION ALL SELECT '{c}', CASE WHEN COUNT({c}) = 0 THEN 'empty' ELSE 'number' END FROM dirty""" for c in ("id", "age", "amount")),
 )
 def _(t):
     return profile.detected_types(dirty_customer(t)).select("column", "detected")
 
 
+TYPED = """typed AS (SELECT STRFTIME(o_orderdate, '%Y/%m/%d') AS day, CASE WHEN o_orderstatus = 'F' THEN 'Yes' ELSE 'no' END AS flag,
+  CAST(o_orderkey AS VARCHAR) AS tally, CAST(NULL AS VARCHAR) AS hollow FROM orders)"""
+
+
 @query(
     "p01_detected_date_and_boolean",
-    """SELECT * FROM (VALUES ('day', 'date'), ('flag', 'boolean'), ('count', 'number'), ('hollow', 'empty')) v("column", detected)""",
+    f"WITH {TYPED} " + " UNION ALL ".join(_type_sql(c, "typed") for c in ("day", "flag", "tally", "hollow")),
 )
 def _(t):
     rows = t.orders.select(
         F.date_format("o_orderdate", "yyyy/MM/dd").alias("day"),
         F.when(F.col("o_orderstatus") == "F", F.lit("Yes")).otherwise(F.lit("no")).alias("flag"),
-        F.col("o_orderkey").cast("string").alias("count"),
+        F.col("o_orderkey").cast("string").alias("tally"),
         F.lit(None).cast("string").alias("hollow"),
     )
     return profile.detected_types(rows).select("column", "detected")
@@ -294,10 +309,17 @@ def _(t):
     return profile.column_report(rows, profile.issues(rows)).drop("missing_pct")
 
 
+def _text_role(c: str) -> str:
+    words = rf"LENGTH(REGEXP_SPLIT_TO_ARRAY({sql_strip(c)}, '[ \t\n\x0B\f\r]+'))"
+    return f"""SELECT '{c}' AS "column", CASE WHEN AVG({words}) > 3 OR (AVG(LENGTH({sql_strip(c)})) > 30
+      AND COUNT(DISTINCT {c}) > 0.5 * COUNT(*)) THEN 'text' ELSE 'categorical' END AS role FROM documents"""
+
+
 @query(
     "p03_classify_columns",
-    """SELECT * FROM (VALUES ('doc_id', 'identifier'), ('text', 'text'), ('lang', 'categorical'), ('source', 'categorical'),
-    ('n_chars', 'numeric')) v("column", role)""",
+    " UNION ALL ".join(_text_role(c) for c in ("text", "lang", "source"))
+    + """ UNION ALL SELECT 'doc_id', CASE WHEN COUNT(DISTINCT doc_id) >= 0.9 * COUNT(*) THEN 'identifier' ELSE 'numeric' END FROM documents
+    UNION ALL SELECT 'n_chars', 'numeric' FROM documents GROUP BY 2""",
 )
 def _(t):
     return profile.classify_columns(t.documents)
@@ -369,5 +391,3 @@ def _(t):
 def _(t):
     return duplicate_count(dirty_customer(t), ["segment", "active"])
 
-
-_ = sql_number
