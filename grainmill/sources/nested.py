@@ -65,10 +65,14 @@ def explode_children(df: DataFrame, child: str) -> DataFrame:
     return flatten(rows.select(*names, "_child.*"))
 
 
-def read_records(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """JSON files to a flat table: root list, children when the nesting is deep, dotted names."""
+def read_records(spark: SparkSession, path: str, multi_line: bool = True, root_list: bool = True) -> DataFrame:
+    """JSON files to a flat table: children when the nesting is deep, dotted names.
+
+    With `root_list` a file is one document whose first list holds the records; without it (JSON lines, or a file
+    that is a list) every object is a record.
+    """
     document = spark.read.option("multiLine", multi_line).json(path)
-    rows = records(document)
+    rows = records(document) if root_list else document
     lists = [c for c in child_lists(rows) if "." not in c]
     if depth(rows.schema) >= 3 and lists:
         return explode_children(rows, lists[0])

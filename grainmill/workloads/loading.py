@@ -403,7 +403,7 @@ def _(t):
     # Orders of a customer are spread over documents, so that no document holds an unbounded list.
     grouped = t.orders.groupBy(F.col("o_custkey").alias("customer"), F.year("o_orderdate").alias("_y"), F.month("o_orderdate").alias("_m"))
     grouped.agg(F.collect_list(child).alias("orders")).drop("_y", "_m").write.json(path)
-    return nested.read_records(t.spark, path, multi_line=False)
+    return nested.read_records(t.spark, path, multi_line=False, root_list=False)
 
 
 @query("s12_nesting_depth", "SELECT COUNT(*) AS documents, 3 AS depth, 'orders' AS lists FROM (SELECT DISTINCT o_custkey, YEAR(o_orderdate), MONTH(o_orderdate) FROM orders)")
