@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from grainmill.functions.stats import correlation, count_if, skew, skew_label, sum_if
 from grainmill.functions.text import within_one_edit
-from grainmill.operators.quantiles import aggregate_with_quantiles, quantiles
+from grainmill.operators.quantiles import column_quantiles, quantiles
 from grainmill.operators.series import largest_gap
 from grainmill.operators.values import distinct_stats, top_values, value_counts
 
@@ -50,7 +50,7 @@ def missing_per_column(df: DataFrame, columns: Sequence[str] | None = None) -> D
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, deviation, extremes, quartiles and skew per numeric column, in one aggregate."""
+    """Count, mean, deviation, extremes, quartiles and skew per numeric column, in passes shared by all columns."""
     plain = {
         "count": lambda c: F.count(c),
         "missing": lambda c: count_if(F.col(c).isNull()),
@@ -60,15 +60,10 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         "max": lambda c: F.max(F.col(c).cast("double")),
         "skew": lambda c: skew(F.col(c)),
     }
-    points = {"q25": 0.25, "median": 0.5, "q75": 0.75}
-    wide = aggregate_with_quantiles(
-        df.select(*columns),
-        [],
-        [fn(c).alias(f"{c}|{name}") for c in columns for name, fn in plain.items()],
-        {f"{c}|{name}": (c, p) for c in columns for name, p in points.items()},
-    )
-    names = [*plain, *points]
-    return melt_row(wide, {c: {name: f"{c}|{name}" for name in names} for c in columns})
+    wide = df.agg(*[fn(c).alias(f"{c}|{name}") for c in columns for name, fn in plain.items()])
+    rows = melt_row(wide, {c: {name: f"{c}|{name}" for name in plain} for c in columns})
+    points = column_quantiles(df, columns, {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    return rows.join(points, "column", "left")
 
 
 def describe_texts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

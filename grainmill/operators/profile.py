@@ -23,7 +23,7 @@ from grainmill.functions.numbers import to_double
 from grainmill.functions.stats import count_if
 from grainmill.operators.dedup import near_duplicate_count
 from grainmill.operators.explore import melt_row, numeric_columns, similar_pairs, text_columns
-from grainmill.operators.quantiles import aggregate_with_quantiles
+from grainmill.operators.quantiles import column_quantiles
 
 # Name parts that give a column its role.
 DATE_WORDS = ("date", "time", "created", "updated")
@@ -118,29 +118,22 @@ def _column_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def outlier_counts(df: DataFrame, columns: Sequence[str] | None = None, reach: float = 1.5) -> DataFrame:
     """Per numeric column: quartile bounds and values outside; needs over five values and a spread."""
     columns = list(columns or numeric_columns(df))
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    points = {}
-    for c in columns:
-        points[f"{c}|q1"] = (c, 0.25)
-        points[f"{c}|q3"] = (c, 0.75)
-    quartiles = aggregate_with_quantiles(data, [], [F.count(F.lit(1)).alias("_rows")], points)
-    q = quartiles.select(F.struct(*[f"`{n}`" for n in points]).alias("q")).scalar()
-    aggregates, fields = [F.count(F.lit(1)).alias("rows")], {}
-    for c in columns:
-        q1, q3 = q.getField(f"{c}|q1"), q.getField(f"{c}|q3")
-        low, high = q1 - reach * (q3 - q1), q3 + reach * (q3 - q1)
-        fields[c] = {"rows": "rows"}
-        for name, value in {
-            "present": F.count(c),
-            "spread": F.first(q3 - q1),
-            "low": F.first(low),
-            "high": F.first(high),
-            "outside": count_if((F.col(c) < low) | (F.col(c) > high)),
-        }.items():
-            aggregates.append(value.alias(f"{c}|{name}"))
-            fields[c][name] = f"{c}|{name}"
-    rows = melt_row(data.agg(*aggregates), fields)
-    return rows.where((F.col("present") > 5) & (F.col("spread") > 0))
+    q = column_quantiles(df, columns, {"q1": 0.25, "q3": 0.75})
+    margin = reach * (F.col("q3") - F.col("q1"))
+    bounds = q.where(F.col("q3") > F.col("q1")).select(
+        "column", (F.col("q1") - margin).alias("low"), (F.col("q3") + margin).alias("high")
+    )
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns]
+    long = df.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+    # One row of bounds per column of the table, so the broadcast is bounded by its width.
+    rows = long.join(F.broadcast(bounds), "column").groupBy("column").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count("v").alias("present"),
+        F.first("low").alias("low"),
+        F.first("high").alias("high"),
+        count_if((F.col("v") < F.col("low")) | (F.col("v") > F.col("high"))).alias("outside"),
+    )
+    return rows.where(F.col("present") > 5)
 
 
 def value_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -1,12 +1,12 @@
 """Exact quantiles with linear interpolation, per group or over a whole table.
 
 Small inputs use Spark's `percentile`, whose buffer holds every distinct value of a group. Past the size limit
-of `sizing.EXACT_BUFFER_BYTES` the same exact result comes from two passes that never gather a group:
+of `sizing.EXACT_BUFFER_BYTES` the same exact result comes from passes that never gather a group:
 
 1. an approximate sketch brackets each wanted order statistic from both sides;
 2. values outside the bracket are only counted, values inside are counted per distinct value.
 
-Both passes combine map-side, and the final window sees about `8 / ACCURACY` of a group.
+All aggregates combine map-side, and the final window sees about `8 / accuracy` of a group.
 """
 
 from __future__ import annotations
@@ -16,10 +16,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from grainmill.sizing import fits_exact_buffers
+from grainmill.sizing import fits_exact_buffers, plan_bytes
 
-ACCURACY = 20_000
-MARGIN = 4.0 / ACCURACY
+# (plan size up to, accuracy of the sketch): a coarse sketch is cheaper and leaves a wider bracket to count.
+ACCURACIES = ((1 << 30, 2_000), (1 << 62, 20_000))
+
+
+def _accuracy(df: DataFrame) -> int:
+    size = plan_bytes(df)
+    return next((accuracy for limit, accuracy in ACCURACIES if size <= limit), ACCURACIES[-1][1])
 
 
 def quantiles(
@@ -35,12 +40,14 @@ def quantiles(
 
 
 def _bracketed(data: DataFrame, keys: list[str], probabilities: list[float], names: list[str]) -> DataFrame:
+    accuracy = _accuracy(data)
+    margin = 4.0 / accuracy
     cuts = []
     for p in probabilities:
-        cuts += [max(0.0, p - MARGIN), min(1.0, p + MARGIN)]
+        cuts += [max(0.0, p - margin), min(1.0, p + margin)]
     sketch = data.groupBy(*keys).agg(
         F.count("_v").alias("_n"),
-        F.percentile_approx("_v", [float(c) for c in cuts], ACCURACY).alias("_cut"),
+        F.percentile_approx("_v", [float(c) for c in cuts], accuracy).alias("_cut"),
     )
     present = data.where(F.col("_v").isNotNull())
     if keys:
@@ -49,31 +56,47 @@ def _bracketed(data: DataFrame, keys: list[str], probabilities: list[float], nam
         )
     else:
         one = sketch.select(F.struct("_n", "_cut").alias("_s")).scalar()
-        joined = present.select("_v", one.getField("_n").alias("_n"), one.getField("_cut").alias("_cut"))
-
-    v = F.col("_v")
-    marks = []
-    for i in range(len(probabilities)):
-        low, high = F.col("_cut")[2 * i], F.col("_cut")[2 * i + 1]
-        kept = F.when((v >= low) & (v <= high), v)
-        marks.append(F.when(v <= high, F.struct(F.lit(i).alias("i"), kept.alias("v"))))
+        joined = present.withColumn("_s", one).select("_v", F.col("_s._n").alias("_n"), F.col("_s._cut").alias("_cut"))
+
+    v, n_points = F.col("_v"), len(probabilities)
+    # In a small group one rank is more than the margin, so the whole group, a bounded number of rows, is the bracket.
+    small = F.col("_n") <= 5 * accuracy
+    lows = [F.when(small, F.lit(float("-inf"))).otherwise(F.col("_cut")[2 * i]) for i in range(n_points)]
+    highs = [F.when(small, F.lit(float("inf"))).otherwise(F.col("_cut")[2 * i + 1]) for i in range(n_points)]
+    below = joined.groupBy(*keys).agg(
+        F.first("_n").alias("_n"),
+        F.array(*[F.count(F.when(v < low, 1)) for low in lows]).alias("_below"),
+    )
+    # Only the few rows inside a bracket are expanded per probability.
+    inside = [(v >= low) & (v <= high) for low, high in zip(lows, highs)]
+    marks = [F.when(test, F.lit(i)) for i, test in enumerate(inside)]
     counted = (
-        joined.select(*keys, "_n", F.explode(F.array_compact(F.array(*marks))).alias("_m"))
-        .groupBy(*keys, "_n", F.col("_m.i").alias("_i"), F.col("_m.v").alias("_b"))
-        .agg(F.count(F.lit(1)).alias("_c"))
+        joined.where(reduce(lambda a, b: a | b, inside))
+        .select(*keys, "_v", F.explode(F.array_compact(F.array(*marks))).alias("_i"))
+        .groupBy(*keys, "_i", "_v")
+        .agg(F.count(F.lit(1)).alias("_cnt"))
     )
-    # Rows under the bracket carry a null value and sort first, so the running count is the overall rank.
-    order = Window.partitionBy(*keys, "_i").orderBy(F.col("_b").asc_nulls_first())
-    ranked = counted.withColumn("_upto", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    if keys:
+        counted = counted.join(below, [counted[k].eqNullSafe(below[k]) for k in keys]).select(
+            *[counted[k] for k in keys], "_i", "_v", "_cnt", "_n", "_below"
+        )
+    else:
+        base = below.select(F.struct("_n", "_below").alias("_s")).scalar()
+        counted = counted.withColumn("_s", base).select("_i", "_v", "_cnt", "_s._n", "_s._below")
+    order = Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.col("_below")[F.col("_i")] + F.sum("_cnt").over(order)
+    ranked = counted.withColumn("_upto", upto)
     target = F.element_at(F.array(*[F.lit(float(p)) for p in probabilities]), F.col("_i") + 1) * (F.col("_n") - 1)
     lower_rank = F.floor(target)
+    # The bracket's lower edge leaves fewer rows before it than the wanted rank, unless the sketch failed its bound.
     picked = ranked.groupBy(*keys, "_i").agg(
-        F.min(F.when(F.col("_upto") > lower_rank, F.coalesce("_b", F.lit(float("-inf"))))).alias("_lo"),
-        F.min(F.when(F.col("_upto") > F.ceil(target), F.coalesce("_b", F.lit(float("-inf"))))).alias("_hi"),
+        F.min(F.when(F.col("_upto") > lower_rank, F.col("_v"))).alias("_lo"),
+        F.min(F.when(F.col("_upto") > F.ceil(target), F.col("_v"))).alias("_hi"),
         F.first(target - lower_rank).alias("_f"),
+        F.first(F.col("_below")[F.col("_i")] <= lower_rank).alias("_ok"),
     )
-    inside = F.col("_lo").isNotNull() & F.col("_hi").isNotNull() & (F.col("_lo") > float("-inf"))
-    exact = F.when(inside, F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).otherwise(
+    sound = F.col("_lo").isNotNull() & F.col("_hi").isNotNull() & F.col("_ok")
+    exact = F.when(sound, F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).otherwise(
         F.raise_error(F.lit("quantile fell outside its bracket")).cast("double")
     )
     wide = picked.withColumn("_x", exact).groupBy(*keys).agg(
@@ -102,20 +125,34 @@ def aggregate_with_quantiles(
         extra = [F.percentile(F.col(c).cast("double"), F.lit(float(p))).alias(name) for name, (c, p) in wanted.items()]
         return df.groupBy(*keys).agg(*aggregates, *extra)
     base = df.groupBy(*keys).agg(*aggregates)
-    by_column: dict[str, list[tuple[str, float]]] = {}
-    for name, (c, p) in wanted.items():
-        by_column.setdefault(c, []).append((name, p))
-    parts = [
-        quantiles(df, keys, c, [p for _, p in pairs], [name for name, _ in pairs]) for c, pairs in by_column.items()
-    ]
-    return reduce(lambda left, right: _attach(left, right, keys), parts, base)
-
-
-def _attach(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    names = [c for c in right.columns if c not in keys]
+    points = sorted({p for _, p in wanted.values()})
+    names = [f"_p{i}" for i in range(len(points))]
+    long = quantiles(_long(df, keys, dict.fromkeys(c for c, _ in wanted.values())), [*keys, "_c"], "_v", points, names)
+    wide = long.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_c") == c, F.col(names[points.index(p)]))).alias(name) for name, (c, p) in wanted.items()]
+    )
     if not keys:
-        one = right.select(F.struct(*names).alias("_s")).scalar()
-        return left.select("*", *[one.getField(n).alias(n) for n in names])
-    return left.join(right, [left[k].eqNullSafe(right[k]) for k in keys]).select(
-        *[left[c] for c in left.columns], *[right[n] for n in names]
+        one = base.withColumn("_q", wide.select(F.struct(*wanted).alias("q")).scalar())
+        return one.select(*base.columns, *[F.col("_q")[name].alias(name) for name in wanted])
+    return base.join(wide, [base[k].eqNullSafe(wide[k]) for k in keys]).select(
+        *[base[c] for c in base.columns], *[wide[name] for name in wanted]
     )
+
+
+def column_quantiles(df: DataFrame, columns: Sequence[str], wanted: dict[str, float]) -> DataFrame:
+    """One row per column (`column`, then one value per name): all columns share the same passes."""
+    points = list(wanted.values())
+    if fits_exact_buffers(df.select(*columns)):
+        q = F.array(*[F.lit(float(p)) for p in points])
+        wide = df.agg(*[F.percentile(F.col(c).cast("double"), q).alias(c) for c in columns])
+        cells = [F.struct(F.lit(c).alias("column"), F.col(c).alias("q")) for c in columns]
+        rows = wide.select(F.explode(F.array(*cells)).alias("x"))
+        return rows.select("x.column", *[F.col("x.q")[i].alias(name) for i, name in enumerate(wanted)])
+    rows = quantiles(_long(df, [], columns), ["_c"], "_v", points, list(wanted))
+    return rows.withColumnRenamed("_c", "column")
+
+
+def _long(df: DataFrame, keys: Sequence[str], columns) -> DataFrame:
+    cells = [F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns]
+    rows = df.select(*keys, F.explode(F.array(*cells)).alias("_x"))
+    return rows.select(*keys, F.col("_x.c").alias("_c"), F.col("_x.v").alias("_v"))

@@ -62,7 +62,8 @@ def _ranged(df: DataFrame, column: str, name: str, descending: bool, percent: bo
         F.percentile_approx("_x", [i / RANGES for i in range(1, RANGES)], 100 * RANGES).alias("_b")
     ).scalar()
     counts = keyed.where(F.col("_x").isNotNull()).groupBy("_x").agg(F.count(F.lit(1)).alias("_c"))
-    ranged = counts.withColumn("_r", F.size(F.filter(bounds, lambda b: b < F.col("_x"))))
+    bounded = counts.withColumn("_bounds", bounds)
+    ranged = bounded.select("_x", "_c", F.size(F.filter("_bounds", lambda b: b < F.col("_x"))).alias("_r"))
     totals = ranged.groupBy("_r").agg(F.sum("_c").alias("_t"))  # at most RANGES rows
     before = totals.select(
         "_r",

@@ -1,6 +1,6 @@
 """Run registered queries against their SQL twins in DuckDB and report differences.
 
-    python tests/compare.py [--dir FOLDER] [name prefix ...]
+    python tests/compare.py [--dir FOLDER] [--spread] [name prefix ...]
 """
 
 from __future__ import annotations
@@ -82,6 +82,7 @@ def main():
     parser = argparse.ArgumentParser()
     parser.add_argument("--dir", default="/root/testdata/sf0.01")
     parser.add_argument("--module", action="append")
+    parser.add_argument("--spread", action="store_true", help="take the plans meant for inputs of any size")
     parser.add_argument("prefix", nargs="*")
     args = parser.parse_args()
     if args.module:
@@ -94,6 +95,9 @@ def main():
     from grainmill.session import local_session
 
     spark = local_session(8)
+    if args.spread:
+        spark.conf.set("spark.grainmill.exactBufferBytes", "0")
+        spark.conf.set("spark.grainmill.oneTaskBytes", "0")
     con = connect(args.dir)
     failed = 0
     names = [n for n in QUERIES if not args.prefix or any(n.startswith(p) for p in args.prefix)]
