@@ -2,13 +2,14 @@
 
 `average_rank` gives tied values the mean of their positions; `percent` divides by the number of present values.
 Small frames use one window. Larger ones are cut into value ranges by a sketch, counted per distinct value, and
-ranked range by range from the ranges' running totals.
+ranked range by range from the ranges' running totals; this runs a job that checkpoints the frame.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from grainmill.session import cut_lineage
 from grainmill.sizing import fits_one_task
 
 RANGES = 256
@@ -57,7 +58,8 @@ def percent_ranks(df: DataFrame, key: str, columns: dict[str, bool]) -> DataFram
 
 def _ranged(df: DataFrame, column: str, name: str, descending: bool, percent: bool) -> DataFrame:
     sign = -1.0 if descending else 1.0
-    keyed = df.withColumn("_x", F.col(column).cast("double") * F.lit(sign))
+    # The frame is read four times below, so it is checkpointed first (one job) instead of being computed four times.
+    keyed = cut_lineage(df.withColumn("_x", F.col(column).cast("double") * F.lit(sign)))
     bounds = keyed.agg(
         F.percentile_approx("_x", [i / RANGES for i in range(1, RANGES)], 100 * RANGES).alias("_b")
     ).scalar()
