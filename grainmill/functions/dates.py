@@ -24,6 +24,8 @@ PARSE_RULES = (
     (r"^\d{1,2}/\d{1,2}/\d{2}$", ("M/d/yy", "d/M/yy")),
 )
 
+LONGEST = 32  # no accepted form is longer
+
 # The seven named date forms of the format check.
 FORMAT_NAMES = (
     (r"\d{4}-\d{2}-\d{2}", "YYYY-MM-DD"),
@@ -51,7 +53,9 @@ def parse_mixed(c: Column) -> Column:
         parsed = F.coalesce(*tries) if len(tries) > 1 else tries[0]
         condition = text.rlike(pattern)
         result = F.when(condition, parsed) if result is None else result.when(condition, parsed)
-    return result.cast("timestamp_ntz")
+    # Texts that are long or without a digit skip the list of patterns.
+    plausible = (F.length(text) <= LONGEST) & text.rlike("[0-9]")
+    return F.when(plausible, result).cast("timestamp_ntz")
 
 
 def format_name(c: Column) -> Column:

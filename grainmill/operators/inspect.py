@@ -160,8 +160,7 @@ def text_types(df: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
             "numeric": F.count(to_double(v)),
             # Bounded sets: seven format names, twelve boolean words and a count of anything else.
             "formats": F.array_sort(F.array_compact(F.array(*[F.max(n) for n in names]))),
-            "words": F.array_sort(F.collect_set(F.when(low.isin(*BOOLEAN_WORDS), low))),
-            "low_other": F.min(F.when(~low.isin(*BOOLEAN_WORDS), low)),
+            "words": F.array_sort(F.array_compact(F.array(*[F.max(F.when(low == w, w)) for w in BOOLEAN_WORDS]))),
         }
         fields[c] = {"rows": "rows"}
         for name, m in measures.items():

@@ -51,15 +51,17 @@ def named(columns: Sequence[str], words: Sequence[str]) -> list[str]:
     return [c for c in columns if any(w in c.lower() for w in words)]
 
 
-def kind_of(c: Column) -> Column:
-    """What a text value reads as: int, float, bool, date or text."""
-    stripped = F.lower(text.strip(c))
+KINDS = ("int", "float", "bool", "date", "text")
+
+
+def kind_of(stripped: Column, moment: Column) -> Column:
+    """What a stripped, lower-cased text value reads as: int, float, bool, date or text."""
     return (
         F.when(stripped.rlike(r"^[+-]?\d+$"), "int")
         .when(stripped.rlike(r"^[+-]?(\d+\.\d*|\.\d+|\d+)(e[+-]?\d+)?$"), "float")
         .when(stripped.isin("true", "false", "yes", "no"), "bool")
-        .when(parse_mixed(c).isNotNull(), "date")
-        .otherwise("text")
+        .when(moment.isNotNull(), "date")
+        .when(stripped.isNotNull(), "text")
     )
 
 
@@ -86,23 +88,34 @@ def _column_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         "url": set(named(columns, URL_WORDS)),
         "positive": set(named(columns, POSITIVE_WORDS)),
     }
+    # Stripping and date parsing happen once per cell, below the aggregate that uses them several times.
+    prepared = [F.col(c) for c in columns]
+    for c in columns:
+        if c in texts:
+            prepared += [text.strip(F.col(c)).alias(f"{c}|s"), parse_mixed(F.col(c)).alias(f"{c}|d")]
+    data = df.select(*prepared)
+    kinds = {f"{c}|k": kind_of(F.lower(F.col(f"`{c}|s`")), F.col(f"`{c}|d`")) for c in columns if c in texts}
+    data = data.withColumns(kinds) if kinds else data
     aggregates, fields = [F.count(F.lit(1)).alias("rows")], {}
     for c in columns:
         v = F.col(c)
         present = v.isNotNull()
         found: dict[str, Column] = {"missing": count_if(v.isNull())}
+        stripped, parsed = F.col(f"`{c}|s`"), F.col(f"`{c}|d`")
         if c in texts:
-            found["blanks"] = count_if(text.strip(v) == "")
-            found["spaced"] = count_if(text.strip(v) != v)
+            found["blanks"] = count_if(stripped == "")
+            found["spaced"] = count_if(stripped != v)
             found["multi_spaced"] = count_if(v.rlike(r"\s{2,}"))
             found["control"] = count_if(v.rlike(text.CONTROL))
-            found["numeric"] = F.count(to_double(v))
-            found["kinds"] = F.size(F.collect_set(kind_of(v)))  # at most five kinds
+            found["numeric"] = F.count(stripped.try_cast("double"))
+            # Flags instead of a set keep the whole aggregate in generated code.
+            seen = [F.max(F.when(F.col(f"`{c}|k`") == k, 1).otherwise(0)) for k in KINDS]
+            found["kinds"] = reduce(lambda a, b: a + b, seen)
             found["bad_emails"] = count_if(present & ~v.rlike(EMAIL_PATTERN)) if c in roles["email"] else F.lit(None)
             found["bad_phones"] = count_if(present & ~v.rlike(PHONE_PATTERN)) if c in roles["phone"] else F.lit(None)
             found["bad_urls"] = count_if(present & ~v.rlike(URL_PATTERN)) if c in roles["url"] else F.lit(None)
         if c in roles["date"] and not isinstance(df.schema[c].dataType, T.NumericType):
-            moment = parse_mixed(v) if c in texts else v
+            moment = parsed if c in texts else v
             found["bad_dates"] = count_if(present & moment.isNull())
             found["odd_years"] = count_if((F.year(moment) < 1800) | (F.year(moment) > 2100))
         if c in roles["positive"] and c in numbers:
@@ -112,7 +125,7 @@ def _column_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             value = found.get(name, F.lit(None)).cast("long")
             aggregates.append(value.alias(f"{c}|{name}"))
             fields[c][name] = f"{c}|{name}"
-    return melt_row(df.agg(*aggregates), fields)
+    return melt_row(data.agg(*aggregates), fields)
 
 
 def outlier_counts(df: DataFrame, columns: Sequence[str] | None = None, reach: float = 1.5) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from grainmill.functions.distributions import f_upper, t_two_sided
 from grainmill.functions.mapping import map_values
 from grainmill.functions.numbers import band, ratio
-from grainmill.functions.stats import avg_if, count_if, share
+from grainmill.functions.stats import avg_if, share
 from grainmill.operators.dedup import drop_duplicates
-from grainmill.operators.quantiles import aggregate_with_quantiles, quantiles
+from grainmill.operators.quantiles import aggregate_with_quantiles
 from grainmill.functions.text import strip
 from grainmill.operators.values import top_values, value_counts
 
@@ -250,10 +250,3 @@ def progression(matrix: DataFrame, category: str, order: Sequence[str]) -> DataF
     """The matrix in long form, missing cells left out."""
     return matrix.unpivot([category], list(order), "level", "median").where(F.col("median").isNotNull())
 
-
-def medians(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    return quantiles(df, list(keys), value, [0.5], ["median"])
-
-
-def present(df: DataFrame, column: str) -> DataFrame:
-    return df.agg(count_if(F.col(column).isNotNull()).alias("n"))

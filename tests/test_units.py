@@ -326,7 +326,8 @@ def test_geography(spark):
 
 
 def test_mean_drift_reports_a_jump(spark):
-    rows = [(datetime.date(2024, 1, 1) + datetime.timedelta(days=i), 10.0 + (i % 3) * 0.1) for i in range(20)]
+    # The widest swing comes first, so that no early day lies outside the two or three days before it.
+    rows = [(datetime.date(2024, 1, 1) + datetime.timedelta(days=i), 10.0 + ((i + 2) % 3) * 0.1) for i in range(20)]
     rows.append((datetime.date(2024, 1, 21), 30.0))
     df = spark.createDataFrame(rows, "snapshot date, m double")
     found = drift.mean_drift(df, "m").collect()
