@@ -78,11 +78,17 @@ def _(t):
 
 @query(
     "e05_correlation_summary",
-    f"SELECT 'l_quantity' AS first, 'l_extendedprice' AS second, {fx('CORR(l_quantity, l_extendedprice)', 6)} AS r, 'positive' AS direction FROM lineitem HAVING ABS(CORR(l_quantity, l_extendedprice)) > 0.3",
+    f"""WITH x AS (SELECT o_totalprice AS a, 500000 - o_totalprice + o_orderkey % 7 AS b, CAST(o_custkey AS DOUBLE) AS c FROM orders),
+    r AS (SELECT 'a' AS first, 'b' AS second, CORR(a, b) AS r FROM x UNION ALL SELECT 'a', 'c', CORR(a, c) FROM x UNION ALL SELECT 'b', 'c', CORR(b, c) FROM x)
+    SELECT first, second, {fx('r', 6)} AS r, CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS direction FROM r WHERE ABS(r) > 0.3""",
 )
 def _(t):
-    rows = explore.correlation_pairs(t.lineitem, NUMBERS, 0.30)
-    return rows.select("first", "second", fixed(F.col("r"), 6).alias("r"), "direction")
+    price = F.col("o_totalprice")
+    rows = t.orders.select(
+        price.alias("a"), (500000 - price + F.col("o_orderkey") % 7).alias("b"), F.col("o_custkey").cast("double").alias("c")
+    )
+    found = explore.correlation_pairs(rows, ["a", "b", "c"], 0.30)
+    return found.select("first", "second", fixed(F.col("r"), 6).alias("r"), "direction")
 
 
 @query(

@@ -233,18 +233,18 @@ def _(t):
 
 @query(
     "j07_anti_join_both_ways",
-    """SELECT 'customer without order' AS kind, c_custkey AS key FROM customer
-      WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)
-    UNION ALL SELECT 'order without customer', o_orderkey FROM orders
-      WHERE NOT EXISTS (SELECT 1 FROM customer WHERE o_custkey = c_custkey)""",
+    """SELECT 'customer without large order' AS kind, c_custkey AS key FROM customer
+      WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)
+    UNION ALL SELECT 'order without solvent customer', o_orderkey FROM orders
+      WHERE NOT EXISTS (SELECT 1 FROM customer WHERE o_custkey = c_custkey AND c_acctbal > 0)""",
 )
 def _(t):
     on = F.col("o_custkey") == F.col("c_custkey")
-    idle = t.customer.join(t.orders, on, "left_anti").select(
-        F.lit("customer without order").alias("kind"), F.col("c_custkey").alias("key")
+    idle = t.customer.join(t.orders.where(F.col("o_totalprice") > 400000), on, "left_anti").select(
+        F.lit("customer without large order").alias("kind"), F.col("c_custkey").alias("key")
     )
-    orphan = t.orders.join(t.customer, on, "left_anti").select(
-        F.lit("order without customer").alias("kind"), F.col("o_orderkey").alias("key")
+    orphan = t.orders.join(t.customer.where(F.col("c_acctbal") > 0), on, "left_anti").select(
+        F.lit("order without solvent customer").alias("kind"), F.col("o_orderkey").alias("key")
     )
     return idle.unionByName(orphan)
 
@@ -487,20 +487,30 @@ def _(t):
     return rows.select("o_orderpriority", *[fixed(F.col(c), 3).alias(c) for c in names])
 
 
-LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "net", "charge"]
+PRICED = """(SELECT *, l_extendedprice * (1 - l_discount) AS net, l_quantity * 100 - l_extendedprice / 100 AS charge FROM lineitem)"""
+
+
+def priced(lines):
+    return lines.withColumns(
+        {
+            "net": F.col("l_extendedprice") * (1 - F.col("l_discount")),
+            "charge": F.col("l_quantity") * 100 - F.col("l_extendedprice") / 100,
+        }
+    )
 
 
 def _correlation_sql(limit: float) -> str:
     parts = []
     for i, a in enumerate(LINE_NUMBERS):
         for b in LINE_NUMBERS[i + 1 :]:
-            parts.append(f"SELECT '{a}' AS first, '{b}' AS second, CORR({a}, {b}) AS r FROM lineitem")
+            parts.append(f"SELECT '{a}' AS first, '{b}' AS second, CORR({a}, {b}) AS r FROM {PRICED}")
     return f"SELECT first, second, {fx('r', 6)} AS r FROM ({' UNION ALL '.join(parts)}) WHERE ABS(r) > {limit}"
 
 
 @query("a19_correlation_matrix", _correlation_sql(0.30))
 def _(t):
-    rows = correlation_pairs(t.lineitem, LINE_NUMBERS, 0.30)
+    rows = correlation_pairs(priced(t.lineitem), LINE_NUMBERS, 0.30)
     return rows.select("first", "second", fixed(F.col("r"), 6).alias("r"))
 
 

@@ -123,7 +123,7 @@ def _(t):
     return rows.withColumns({"total_cost": fixed(F.col("total_cost"), 2), "cpa": fixed(F.col("cpa"), 5), "ratio": fixed(F.col("ratio"), 5)})
 
 
-REPEAT = "vis AS (SELECT o_orderpriority AS channel, CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderkey ELSE o_custkey END AS who FROM orders)"
+REPEAT = "vis AS (SELECT o_orderpriority AS channel, CASE WHEN o_orderpriority = '1-URGENT' AND o_orderkey % 3 > 0 THEN -o_orderkey ELSE o_custkey END AS who FROM orders)"
 
 
 @query(
@@ -133,7 +133,8 @@ REPEAT = "vis AS (SELECT o_orderpriority AS channel, CASE WHEN o_orderpriority =
     SELECT channel, repeaters, customers, {fx('pct', 5)} AS repeat_pct FROM p WHERE (SELECT MAX(pct) - MIN(pct) FROM p) >= 10""",
 )
 def _(t):
-    who = F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderkey")).otherwise(F.col("o_custkey"))
+    once = (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderkey") % 3 > 0)
+    who = F.when(once, -F.col("o_orderkey")).otherwise(F.col("o_custkey"))
     rows = rules.repeat_rates(t.orders.select(F.col("o_orderpriority").alias("channel"), who.alias("who")), "channel", "who")
     return rows.withColumn("repeat_pct", fixed(F.col("repeat_pct"), 5))
 
@@ -153,11 +154,11 @@ def _(t):
 
 @query(
     "b11_busy_but_poor",
-    f"""WITH g AS (SELECT source, COUNT(*) AS n, AVG(n_chars) AS m FROM documents GROUP BY 1), b AS (SELECT * FROM g WHERE n > (SELECT QUANTILE_CONT(n, 0.6) FROM g))
-    SELECT source, n AS rows, {fx('m', 5)} AS mean_value FROM b WHERE m < (SELECT QUANTILE_CONT(m, 0.4) FROM b)""",
+    f"""WITH g AS (SELECT event_type, COUNT(*) AS n, AVG(value) AS m FROM events GROUP BY 1), b AS (SELECT * FROM g WHERE n > (SELECT QUANTILE_CONT(n, 0.6) FROM g))
+    SELECT event_type, n AS rows, {fx('m', 5)} AS mean_value FROM b WHERE m < (SELECT QUANTILE_CONT(m, 0.4) FROM b)""",
 )
 def _(t):
-    return rules.busy_but_poor(t.documents, "source", "n_chars").withColumn("mean_value", fixed(F.col("mean_value"), 5))
+    return rules.busy_but_poor(t.events, "event_type", "value").withColumn("mean_value", fixed(F.col("mean_value"), 5))
 
 
 @query(
