@@ -6,11 +6,12 @@ empty rows. A word is a run of bytes other than ASCII white space; A-Z are folde
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 CHUNK_BYTES = 4_000_000
 
@@ -128,3 +129,21 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     low = LOWER[data]
     start, end = word_spans(low, off)
     return span_hashes(low, start, end), np.searchsorted(start, off)
+
+
+def with_values(
+    df: DataFrame, text_col: str, name: str, kind: str, values: Callable[[np.ndarray, np.ndarray], np.ndarray]
+) -> DataFrame:
+    """`df` with `name`, the values of a function of the texts' bytes and offsets, chunk by chunk."""
+    columns = df.columns
+    kept = [i for i, c in enumerate(columns) if c != name]
+    place = columns.index(text_col)
+
+    def run(batches):
+        for batch in chunked(batches, text_col):
+            found = pa.array(values(*buffers(batch.column(place).cast(pa.string()))))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(i) for i in kept] + [found], names=[columns[i] for i in kept] + [name]
+            )
+
+    return df.mapInArrow(run, df.select(*[columns[i] for i in kept]).schema.add(name, kind))

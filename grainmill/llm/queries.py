@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from grainmill.llm import ann, mixing, packing, topk
+from grainmill.llm import ann, mixing, packing, quality, samples, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,6 +41,34 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+def judged(scored: DataFrame, modulus: int, value: int, threshold: float) -> DataFrame:
+    return scored.select(
+        "doc_id",
+        samples.held_out("doc_id", modulus, value).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
+@register("op1_line_field_quality")
+def line_field_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    labels = table(spark, folder, "labels", LABELS)
+    field = quality.train(samples.labelled(docs, labels, "quality", samples.remainder("id", 5) != 0))
+    return judged(quality.score(docs, field), 5, 0, 0.3)
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    return toxicity.train(samples.labelled(docs, labels, "toxic", samples.remainder("id", 3) != 1))
+
+
+@register("op2_compression_toxicity")
+def compression_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    model = toxicity_model(docs, table(spark, folder, "labels", LABELS))
+    return judged(toxicity.score(docs, model), 3, 1, 0.7)
+
+
 @register("op5_source_mix", mixing.oracle(MIX_WEIGHTS, 1.0, 2, MIX_SEED))
 def source_mix(spark: SparkSession, folder: str) -> DataFrame:
     """As many tokens as the documents have, by weights that some languages and sources cannot supply in two epochs."""
