@@ -6,12 +6,12 @@ empty rows. A word is a run of bytes other than ASCII white space; A-Z are folde
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, types as T
 
 CHUNK_BYTES = 4_000_000
 
@@ -82,6 +82,18 @@ def chunked(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_B
             start, base = stop, int(ends[stop - 1])
 
 
+def joined(texts: Sequence[bytes], limit: int = CHUNK_BYTES // 4) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First position, bytes and offsets of runs of texts of at most `limit` bytes, or of one longer text."""
+    start = 0
+    while start < len(texts):
+        stop, size = start + 1, len(texts[start])
+        while stop < len(texts) and size + len(texts[stop]) <= limit:
+            size += len(texts[stop])
+            stop += 1
+        yield start, *buffers(pa.array(texts[start:stop], pa.binary()))
+        start = stop
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -132,7 +144,7 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def with_values(
-    df: DataFrame, text_col: str, name: str, kind: str, values: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    df: DataFrame, text_col: str, name: str, kind: T.DataType, values: Callable[[np.ndarray, np.ndarray], np.ndarray]
 ) -> DataFrame:
     """`df` with `name`, the values of a function of the texts' bytes and offsets, chunk by chunk."""
     columns = df.columns

@@ -12,8 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, types as T
 
 from grainmill.llm import bytesops, samples
 
@@ -198,9 +197,14 @@ def train(sample: samples.Sample) -> Field:
     known = [set(sample.labels[:cut]), set(sample.labels[cut:])]
     if known != [{0, 1}, {0, 1}]:
         return flat
-    figures, _, rows = line_figures(*bytesops.buffers(pa.array(sample.texts[:cut], pa.binary())))
-    field = Field(*fit_field(features(figures, rows), rows, sample.labels[:cut]), flat.calibration)
-    means = document_means(field, *bytesops.buffers(pa.array(sample.texts[cut:], pa.binary())))
+    parts, counts = [], [np.zeros(1, int)]
+    for _, data, off in bytesops.joined(sample.texts[:cut]):
+        figures, _, rows = line_figures(data, off)
+        parts.append(features(figures, rows).astype(np.int16))
+        counts.append(np.diff(rows))
+    field = fit_field(np.concatenate(parts), np.cumsum(np.concatenate(counts)), sample.labels[:cut])
+    field = Field(*field, flat.calibration)
+    means = np.concatenate([document_means(field, data, off) for _, data, off in bytesops.joined(sample.texts[cut:])])
     weights = samples.logistic(means[:, None], sample.labels[cut:].astype(float))
     weights[-1] += sample.shift(sample.labels[cut:])
     return Field(field.emission, field.transition, weights)
@@ -216,4 +220,4 @@ def score(df: DataFrame, field: Field, text_col: str = "text", name: str = "scor
     Null, empty and blank texts have no line and get the score of even odds after calibration. A column called `name`
     is replaced; other columns are kept whatever their names.
     """
-    return bytesops.with_values(df, text_col, name, "double", lambda data, off: scores(field, data, off))
+    return bytesops.with_values(df, text_col, name, T.DoubleType(), lambda data, off: scores(field, data, off))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from grainmill.llm import ann, mixing, packing, quality, samples, topk, toxicity
+from grainmill.llm import ann, langid, mixing, packing, pii, quality, samples, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,6 +69,11 @@ def compression_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return judged(toxicity.score(docs, model), 3, 1, 0.7)
 
 
+@register("op4_shape_field_pii")
+def shape_field_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.tag(documents(spark, folder).select("doc_id", "text"), pii.train()).drop("text")
+
+
 @register("op5_source_mix", mixing.oracle(MIX_WEIGHTS, 1.0, 2, MIX_SEED))
 def source_mix(spark: SparkSession, folder: str) -> DataFrame:
     """As many tokens as the documents have, by weights that some languages and sources cannot supply in two epochs."""
@@ -100,3 +105,12 @@ def pivot_top_k(spark: SparkSession, folder: str) -> DataFrame:
 def adaptive_scan(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings", EMBEDDINGS).select("vec_id", "embedding")
     return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
+@register("op10_byte_network_language")
+def byte_network_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text", "lang")
+    net = langid.train(*langid.sample(docs, samples.remainder("doc_id", 4) != 2))
+    return langid.identify(docs.select("doc_id", "text"), net).select(
+        "doc_id", samples.held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score"
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from grainmill.llm import bytesops
 
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 3000
 SKETCH = 6
 
 

@@ -17,9 +17,8 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, types as T
 
 from grainmill.llm import bytesops, samples
 
@@ -114,7 +113,7 @@ def train(sample: samples.Sample) -> Model:
     background = _dictionary(drawn, ORDINARY_BYTES)
     filler = rng.integers(128, 192, len(content), dtype=np.uint8).tobytes()
     model = Model(filler + background, content + background, constant.weights)
-    gaps = document_gaps(model, *bytesops.buffers(pa.array(sample.texts[cut:], pa.binary())))
+    gaps = np.concatenate([document_gaps(model, data, off) for _, data, off in bytesops.joined(sample.texts[cut:])])
     weights = samples.logistic(gaps, sample.labels[cut:].astype(float))
     weights[-1] += sample.shift(sample.labels[cut:])
     return Model(model.ordinary, model.toxic, tuple(weights.tolist()))
@@ -167,4 +166,4 @@ def score(df: DataFrame, model: Model, text_col: str = "text", name: str = "scor
     Without both labels, or without anything that sets toxic text apart, every score is the rate of toxic labels. A
     column called `name` is replaced; other columns are kept whatever their names.
     """
-    return bytesops.with_values(df, text_col, name, "double", lambda data, off: scores(model, data, off))
+    return bytesops.with_values(df, text_col, name, T.DoubleType(), lambda data, off: scores(model, data, off))
