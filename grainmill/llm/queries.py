@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from grainmill.llm import ann, langid, mixing, packing, pii, quality, samples, topk, toxicity
+from grainmill.llm import ann, jaccard, langid, mixing, packing, pii, quality, samples, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,6 +69,11 @@ def compression_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return judged(toxicity.score(docs, model), 3, 1, 0.7)
 
 
+@register("op3_ngram_jaccard_join")
+def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join(documents(spark, folder).select("doc_id", "text"))
+
+
 @register("op4_shape_field_pii")
 def shape_field_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.tag(documents(spark, folder).select("doc_id", "text"), pii.train()).drop("text")
