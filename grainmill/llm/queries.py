@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from grainmill.llm import ann, jaccard, langid, mixing, packing, pii, quality, samples, topk, toxicity
+from grainmill.llm import ann, jaccard, langid, lm, mixing, packing, pii, quality, samples, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,6 +91,15 @@ def cost_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder).select("doc_id", "text"))
 
 
+@register("op7_deleted_interpolation")
+def deleted_interpolation(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    scored = lm.score(docs, samples.remainder("doc_id", 5) != 1)
+    return scored.withColumn("held_out", samples.held_out("doc_id", 5, 1)).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 TOP_K_SQL = """WITH v AS (SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
         WHERE embedding IS NOT NULL AND len(embedding) > 0
         AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
