@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from grainmill.operators.dedup import duplicate_count
+from grainmill.operators.positions import sorted_ranges
 
 # Name parts that mark a candidate key column.
 KEY_WORDS = ("code", "id", "date", "month", "house", "category")
@@ -110,7 +111,7 @@ def require(df: DataFrame, rules: Mapping[str, Column]) -> None:
 def ranking_checks(df: DataFrame, score: str, rank: str, low: float, high: float) -> DataFrame:
     """Scores out of range, repeated ranks, and places where a worse rank has a better score.
 
-    Order is checked on one row per rank (its best and worst score), so a break needs no sort of the whole table.
+    Order is checked on one row per rank (its best and worst score), sorted in ranges across all tasks. Runs a job.
     """
     by_rank = df.groupBy(rank).agg(
         F.count(F.lit(1)).alias("n"),
@@ -118,8 +119,15 @@ def ranking_checks(df: DataFrame, score: str, rank: str, low: float, high: float
         F.min(score).alias("worst"),
         F.max(score).alias("best"),
     )
-    previous = F.lag("worst").over(Window.orderBy(rank))
-    marked = by_rank.withColumn("break", F.when(F.col("best") > previous, 1))
+    ranged = sorted_ranges(by_rank, [rank])
+    inside = Window.partitionBy("_range").orderBy("_at")
+    # The first rank of a range is held against the last of the range before it: one row per range.
+    lasts = ranged.groupBy(F.col("_range").alias("_r")).agg(F.max_by("worst", "_at").alias("_last"))
+    lasts = lasts.select("_r", F.lag("_last").over(Window.orderBy("_r")).alias("_before"))
+    marked = ranged.withColumn("_lag", F.lag("worst").over(inside)).join(
+        F.broadcast(lasts), F.col("_range") == F.col("_r")
+    )
+    marked = marked.withColumn("break", F.when(F.col("best") > F.coalesce("_lag", "_before"), 1))
     return marked.agg(
         F.sum("outside").alias("out_of_range"),
         F.sum(F.col("n") - 1).alias("repeated_ranks"),

@@ -1,10 +1,10 @@
 """Order-dependent fills over tables of any size.
 
-A fill over a whole column (or over one very large key) is cut into equal stretches of the order column. Each
-stretch is filled by its own window; the last known value before a stretch is carried in from a small table with
-one row per key and stretch. Only stretches are ever sorted, never a whole key.
+A fill over a whole column (or over one very large key) is cut into stretches of equal numbers of rows. Each stretch
+is filled by its own window; the last known value before a stretch is carried in from a small table with one row per
+key and stretch. Only stretches are ever sorted, never a whole key.
 
-The order column must be unique per key (the row id made at ingest) and numeric, date or timestamp.
+The order column must be unique per key (the row id made at ingest).
 """
 
 from __future__ import annotations
@@ -14,32 +14,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from grainmill.functions.text import blank_to_null
+from grainmill.operators.positions import value_positions
 
 ROWS_PER_STRETCH = 1_000_000
 
 
-def _position(df: DataFrame, order: str) -> Column:
-    """The order column as a number that grows with it."""
-    kind = df.schema[order].dataType
-    if isinstance(kind, T.DateType):
-        return F.unix_date(F.col(order)).cast("double")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(order).cast("timestamp")).cast("double")
-    return F.col(order).cast("double")
-
-
 def with_stretch(df: DataFrame, order: str, rows_per_stretch: int = ROWS_PER_STRETCH, name: str = "_stretch"):
-    """Add the number of the stretch each row falls in; stretches follow the order column."""
-    position = _position(df, order)
-    span = df.agg(
-        F.struct(
-            F.min(position).alias("low"),
-            (F.max(position) - F.min(position) + 1).alias("width"),
-            F.ceil(F.count(F.lit(1)) / rows_per_stretch).cast("double").alias("pieces"),
-        ).alias("s")
-    ).scalar()
-    piece = F.floor((position - span.getField("low")) * span.getField("pieces") / span.getField("width"))
-    return df.withColumn(name, piece)
+    """Add the number of the stretch each row falls in; stretches follow the order column and hold equal numbers of rows.
+
+    A row belongs to the stretch of its value's counted position, so gaps and far-away values make no stretch larger;
+    equal values stay together. Rows without an order value have no stretch. Runs the job that sorts the values.
+    """
+    places = value_positions(df.select(F.col(order).alias("_order")), [], "_order")
+    places = places.select("_order", F.floor((F.col("_upto") - 1) / rows_per_stretch).alias(name))
+    return df.join(places, df[order] == places["_order"], "left").drop("_order")
 
 
 def fill(

@@ -1,113 +1,47 @@
 """Exact quantiles with linear interpolation, per group or over a whole table.
 
-Small inputs use Spark's `percentile`, whose buffer holds every distinct value of a group. Past the size limit
-of `sizing.EXACT_BUFFER_BYTES` the same exact result comes from passes that never gather a group:
-
-1. an approximate sketch brackets each wanted order statistic from both sides;
-2. values outside the bracket are only counted, values inside are counted per distinct value.
-
-All aggregates combine map-side, and the final window sees about `8 / accuracy` of a group.
+The order statistics are read off the counted positions of the distinct values (`positions`), by one plan for every
+size: no group is gathered in a task. Each call runs the job that sorts the distinct values.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from grainmill.sizing import fits_exact_buffers, plan_bytes
+from pyspark.sql import Column, DataFrame, functions as F
 
-# (plan size up to, accuracy of the sketch): a coarse sketch is cheaper and leaves a wider bracket to count.
-ACCURACIES = ((1 << 30, 2_000), (1 << 62, 20_000))
-
-
-def _accuracy(df: DataFrame) -> int:
-    size = plan_bytes(df)
-    return next((accuracy for limit, accuracy in ACCURACIES if size <= limit), ACCURACIES[-1][1])
+from grainmill.operators.positions import same_keys, value_positions
 
 
 def quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float], names: Sequence[str]
 ) -> DataFrame:
-    """One row per key with a column per probability. Null values are ignored; a group of nulls gives nulls."""
+    """One row per key with a column per probability. Null values are ignored; a group of nulls gives nulls.
+
+    Values are read as doubles. NaN is a value, larger than infinity.
+    """
+    keys, names = list(keys), list(names)
     data = df.select(*keys, F.col(value).cast("double").alias("_v"))
-    if fits_exact_buffers(data):
-        q = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probabilities]))
-        rows = data.groupBy(*keys).agg(q.alias("_q"))
-        return rows.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(names)])
-    return _bracketed(data, list(keys), list(probabilities), list(names))
-
-
-def _bracketed(data: DataFrame, keys: list[str], probabilities: list[float], names: list[str]) -> DataFrame:
-    accuracy = _accuracy(data)
-    margin = 4.0 / accuracy
-    cuts = []
-    for p in probabilities:
-        cuts += [max(0.0, p - margin), min(1.0, p + margin)]
-    sketch = data.groupBy(*keys).agg(
-        F.count("_v").alias("_n"),
-        F.percentile_approx("_v", [float(c) for c in cuts], accuracy).alias("_cut"),
-    )
-    present = data.where(F.col("_v").isNotNull())
-    if keys:
-        joined = present.join(sketch, [present[k].eqNullSafe(sketch[k]) for k in keys]).select(
-            *[present[k] for k in keys], "_v", "_n", "_cut"
-        )
-    else:
-        one = sketch.select(F.struct("_n", "_cut").alias("_s")).scalar()
-        joined = present.withColumn("_s", one).select("_v", F.col("_s._n").alias("_n"), F.col("_s._cut").alias("_cut"))
-
-    v, n_points = F.col("_v"), len(probabilities)
-    # In a small group one rank is more than the margin, so the whole group, a bounded number of rows, is the bracket.
-    small = F.col("_n") <= 5 * accuracy
-    lows = [F.when(small, F.lit(float("-inf"))).otherwise(F.col("_cut")[2 * i]) for i in range(n_points)]
-    highs = [F.when(small, F.lit(float("inf"))).otherwise(F.col("_cut")[2 * i + 1]) for i in range(n_points)]
-    below = joined.groupBy(*keys).agg(
-        F.first("_n").alias("_n"),
-        F.array(*[F.count(F.when(v < low, 1)) for low in lows]).alias("_below"),
-    )
-    # Only the few rows inside a bracket are expanded per probability.
-    inside = [(v >= low) & (v <= high) for low, high in zip(lows, highs)]
-    marks = [F.when(test, F.lit(i)) for i, test in enumerate(inside)]
-    counted = (
-        joined.where(reduce(lambda a, b: a | b, inside))
-        .select(*keys, "_v", F.explode(F.array_compact(F.array(*marks))).alias("_i"))
-        .groupBy(*keys, "_i", "_v")
-        .agg(F.count(F.lit(1)).alias("_cnt"))
-    )
-    if keys:
-        counted = counted.join(below, [counted[k].eqNullSafe(below[k]) for k in keys]).select(
-            *[counted[k] for k in keys], "_i", "_v", "_cnt", "_n", "_below"
-        )
-    else:
-        base = below.select(F.struct("_n", "_below").alias("_s")).scalar()
-        counted = counted.withColumn("_s", base).select("_i", "_v", "_cnt", "_s._n", "_s._below")
-    order = Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.col("_below")[F.col("_i")] + F.sum("_cnt").over(order)
-    ranked = counted.withColumn("_upto", upto)
-    target = F.element_at(F.array(*[F.lit(float(p)) for p in probabilities]), F.col("_i") + 1) * (F.col("_n") - 1)
-    lower_rank = F.floor(target)
-    # The bracket's lower edge leaves fewer rows before it than the wanted rank, unless the sketch failed its bound.
-    picked = ranked.groupBy(*keys, "_i").agg(
-        F.min(F.when(F.col("_upto") > lower_rank, F.col("_v"))).alias("_lo"),
-        F.min(F.when(F.col("_upto") > F.ceil(target), F.col("_v"))).alias("_hi"),
-        F.first(target - lower_rank).alias("_f"),
-        F.first(F.col("_below")[F.col("_i")] <= lower_rank).alias("_ok"),
-    )
-    sound = F.col("_lo").isNotNull() & F.col("_hi").isNotNull() & F.col("_ok")
-    exact = F.when(sound, F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).otherwise(
-        F.raise_error(F.lit("quantile fell outside its bracket")).cast("double")
-    )
-    wide = picked.withColumn("_x", exact).groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_i") == i, F.col("_x"))).alias(name) for i, name in enumerate(names)]
-    )
+    rows = value_positions(data, keys, "_v")
+    picked = []
+    for i, p in enumerate(probabilities):
+        target = F.lit(float(p)) * (F.col("_n") - 1)
+        picked += [
+            F.min(F.when(F.col("_upto") > F.floor(target), F.col("_v"))).alias(f"_lo{i}"),
+            F.min(F.when(F.col("_upto") > F.ceil(target), F.col("_v"))).alias(f"_hi{i}"),
+            F.first(target - F.floor(target)).alias(f"_f{i}"),
+        ]
+    found = rows.groupBy(*[F.col(k).alias(f"_q_{k}") for k in keys]).agg(*picked)
+
+    def between(i: int) -> Column:
+        low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        return F.when((low == high) | (F.col(f"_f{i}") == 0), low).otherwise(low + (high - low) * F.col(f"_f{i}"))
+
+    found = found.select(*[f"_q_{k}" for k in keys], *[between(i).alias(n) for i, n in enumerate(names)])
     if not keys:
-        return wide
+        return found
     everyone = data.select(*keys).distinct()
-    return everyone.join(wide, [everyone[k].eqNullSafe(wide[k]) for k in keys], "left").select(
-        *[everyone[k] for k in keys], *names
-    )
+    return everyone.join(found, same_keys(everyone, found, [(k, f"_q_{k}") for k in keys]), "left").select(*keys, *names)
 
 
 def aggregate_with_quantiles(
@@ -116,39 +50,31 @@ def aggregate_with_quantiles(
     aggregates: Sequence[Column],
     wanted: dict[str, tuple[str, float]],
 ) -> DataFrame:
-    """`groupBy(keys).agg(aggregates)` plus exact quantiles `{name: (value column, probability)}`.
-
-    One pass while exact buffers fit; otherwise the quantile frames (one row per key) are joined on.
-    """
+    """`groupBy(keys).agg(aggregates)` plus exact quantiles `{name: (value column, probability)}`."""
     keys = list(keys)
-    if fits_exact_buffers(df):
-        extra = [F.percentile(F.col(c).cast("double"), F.lit(float(p))).alias(name) for name, (c, p) in wanted.items()]
-        return df.groupBy(*keys).agg(*aggregates, *extra)
     base = df.groupBy(*keys).agg(*aggregates)
     points = sorted({p for _, p in wanted.values()})
     names = [f"_p{i}" for i in range(len(points))]
-    long = quantiles(_long(df, keys, dict.fromkeys(c for c, _ in wanted.values())), [*keys, "_c"], "_v", points, names)
-    wide = long.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_c") == c, F.col(names[points.index(p)]))).alias(name) for name, (c, p) in wanted.items()]
-    )
+    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
+    if len(columns) == 1:
+        wide = quantiles(df, keys, columns[0], points, names)
+        wide = wide.select(*keys, *[F.col(names[points.index(p)]).alias(name) for name, (_, p) in wanted.items()])
+    else:
+        long = quantiles(_long(df, keys, columns), [*keys, "_c"], "_v", points, names)
+        wide = long.groupBy(*keys).agg(
+            *[F.max(F.when(F.col("_c") == c, F.col(names[points.index(p)]))).alias(name) for name, (c, p) in wanted.items()]
+        )
     if not keys:
         one = base.withColumn("_q", wide.select(F.struct(*wanted).alias("q")).scalar())
         return one.select(*base.columns, *[F.col("_q")[name].alias(name) for name in wanted])
-    return base.join(wide, [base[k].eqNullSafe(wide[k]) for k in keys]).select(
+    return base.join(wide, same_keys(base, wide, [(k, k) for k in keys])).select(
         *[base[c] for c in base.columns], *[wide[name] for name in wanted]
     )
 
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], wanted: dict[str, float]) -> DataFrame:
     """One row per column (`column`, then one value per name): all columns share the same passes."""
-    points = list(wanted.values())
-    if fits_exact_buffers(df.select(*columns)):
-        q = F.array(*[F.lit(float(p)) for p in points])
-        wide = df.agg(*[F.percentile(F.col(c).cast("double"), q).alias(c) for c in columns])
-        cells = [F.struct(F.lit(c).alias("column"), F.col(c).alias("q")) for c in columns]
-        rows = wide.select(F.explode(F.array(*cells)).alias("x"))
-        return rows.select("x.column", *[F.col("x.q")[i].alias(name) for i, name in enumerate(wanted)])
-    rows = quantiles(_long(df, [], columns), ["_c"], "_v", points, list(wanted))
+    rows = quantiles(_long(df, [], columns), ["_c"], "_v", list(wanted.values()), list(wanted))
     return rows.withColumnRenamed("_c", "column")
 
 

@@ -1,26 +1,30 @@
 """Ranks over a whole table without gathering it in one task.
 
-`average_rank` gives tied values the mean of their positions; `percent` divides by the number of present values.
-Small frames use one window. Larger ones are cut into value ranges by a sketch, counted per distinct value, and
-ranked range by range from the ranges' running totals; this runs a job that checkpoints the frame.
+`average_rank` gives tied values the mean of their positions; `percent` divides by the number of present values. Ranks
+over a table are read off the counted positions of its distinct values (`positions`), on the column's own type.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from grainmill.session import cut_lineage
-from grainmill.sizing import fits_one_task
-
-RANGES = 256
+from grainmill.operators.positions import value_positions
 
 
 def add_average_rank(
     df: DataFrame, column: str, name: str, descending: bool = False, percent: bool = False
 ) -> DataFrame:
-    if fits_one_task(df):
-        return df.withColumn(name, average_rank(F.col(column), [], descending, percent))
-    return _ranged(df, column, name, descending, percent)
+    """`df` with the average rank of `column`; null stays without a rank. Runs the job that sorts distinct values."""
+    values = value_positions(df.select(F.col(column).alias("_x")), [], "_x")
+    ranks = values.select(F.col("_x").alias("_k"), _rank(descending, percent).alias("_rank"))
+    return df.join(ranks, df[column] == ranks["_k"], "left").select(*[df[c] for c in df.columns], F.col("_rank").alias(name))
+
+
+def _rank(descending: Column | bool, percent: bool) -> Column:
+    up = F.col("_upto") - (F.col("_times") - 1) / F.lit(2.0)
+    down = F.col("_n") + 1 - up
+    rank = F.when(descending, down).otherwise(up) if isinstance(descending, Column) else (down if descending else up)
+    return rank / F.col("_n") if percent else rank
 
 
 def average_rank(
@@ -38,54 +42,16 @@ def average_rank(
 
 
 def percent_ranks(df: DataFrame, key: str, columns: dict[str, bool]) -> DataFrame:
-    """Key plus `<column>_pct` for each `{column: descending}`. One row per key, all measures present.
-
-    Small frames are unpivoted so that every measure shares the same two windows.
-    """
-    if not fits_one_task(df):
-        rows = df
-        for name, descending in columns.items():
-            rows = _ranged(rows, name, f"{name}_pct", descending, percent=True)
-        return rows.select(key, *[f"{name}_pct" for name in columns])
-    cells = [
-        F.struct(F.lit(name).alias("m"), (-F.col(name) if descending else F.col(name)).cast("double").alias("v"))
-        for name, descending in columns.items()
-    ]
+    """Key plus `<column>_pct` for each `{column: descending}`. One row per key; all measures share one sort."""
+    cells = [F.struct(F.lit(name).alias("m"), F.col(name).cast("double").alias("v")) for name in columns]
     long = df.select(key, F.explode(F.array(*cells)).alias("c")).select(key, "c.m", "c.v")
-    ranked = long.withColumn("r", average_rank(F.col("v"), ["m"], percent=True))
+    falling = F.col("m").isin([name for name, descending in columns.items() if descending])
+    values = value_positions(long, ["m"], "v")
+    ranks = values.select("m", "v", _rank(falling, percent=True).alias("r"))
+    ranked = long.join(ranks, ["m", "v"], "left")
     return ranked.groupBy(key).agg(*[F.max(F.when(F.col("m") == n, F.col("r"))).alias(f"{n}_pct") for n in columns])
 
 
-def _ranged(df: DataFrame, column: str, name: str, descending: bool, percent: bool) -> DataFrame:
-    sign = -1.0 if descending else 1.0
-    # The frame is read four times below, so it is checkpointed first (one job) instead of being computed four times.
-    keyed = cut_lineage(df.withColumn("_x", F.col(column).cast("double") * F.lit(sign)))
-    bounds = keyed.agg(
-        F.percentile_approx("_x", [i / RANGES for i in range(1, RANGES)], 100 * RANGES).alias("_b")
-    ).scalar()
-    counts = keyed.where(F.col("_x").isNotNull()).groupBy("_x").agg(F.count(F.lit(1)).alias("_c"))
-    bounded = counts.withColumn("_bounds", bounds)
-    ranged = bounded.select("_x", "_c", F.size(F.filter("_bounds", lambda b: b < F.col("_x"))).alias("_r"))
-    totals = ranged.groupBy("_r").agg(F.sum("_c").alias("_t"))  # at most RANGES rows
-    before = totals.select(
-        "_r",
-        (F.sum("_t").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_t")).alias("_p"),
-        F.sum("_t").over(Window.partitionBy()).alias("_all"),
-    )
-    inside = Window.partitionBy("_r").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    ranks = ranged.join(F.broadcast(before), "_r").select(
-        F.col("_x").alias("_k"),
-        (F.col("_p") + F.sum("_c").over(inside) - (F.col("_c") - 1) / F.lit(2.0)).alias("_rank"),
-        "_all",
-    )
-    value = F.col("_rank") / F.col("_all") if percent else F.col("_rank")
-    return (
-        keyed.join(ranks, keyed["_x"] == ranks["_k"], "left")
-        .withColumn(name, value)
-        .drop("_x", "_k", "_rank", "_all")
-    )
-
-
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """First `n` rows per group with their place. Spark prunes each partition to `n` per group before the shuffle."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

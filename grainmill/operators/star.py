@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from grainmill.functions.dates import date_parts
-from grainmill.session import cut_lineage
-from grainmill.sizing import fits_one_task
+from grainmill.operators.positions import running_total, sorted_ranges
 
 # The star schema, one entry per table; the keys are checked by `integrity.key_match`.
 STAR_SCHEMA = {
@@ -64,29 +63,16 @@ def date_dimension(sources: Sequence[tuple[DataFrame, str]]) -> DataFrame:
 def entity_dimension(sources: Sequence[DataFrame], name: str, key: str) -> DataFrame:
     """Distinct names from one-column frames, numbered from 1 in name order.
 
-    The numbering sorts in one task only while the names fit there; see `number_in_order` for the other way.
+    The numbering sorts in ranges across all tasks and runs a job (`number_in_order`).
     """
     names = reduce(DataFrame.union, sources).toDF(name).where(F.col(name).isNotNull()).distinct()
-    if fits_one_task(names):
-        return names.select(F.row_number().over(Window.orderBy(name)).alias(key), name)
     return number_in_order(names, [name], key).select(F.col(key).cast("int").alias(key), name)
 
 
 def number_in_order(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    """Consecutive numbers from 1 along a total order, sorted in ranges across all tasks. Runs a job.
-
-    The sorted frame is checkpointed before its range sizes are read, so both sides see the same ranges even when
-    executors are lost.
-    """
-    sorted_rows = cut_lineage(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
-    ranged = sorted_rows.withColumn("_range", F.shiftright("_at", 33))
-    sizes = ranged.groupBy(F.col("_range").alias("_r")).agg(F.count(F.lit(1)).alias("_n"))  # one row per range
-    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)
-    offsets = sizes.select("_r", (F.sum("_n").over(before) - F.col("_n")).alias("_before"))
-    position = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before") + 1
-    return ranged.join(F.broadcast(offsets), F.col("_range") == F.col("_r")).withColumn(name, position).select(
-        name, *df.columns
-    )
+    """Consecutive numbers from 1 along a total order, sorted in ranges across all tasks. Runs a job."""
+    numbered = running_total(sorted_ranges(df, order), F.lit(1).cast("long"), "_position")
+    return numbered.select(F.col("_position").alias(name), *df.columns)
 
 
 def fact_aum(df: DataFrame, houses: DataFrame) -> DataFrame:

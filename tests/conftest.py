@@ -15,13 +15,3 @@ def spark():
     yield session
     session.stop()
 
-
-@pytest.fixture
-def spread(spark):
-    """Take the plans meant for inputs of any size."""
-    keys = ("spark.grainmill.exactBufferBytes", "spark.grainmill.oneTaskBytes")
-    for key in keys:
-        spark.conf.set(key, "0")
-    yield
-    for key in keys:
-        spark.conf.unset(key)

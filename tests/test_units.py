@@ -96,10 +96,7 @@ def skewed(spark):
     return pdf, spark.createDataFrame(pdf).withColumn("v", F.nanvl("v", F.lit(None).cast("double")))
 
 
-@pytest.mark.parametrize("large", [False, True])
-def test_quantiles_match_pandas(spark, skewed, request, large):
-    if large:
-        request.getfixturevalue("spread")
+def test_quantiles_match_pandas(spark, skewed):
     pdf, df = skewed
     probabilities = [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
     names = [f"q{i}" for i in range(6)]
@@ -116,10 +113,7 @@ def test_quantiles_match_pandas(spark, skewed, request, large):
     assert np.isclose(columns["v"], -columns["w"])
 
 
-@pytest.mark.parametrize("large", [False, True])
-def test_ranks_match_pandas(spark, request, large):
-    if large:
-        request.getfixturevalue("spread")
+def test_ranks_match_pandas(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"id": range(2000), "a": rng.integers(0, 300, 2000).astype(float), "b": rng.normal(size=2000)})
     df = spark.createDataFrame(pdf)
@@ -130,9 +124,39 @@ def test_ranks_match_pandas(spark, request, large):
     assert np.allclose(pct["b_pct"], pdf["b"].rank(pct=True, ascending=False))
 
 
+def test_quantiles_of_odd_values(spark, tmp_path):
+    inf, nan = float("inf"), float("nan")
+    rows = [("n", 1.0), ("n", nan), ("n", nan), ("i", -inf), ("i", 2.0), ("i", inf), ("z", None), (None, 3.0), (None, 5.0)]
+    spark.createDataFrame(rows, "k string, v double").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    got = {r["k"]: (r["lo"], r["mid"], r["hi"]) for r in quantiles(df, ["k"], "v", [0.0, 0.5, 1.0], ["lo", "mid", "hi"]).collect()}
+    assert got["n"][0] == 1.0 and np.isnan(got["n"][1]) and np.isnan(got["n"][2])
+    assert got["i"] == (-inf, 2.0, inf)
+    assert got["z"] == (None, None, None) and got[None] == (3.0, 4.0, 5.0)
+
+
+def test_ranks_use_the_columns_own_type(spark, tmp_path):
+    big = 2**53
+    spark.createDataFrame(
+        [(1, big, "b", None), (2, big + 1, "a", 1.0), (3, big + 1, "b", float("nan")), (4, None, None, 7.0)],
+        "id int, n bigint, s string, v double",
+    ).withColumn("d", F.date_add(F.lit("2024-01-01").cast("date"), F.col("id"))).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    for column, want in {"n": [1, 2.5, 2.5, None], "s": [2.5, 1, 2.5, None], "v": [None, 1, 3, 2], "d": [1, 2, 3, 4]}.items():
+        got = {r["id"]: r["r"] for r in add_average_rank(df, column, "r").collect()}
+        assert [got[i] for i in (1, 2, 3, 4)] == want, column
+
+
 # ---------------------------------------------------------------- order, duplicates
 
 
+def test_stretches_hold_equal_numbers_of_rows(spark):
+    far = spark.range(10).select((F.col("id") * 10**15 + 10**16).alias("id"))
+    df = spark.range(20_000).unionByName(far)
+    sizes = ordered.with_stretch(df, "id", rows_per_stretch=1000).groupBy("_stretch").count().collect()
+    assert max(r["count"] for r in sizes) <= 2000 and len(sizes) == 21
+
+
 @pytest.mark.parametrize("direction", ["forward", "backward"])
 @pytest.mark.parametrize("keyed", [False, True])
 def test_fill_across_stretches(spark, direction, keyed):
@@ -168,7 +192,7 @@ def test_near_duplicates_match_brute_force(spark):
     assert got == {c: pdf.drop(columns=c).duplicated().sum() - exact for c in pdf.columns}
 
 
-def test_numbering_is_consecutive_and_ordered(spark, spread):
+def test_numbering_is_consecutive_and_ordered(spark):
     df = spark.range(5000).select(F.sha2(F.col("id").cast("string"), 256).alias("s")).repartition(7)
     got = number_in_order(df, ["s"], "n").toPandas().sort_values("n")
     assert got["n"].tolist() == list(range(1, 5001))
