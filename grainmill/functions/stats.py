@@ -43,10 +43,9 @@ def avg_if(condition: Column, value: Column) -> Column:
 
 def correlation(a: Column, b: Column) -> Column:
     """Pearson correlation over rows where both are present; null when either side is constant."""
-    both = a.isNotNull() & b.isNotNull()
     r = F.corr(a, b)
-    flat = (F.stddev_pop(F.when(both, a)) == 0) | (F.stddev_pop(F.when(both, b)) == 0)
-    return F.when(~flat, r)
+    # A constant side has a second moment of exactly 0, which makes the quotient no number.
+    return F.when(~F.isnan(r), r)
 
 
 def regression(y: Column, x: Column) -> dict[str, Column]:

@@ -137,14 +137,17 @@ def similar_datasets(catalog: DataFrame, at_least: float = 0.80) -> DataFrame:
     """
     plain = F.filter("columns", lambda c: ~F.lower(c).isin(*COMMON_NAMES))
     rows = catalog.select("dataset", "columns", "column_types", plain.alias("kept"))
-    named = rows.select("dataset", F.explode("columns").alias("c"))
-    pairs = (
-        named.alias("x")
-        .join(named.alias("y"), F.col("x.c") == F.col("y.c"))
-        .where(F.col("x.dataset") < F.col("y.dataset"))
-        .select(F.col("x.dataset").alias("first"), F.col("y.dataset").alias("second"))
-        .distinct()
-    )
+    # A pair is compared on kept names, or on all names where one side has no kept one; it meets on those only.
+    lonely = F.size("kept") == 0
+    whole = rows.select("dataset", F.explode("columns").alias("c"), lonely.alias("lonely"))
+    kept = rows.select("dataset", F.explode("kept").alias("c"))
+
+    def meet(x: DataFrame, y: DataFrame) -> DataFrame:
+        both = x.alias("x").join(y.alias("y"), F.col("x.c") == F.col("y.c")).where(F.col("x.dataset") != F.col("y.dataset"))
+        a, b = F.col("x.dataset"), F.col("y.dataset")
+        return both.select(F.least(a, b).alias("first"), F.greatest(a, b).alias("second"))
+
+    pairs = meet(kept, kept).unionByName(meet(whole.where("lonely"), whole)).distinct()
     a = rows.select(*[F.col(c).alias(f"a_{c}") for c in rows.columns])
     b = rows.select(*[F.col(c).alias(f"b_{c}") for c in rows.columns])
     both = pairs.join(a, F.col("first") == F.col("a_dataset")).join(b, F.col("second") == F.col("b_dataset"))
@@ -161,21 +164,23 @@ def similar_datasets(catalog: DataFrame, at_least: float = 0.80) -> DataFrame:
     return both.select("first", "second", score.alias("score")).where(F.col("score") >= at_least)
 
 
-def recurring_insights(registry: DataFrame, at_least: int = 3, prefix: int = 60) -> DataFrame:
-    """First insights that start alike in several datasets (columns dataset, insights array)."""
-    first = F.trim(F.lower(F.substring(F.get("insights", F.lit(0)), 1, prefix)))
+def recurring_insights(registry: DataFrame, at_least: int = 3, prefix: int | None = None) -> DataFrame:
+    """First insights that several datasets share (columns dataset, insights array), or share in their first `prefix`
+    characters."""
+    insight = F.get("insights", F.lit(0))
+    first = F.trim(F.lower(insight if prefix is None else F.substring(insight, 1, prefix)))
     rows = registry.select("dataset", first.alias("pattern")).where(F.col("pattern").isNotNull())
     counts = rows.groupBy("pattern").agg(F.count(F.lit(1)).alias("datasets"))
     return counts.where(F.col("datasets") >= at_least)
 
 
-def append_registry(registry: DataFrame, entries: DataFrame, name: str, moment: str, keep: int = 50) -> DataFrame:
-    """Replace entries of the same name by the newest and keep the newest `keep`."""
+def append_registry(registry: DataFrame, entries: DataFrame, name: str, moment: str, keep: int | None = None) -> DataFrame:
+    """Replace entries of the same name by the newest; with `keep`, only so many newest entries stay."""
     rows = registry.unionByName(entries)
     others = [c for c in rows.columns if c != name]
     newest = rows.groupBy(name).agg(F.max_by(F.struct(*others), F.col(moment)).alias("_e"))
     unique = newest.select(*[F.col("_e")[c].alias(c) if c != name else F.col(name) for c in rows.columns])
-    return unique.orderBy(F.col(moment).desc(), name).limit(keep)
+    return unique if keep is None else unique.orderBy(F.col(moment).desc(), name).limit(keep)
 
 
 def change_log(changes: DataFrame, row_id: str) -> DataFrame:

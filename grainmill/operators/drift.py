@@ -18,7 +18,6 @@ from grainmill.operators.ranking import top_per_group
 ROW_CHANGE_PCT, ROW_CHANGE_HIGH_PCT = 20.0, 50.0
 Z_ALERT, Z_HIGH = 2.0, 3.0
 HISTORY = 30
-TOP_CATEGORIES = 20
 STEADY_STD = 1e-9
 
 
@@ -37,15 +36,15 @@ def null_metrics(df: DataFrame, snapshot: Column, columns: Sequence[str]) -> Dat
     return df.groupBy(snapshot.alias("snapshot")).agg(*[count_if(F.col(c).isNull()).alias(c) for c in columns])
 
 
-def category_shares(df: DataFrame, snapshot: Column, column: str, n: int = TOP_CATEGORIES) -> DataFrame:
-    """The `n` most frequent values per snapshot with their share; ties go to the smaller value."""
+def category_shares(df: DataFrame, snapshot: Column, column: str, n: int | None = None) -> DataFrame:
+    """Values per snapshot with their share; with `n`, the most frequent ones, ties to the smaller value."""
     counts = (
         df.where(F.col(column).isNotNull())
         .groupBy(snapshot.alias("snapshot"), F.col(column).cast("string").alias("value"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     totals = counts.groupBy("snapshot").agg(F.sum("n").alias("total"))
-    top = top_per_group(counts, ["snapshot"], [F.col("n").desc(), F.col("value").asc()], n)
+    top = counts if n is None else top_per_group(counts, ["snapshot"], [F.col("n").desc(), F.col("value").asc()], n)
     return top.join(totals, "snapshot").select("snapshot", "value", (F.col("n") / F.col("total")).alias("share"))
 
 

@@ -33,6 +33,9 @@ PHONE_WORDS = ("phone", "tel")
 URL_WORDS = ("url", "link", "website")
 POSITIVE_WORDS = ("age", "salary", "price", "revenue", "cost")
 
+# Fixed value: a text column with more distinct values is not a category.
+CATEGORY_VALUES = 100
+
 # Accepted forms.
 EMAIL_PATTERN = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 PHONE_PATTERN = r"^\+?[\d\s\-()]{7,20}$"
@@ -196,27 +199,35 @@ def _short(v: Column) -> Column:
     return F.when(F.length(v) > 64, F.sha2(v, 256)).otherwise(v)
 
 
-def typo_pairs(df: DataFrame, columns: Sequence[str] | None = None, most: int = 100) -> DataFrame:
-    """Pairs of trimmed values one edit apart, in columns with 2 to `most` distinct values.
-
-    The limit is the detector's own definition of a category column, applied before any pairing.
-    """
+def typo_pairs(df: DataFrame, columns: Sequence[str] | None = None, most: int | None = None) -> DataFrame:
+    """Pairs of trimmed values one edit apart; with `most`, only in columns of at most so many distinct values."""
     columns = list(columns or text_columns(df))
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), text.strip(F.col(c)).alias("value")) for c in columns]))
     distinct = df.select(cells.alias("c")).select("c.*").where(F.col("value").isNotNull()).distinct()
-    sizes = distinct.groupBy("column").agg(F.count(F.lit(1)).alias("k")).where(F.col("k").between(2, most))
+    sizes = distinct.groupBy("column").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1)
+    if most is not None:
+        sizes = sizes.where(F.col("k") <= most)
     return similar_pairs(distinct.join(sizes, "column"), ["column", "k"], "value")
 
 
-def issues(df: DataFrame, ignore: Sequence[str] = (), header: Sequence[str] | None = None) -> DataFrame:
-    """All issues of a table as rows. `header` is the raw header line, for repeated column names."""
+def issues(
+    df: DataFrame,
+    ignore: Sequence[str] = (),
+    header: Sequence[str] | None = None,
+    categories: int | None = CATEGORY_VALUES,
+) -> DataFrame:
+    """All issues of a table as rows. `header` is the raw header line, for repeated column names.
+
+    A text column with at most `categories` distinct values is a category column, the only kind that is looked through
+    for spellings one edit apart; with None every text column is.
+    """
     data = df.drop(*ignore)
     columns = data.columns
     counts = column_counts(data)
     parts = [
         _per_column_issues(counts, len(columns)),
         _outlier_issues(data),
-        _value_issues(data),
+        _value_issues(data, categories),
         _row_issues(data),
     ]
     parts = [p for p in parts if p is not None]
@@ -298,7 +309,7 @@ def _outlier_issues(df: DataFrame) -> DataFrame | None:
     return _flatten(rows, [_issue("outliers", "warning", F.col("outside"), percent(F.col("outside"), F.col("rows")), example)])
 
 
-def _value_issues(df: DataFrame) -> DataFrame | None:
+def _value_issues(df: DataFrame, categories: int | None) -> DataFrame | None:
     texts, keys = text_columns(df), named(df.columns, KEY_WORDS)
     if not texts and not keys:
         return None
@@ -318,7 +329,7 @@ def _value_issues(df: DataFrame) -> DataFrame | None:
         )
     ]
     if texts:
-        pairs = typo_pairs(df, texts)
+        pairs = typo_pairs(df, texts, categories)
         grouped = pairs.groupBy("column", "k").agg(
             F.count(F.lit(1)).alias("n"), F.min(F.concat_ws(" vs ", "first", "second")).alias("e")
         )

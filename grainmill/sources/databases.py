@@ -6,9 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Statement verbs that are refused, rows read when only a table is named.
+# Statement verbs that are refused.
 WRITE_VERBS = ("insert", "update", "delete", "drop", "truncate", "create", "alter", "replace", "merge", "call", "exec")
-DEFAULT_LIMIT = 10_000
 
 # A write hidden behind WITH.
 WRITE_STATEMENT = r"\b(insert\s+into|delete\s+from|update\s+\S+\s+set|merge\s+into|(drop|alter|create)\s+(table|view|index))\b"
@@ -33,7 +32,7 @@ def bounded(query: str, limit: int | None) -> str:
     return f"{query} LIMIT {int(limit)}"
 
 
-def table_query(table: str, limit: int = DEFAULT_LIMIT) -> str:
+def table_query(table: str, limit: int | None = None) -> str:
     if not re.fullmatch(r"[A-Za-z_][\w.]*", table):
         raise ValueError("not a table name")
     return bounded(f"SELECT * FROM {table}", limit)
@@ -53,7 +52,7 @@ def read_database(
     `partition` is (column, lower bound, upper bound, pieces): the scan is then split over tasks. Without it the
     driver of the database decides, and one task reads the result.
     """
-    text = read_only(query) if query else table_query(table or "", DEFAULT_LIMIT if limit is None else limit)
+    text = read_only(query) if query else table_query(table or "", limit)
     text = bounded(text, limit)
     reader = spark.read.format("jdbc").option("url", url).options(**(options or {}))
     if partition is None:

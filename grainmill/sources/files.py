@@ -11,15 +11,17 @@ from grainmill.operators.clean import unique_names
 
 # Separators tried by the sniffer, in order of preference.
 SEPARATORS = (",", ";", "\t")
-SNIFF_CHARACTERS = 2048
 
 
 def sniff_separator(spark: SparkSession, path: str) -> str:
-    """Most frequent separator near the start of a file, a comma when none occurs. Reads the first lines only."""
-    head = "\n".join(r.value for r in spark.read.text(path).limit(50).collect())[:SNIFF_CHARACTERS]
-    counts = {s: head.count(s) for s in SEPARATORS}
-    best = max(SEPARATORS, key=lambda s: counts[s])
-    return best if counts[best] else ","
+    """Most frequent separator of a file or folder, a comma when none occurs. Counts over the whole text in one job."""
+    line = F.col("value")
+    counted = spark.read.text(path).agg(
+        *[F.sum(F.length(line) - F.length(F.translate(line, s, ""))).alias(str(i)) for i, s in enumerate(SEPARATORS)]
+    )
+    counts = [n or 0 for n in counted.first()]
+    best = max(range(len(SEPARATORS)), key=lambda i: counts[i])
+    return SEPARATORS[best] if counts[best] else ","
 
 
 def header_names(spark: SparkSession, path: str, separator: str = ",", encoding: str = "UTF-8") -> list[str]:

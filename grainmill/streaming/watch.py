@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from grainmill.operators.drift import mean_drift, row_count_changes
+from grainmill.operators.drift import HISTORY, mean_drift, row_count_changes
 from grainmill.operators.explore import melt_row
 
 # Watch intervals by name.
@@ -49,17 +49,34 @@ def day_snapshots(
 
 
 def write_snapshots(snapshots: DataFrame, history: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """Append closed windows to the history table."""
+    """Write every batch's new or changed windows, the open one too, to a folder of its own; see `latest_snapshots`."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{history}/batch={number}")
+
     return (
-        snapshots.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", history)
+        snapshots.writeStream.outputMode("update")
+        .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**interval_trigger(interval))
         .start()
     )
 
 
+def latest_snapshots(spark: SparkSession, history: str) -> DataFrame:
+    """Each window as its last batch left it, with that batch's number."""
+    rows = spark.read.parquet(history)
+    others = [c for c in rows.columns if c not in ("snapshot", "batch")]
+    last = rows.groupBy("snapshot").agg(F.max_by(F.struct("batch", *others), "batch").alias("r"))
+    return last.select("snapshot", "r.batch", *[f"r.{c}" for c in others])
+
+
+def latest_alerts(spark: SparkSession, alerts: str, history: str) -> DataFrame:
+    """Alerts of each window's last state; those of an open window that a later batch changed are superseded."""
+    now = latest_snapshots(spark, history).select("snapshot", "batch")
+    return spark.read.parquet(alerts).join(now, ["snapshot", "batch"], "left_semi").drop("batch")
+
+
 def save_baseline(metrics: DataFrame, path: str, source: str) -> None:
     """Store one snapshot's metrics as the baseline of a source; storing again rebaselines it."""
     names = [c for c in metrics.columns if c != "snapshot"]
@@ -88,14 +105,21 @@ def watch(
     interval: str | None = None,
     lateness: str = "1 day",
 ) -> StreamingQuery:
-    """The whole watch: snapshots to the history, row-count and mean alerts to the alerts table."""
+    """The whole watch: snapshots to the history, row-count and mean alerts to the alerts table.
+
+    The open window is watched as well and is compared anew with every batch that changes it. A batch is held against
+    the windows of the last `HISTORY` snapshots before its own.
+    """
     spark = events.sparkSession
     metric_columns = ["row_count", *[f"{c}_mean" for c in numbers]]
 
     def compare(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{history}/batch={number}")
-        past = spark.read.parquet(history).where(F.col("batch") <= number)
-        fresh = spark.read.parquet(history).where(F.col("batch") == number)
+        fresh = spark.read.parquet(f"{history}/batch={number}")
+        first = fresh.agg(F.min("snapshot")).scalar()
+        known = latest_snapshots(spark, history).where(F.col("batch") <= number).drop("batch")
+        before = known.where(F.col("snapshot") < first).orderBy(F.col("snapshot").desc()).limit(HISTORY)
+        past = before.unionByName(known.where(F.col("snapshot") >= first))
         found = [
             row_count_changes(fresh, baseline_value(baseline, "row_count")).select(
                 "snapshot",
@@ -119,7 +143,7 @@ def watch(
 
     return (
         day_snapshots(events, moment, numbers, lateness)
-        .writeStream.outputMode("append")
+        .writeStream.outputMode("update")
         .foreachBatch(compare)
         .option("checkpointLocation", checkpoint)
         .trigger(**interval_trigger(interval))

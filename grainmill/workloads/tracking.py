@@ -201,7 +201,7 @@ def _(t):
 @query(
     "t12_registry",
     """WITH e AS (SELECT user_id AS name, event_id, ts FROM events), n AS (SELECT name, ARG_MAX(event_id, ts) AS entry, MAX(ts) AS moment FROM e GROUP BY 1)
-    SELECT name, entry FROM n ORDER BY moment DESC, name LIMIT 50""",
+    SELECT name, entry FROM n""",
 )
 def _(t):
     rows = t.events.select(F.col("user_id").alias("name"), F.col("event_id").alias("entry"), F.col("ts").alias("moment"))

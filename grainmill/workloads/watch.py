@@ -58,15 +58,14 @@ def _(t):
 
 @query(
     "z01_streamed_day_metrics",
-    f"""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS snapshot, COUNT(*) AS row_count, {fx('AVG(value)', 5)} AS value_mean FROM events
-    WHERE CAST(ts AS DATE) < (SELECT MAX(ts) - INTERVAL 1 HOUR - INTERVAL 1 DAY FROM events) GROUP BY 1""",
+    f"""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS snapshot, COUNT(*) AS row_count, {fx('AVG(value)', 5)} AS value_mean FROM events GROUP BY 1""",
 )
 def _(t):
     folder = scratch(t, "stream")
     events = watch.read_events(t.spark, t.folder, SCHEMAS["events"], "events.parquet")
     snapshots = watch.day_snapshots(events, "ts", ["value"], lateness="1 hour")
     watch.write_snapshots(snapshots, f"{folder}/history", f"{folder}/checkpoint").awaitTermination()
-    rows = t.spark.read.parquet(f"{folder}/history")
+    rows = watch.latest_snapshots(t.spark, f"{folder}/history")
     day = F.to_date("snapshot").cast("string").alias("snapshot")
     return rows.select(day, "row_count", fixed(F.col("value_mean"), 5).alias("value_mean"))
 
@@ -141,7 +140,16 @@ def _(t):
     return drift.null_regressions(missing_per_column(holes), missing_per_column(t.events))
 
 
-@query("z08_streamed_watch")
+@query(
+    "z08_streamed_watch",
+    """WITH d AS (SELECT CAST(ts AS DATE) AS day, COUNT(*) AS n, AVG(value) AS m FROM events GROUP BY 1),
+    b AS (SELECT n AS bn, m AS bm FROM d ORDER BY day LIMIT 1),
+    h AS (SELECT day, n, m, COUNT(m) OVER w AS k, AVG(m) OVER w AS e, STDDEV_SAMP(m) OVER w AS sd FROM d
+        WINDOW w AS (ORDER BY day ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)),
+    z AS (SELECT *, ABS(m - e) / CASE WHEN sd = 0 THEN 1e-9 ELSE sd END AS z, ABS(m - bm) / ABS(bm) * 100 AS p FROM h, b)
+    SELECT COUNT(*) AS days, COUNT(*) FILTER (WHERE ABS(n - bn) * 100.0 / bn > 20)
+        + COUNT(*) FILTER (WHERE (k >= 2 AND z > 2) OR (k < 2 AND p > 20)) AS alerts FROM z""",
+)
 def _(t):
     folder = scratch(t, "watch")
     metrics = drift.number_metrics(t.events, F.to_date("ts"), ["value"])
@@ -153,6 +161,6 @@ def _(t):
         events, "ts", ["value"], baseline, f"{folder}/history", f"{folder}/alerts", f"{folder}/checkpoint", lateness="1 hour"
     )
     stream.awaitTermination()
-    history = t.spark.read.parquet(f"{folder}/history").agg(F.count(F.lit(1))).scalar()
-    alerts = t.spark.read.parquet(f"{folder}/alerts")
+    history = watch.latest_snapshots(t.spark, f"{folder}/history").agg(F.count(F.lit(1))).scalar()
+    alerts = watch.latest_alerts(t.spark, f"{folder}/alerts", f"{folder}/history")
     return alerts.agg(history.alias("days"), F.count(F.lit(1)).alias("alerts"))
