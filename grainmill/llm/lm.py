@@ -218,7 +218,10 @@ def learn_mixture(histogram: pd.DataFrame) -> Mixture:
 def _scores(table: pa.Table, answers: pa.Table, mixture: Mixture) -> pa.Table:
     found = tokens(table.column("text"))
     c = _counts(found, answers, "all")
-    w = mixture.weights[bucket(c.context)]
+    w = mixture.weights[bucket(c.context)] * np.column_stack(
+        [c.context > 0, np.full(len(c.word), c.tokens > 0), np.ones(len(c.word), bool)]
+    )
+    w /= w.sum(1, keepdims=True)  # an estimate that does not exist leaves its weight to the others
     p = w[:, 0] * c.pair / np.maximum(c.context, 1) + w[:, 1] * c.word / max(c.tokens, 1) + w[:, 2] / (c.types + 1)
     starts = found.at[:-1]
     base = np.log10((c.word + 0.5) / (c.tokens + 0.5 * (c.types + 1)))
@@ -242,8 +245,8 @@ def score(
     Words are runs of bytes other than ASCII white space, lower-cased in A-Z; every text ends with one end token. The
     model learns from rows with `learn`; null counts as false. `base_score` is the sum over the tokens of
     log10((c + 0.5) / (N + 0.5 (V + 1))). Null texts are empty: one end. Repeated rows are scored and, where `learn`
-    holds, counted as often as they occur; a null id stays null. Without a training row every token has one chance in
-    one. Other columns are ignored. An empty table gives no rows.
+    holds, counted as often as they occur; a null id stays null. Without a training row every token has the probability
+    of one word in one. Other columns are ignored. An empty table gives no rows.
 
     The size of the texts is summed, the answers to all blocks are written to the checkpoint folder, and the mixture is
     learned before this returns.

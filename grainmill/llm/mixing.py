@@ -74,15 +74,15 @@ def budgets(
 ) -> DataFrame:
     """Leaf rows (levels, tokens) with `given`: the whole number of tokens a leaf is to contribute."""
     nodes = leaves.withColumn("capacity", F.col("tokens").cast("double") * max_epochs).where("capacity > 0")
+    for level in levels:
+        nodes = nodes.where(weight_of(level, weights) > 0)
     everything = Window.partitionBy(F.lit(0))
     total = F.sum(F.col("tokens").cast("double")).over(everything) * share if budget is None else F.lit(float(budget))
     nodes = nodes.withColumn("budget", F.least(total, F.sum("capacity").over(everything)))
     for depth, level in enumerate(levels):
         keys = list(levels[: depth + 1])
         tree = nodes.groupBy(*keys).agg(F.sum("capacity").alias("room"), F.max("budget").alias("budget"))
-        tree = tree.withColumn("weight", weight_of(level, weights)).withColumn(
-            "room", F.when(F.col("weight") > 0, F.col("room")).otherwise(0.0)
-        ).where("weight > 0")
+        tree = tree.withColumn("weight", weight_of(level, weights))
         parent = keys[:-1] or [F.lit(0)]
         shared = share_out(tree, parent, "budget", "room", "weight", level).select(*keys, F.col("given").alias("budget"))
         nodes = nodes.drop("budget").join(shared, keys)
@@ -211,7 +211,7 @@ def oracle(
         link = " AND ".join(f"t.{k} = p.{k}" for k in LEVELS[:depth]) or "TRUE"
         steps.append(f"""
         t{depth} AS (SELECT t.*, p.budget FROM (SELECT {keys}, SUM(tokens) * {max_epochs}::DOUBLE AS room,
-                {weight(level)} AS w FROM leaf GROUP BY {keys}) t JOIN {up} p ON {link} WHERE w > 0),
+                {weight(level)} AS w FROM leaf GROUP BY {keys}) t JOIN {up} p ON {link}),
         r{depth} AS (SELECT *, room / w AS ratio, budget - COALESCE(SUM(room) OVER (PARTITION BY {parent}
                 ORDER BY room / w, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_over,
                 SUM(w) OVER (PARTITION BY {parent} ORDER BY room / w, {level}
@@ -226,7 +226,8 @@ def oracle(
     return f"""WITH doc AS (SELECT doc_id, 'd' || (COALESCE(TRY_CAST(regexp_extract(COALESCE(source, ''),
             '([0-9]{{1,9}})$', 1) AS INT), 0) % 4) AS domain, COALESCE(lang, '?') AS lang, COALESCE(source, '?') AS source,
             len(regexp_extract_all(COALESCE(text, ''), '[^ \\t\\n\\x0B\\f\\r]+'))::BIGINT AS tokens FROM {table}),
-        leaf AS (SELECT domain, lang, source, SUM(tokens)::BIGINT AS tokens FROM doc GROUP BY ALL HAVING SUM(tokens) > 0),
+        leaf AS (SELECT domain, lang, source, SUM(tokens)::BIGINT AS tokens FROM doc
+            WHERE {" AND ".join(weight(level) + " > 0" for level in LEVELS)} GROUP BY ALL HAVING SUM(tokens) > 0),
         root AS (SELECT LEAST(SUM(tokens)::DOUBLE * {share}, SUM(tokens)::DOUBLE * {max_epochs}) AS budget FROM leaf),
         {",".join(steps).strip()},
         part AS (SELECT leaf.*, floor(s.budget + 0.5)::BIGINT AS given, floor(s.budget + 0.5)::BIGINT // tokens AS full_n
