@@ -488,11 +488,12 @@ def replace_negatives(df: DataFrame, column: str) -> Cleaned:
 
 
 def clean_name(name: str) -> str:
-    """Lower case, separators to underscores, special characters out, repeated underscores to one."""
-    import re
+    """The name's lower-cased words of letters and digits, joined by single underscores.
 
-    lowered = re.sub(r"[\s\-/\\]+", "_", name.strip().lower())
-    return re.sub(r"_+", "_", re.sub(r"[^\w_]", "", lowered)).strip("_")
+    Space, hyphen, slash, backslash and underscore part words; every other character is left out.
+    """
+    kept = "".join(c if c.isalnum() else " " if c.isspace() or c in "-/\\_" else "" for c in name.lower())
+    return "_".join(kept.split())
 
 
 def unique_names(names: Sequence[str]) -> list[str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -24,11 +25,39 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
     return SEPARATORS[best] if counts[best] else ","
 
 
-def header_names(spark: SparkSession, path: str, separator: str = ",", encoding: str = "UTF-8") -> list[str]:
-    """The raw header line, repeats and empty names as they are."""
-    reader = spark.read.option("header", False).option("sep", separator).option("encoding", encoding)
-    first = reader.csv(path).limit(1).collect()
-    return ["" if v is None else v for v in first[0]] if first else []
+def headers(
+    spark: SparkSession, paths: str | Sequence[str], separator: str = ",", encoding: str = "UTF-8"
+) -> dict[str, tuple[str, ...]]:
+    """The raw header of every file under the paths, repeats and empty names as they are. One job for all files.
+
+    Each file's first line comes from its first split; files without a line have no header.
+    """
+    lines = spark.read.text([paths] if isinstance(paths, str) else list(paths)).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.col("value"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+    first = lines.where("block = 0").groupBy("path").agg(F.min_by("value", "at").alias("line")).collect()
+    found = {}
+    for row in sorted(first, key=lambda r: r["path"]):
+        line = row["line"] if encoding.upper() == "UTF-8" else None
+        found[row["path"]] = tuple(next(csv.reader([line], delimiter=separator), [])) if line is not None else ()
+    if encoding.upper() != "UTF-8":
+        # The text reader knows UTF-8 only; in another encoding the CSV reader is asked, file by file of a few kinds.
+        reader = spark.read.option("header", False).option("sep", separator).option("encoding", encoding)
+        for path in found:
+            line = reader.csv(path).limit(1).collect()
+            found[path] = tuple("" if v is None else v for v in line[0]) if line else ()
+    return found
+
+
+def by_header(found: Mapping[str, tuple[str, ...]]) -> dict[tuple[str, ...], list[str]]:
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for path, names in found.items():
+        if names:
+            groups.setdefault(names, []).append(path)
+    return groups
 
 
 def resolved_names(raw: Sequence[str]) -> list[str]:
@@ -39,12 +68,24 @@ def resolved_names(raw: Sequence[str]) -> list[str]:
 def read_delimited(
     spark: SparkSession, path: str, separator: str | None = None, encoding: str = "UTF-8"
 ) -> DataFrame:
-    """Delimited text with a header, every column as text. The separator is sniffed when not given."""
+    """Delimited text with a header, every column as text. The separator is sniffed when not given.
+
+    Files of a folder with different headers are read by their own ones and put together by name.
+    """
     separator = separator or sniff_separator(spark, path)
-    names = resolved_names(header_names(spark, path, separator, encoding))
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True)
-    return reader.option("sep", separator).option("encoding", encoding).csv(path)
+    return _read_groups(spark, by_header(headers(spark, path, separator, encoding)), separator, encoding)
+
+
+def _read_groups(spark: SparkSession, groups: dict, separator: str = ",", encoding: str = "UTF-8") -> DataFrame:
+    """One scan for the files of each header; columns that a file lacks are null."""
+    frames = []
+    for header, members in groups.items():
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in resolved_names(header)])
+        reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True)
+        frames.append(reader.option("sep", separator).option("encoding", encoding).csv(members))
+    if not frames:
+        return spark.createDataFrame([], T.StructType([]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
@@ -94,15 +135,7 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 def read_union(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Several files as one table; columns a file lacks are null. Files with one header are read in one scan."""
-    headers = {p: tuple(header_names(spark, p)) for p in paths}
-    groups: dict[tuple, list[str]] = {}
-    for p, h in headers.items():
-        groups.setdefault(h, []).append(p)
-    frames = []
-    for header, members in groups.items():
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in resolved_names(header)])
-        frames.append(spark.read.schema(schema).option("header", True).csv(members))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return _read_groups(spark, by_header(headers(spark, paths)))
 
 
 def list_files(spark: SparkSession, folder: str, suffix: str = ".csv") -> list[str]:
@@ -115,7 +148,9 @@ def list_files(spark: SparkSession, folder: str, suffix: str = ".csv") -> list[s
 
 def catalog(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Every delimited file of a folder by name, for `integrity.inventory` and friends."""
-    return {p.rsplit("/", 1)[-1]: read_csv(spark, p) for p in list_files(spark, folder)}
+    paths = list_files(spark, folder)
+    found = headers(spark, paths) if paths else {}
+    return {p.rsplit("/", 1)[-1]: _read_groups(spark, by_header({p: h})) for p, h in found.items()}
 
 
 # ---------------------------------------------------------------- sinks

@@ -340,10 +340,10 @@ def _(t):
     return files.read_delimited(t.spark, path)
 
 
-@query("s04_given_encoding", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang FROM documents")
+@query("s04_given_encoding", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'é' || regexp_extract(text, '^([A-Za-zÀ-ÿ]*)', 1) AS word FROM documents")
 def _(t):
     path = scratch(t, "latin")
-    rows = t.documents.select("doc_id", "lang")
+    rows = t.documents.select("doc_id", F.concat(F.lit("é"), F.regexp_extract("text", "^([A-Za-zÀ-ÿ]*)", 1)).alias("word"))
     rows.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
     return files.read_delimited(t.spark, path, ",", encoding="ISO-8859-1")
 
@@ -370,11 +370,11 @@ def _(t):
 
 @query(
     "s07_directory_catalog",
-    "SELECT COUNT(*) AS files, (SELECT COUNT(*) FROM customer) AS rows FROM (SELECT 1)",
+    "SELECT CAST(3 AS BIGINT) AS files, COUNT(*) AS rows FROM customer",
 )
 def _(t):
     folder = scratch(t, "catalog")
-    files.write_csv(t.customer.repartition(1), folder)
+    files.write_csv(t.customer.repartition(3), folder)
     rows = integrity.inventory(files.catalog(t.spark, folder))
     return rows.agg(F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows"))
 
@@ -400,16 +400,16 @@ def _(t):
 def _(t):
     path = scratch(t, "children")
     child = F.struct(F.col("o_orderkey").alias("order_key"), F.struct(F.col("o_orderstatus").alias("status")).alias("detail"))
-    # Orders of a customer are spread over documents, so that no document holds an unbounded list.
-    grouped = t.orders.groupBy(F.col("o_custkey").alias("customer"), F.year("o_orderdate").alias("_y"), F.month("o_orderdate").alias("_m"))
-    grouped.agg(F.collect_list(child).alias("orders")).drop("_y", "_m").write.json(path)
+    # A document holds a customer's orders out of 64 consecutive numbers, so no list is longer than that.
+    grouped = t.orders.groupBy(F.col("o_custkey").alias("customer"), F.floor(F.col("o_orderkey") / 64).alias("_part"))
+    grouped.agg(F.collect_list(child).alias("orders")).drop("_part").write.json(path)
     return nested.read_records(t.spark, path, multi_line=False, root_list=False)
 
 
-@query("s12_nesting_depth", "SELECT COUNT(*) AS documents, 3 AS depth, 'orders' AS lists FROM (SELECT DISTINCT o_custkey, YEAR(o_orderdate), MONTH(o_orderdate) FROM orders)")
+@query("s12_nesting_depth", "SELECT COUNT(*) AS documents, 3 AS depth, 'orders' AS lists FROM (SELECT DISTINCT o_custkey, o_orderkey // 64 FROM orders)")
 def _(t):
     child = F.struct(F.col("o_orderkey").alias("order_key"))
-    rows = t.orders.groupBy(F.col("o_custkey").alias("customer"), F.year("o_orderdate"), F.month("o_orderdate"))
+    rows = t.orders.groupBy(F.col("o_custkey").alias("customer"), F.floor(F.col("o_orderkey") / 64).alias("_part"))
     nested_rows = rows.agg(F.collect_list(child).alias("orders")).select("customer", "orders")
     return nested_rows.agg(
         F.count(F.lit(1)).alias("documents"),
@@ -459,7 +459,7 @@ def _(t):
 )
 def _(t):
     path = scratch(t, "rowid")
-    dirty_customer(t).select("id", "name").coalesce(1).sortWithinPartitions("id").write.option("header", True).csv(path)
+    dirty_customer(t).select("id", "name").repartitionByRange(6, "id").sortWithinPartitions("id").write.option("header", True).csv(path)
     rows = rowid.number_file_rows(t.spark.read.schema("id bigint, name string").option("header", True).csv(path))
     return rows.agg(
         F.count(F.lit(1)).alias("rows"),
