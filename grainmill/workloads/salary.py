@@ -1,5 +1,7 @@
 """Pay statistics on parts (retail price as pay), hypothesis tests, and pay models."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from grainmill.functions.numbers import fixed
@@ -223,31 +225,60 @@ def _(t):
 
 # ---------------------------------------------------------------- models
 
-FEATURES = ["job_category", "experience_level", "work_setting", "company_size"]
+FEATURES = ["job_category", "experience_level", "employment_type", "work_setting", "company_size", "country_group"]
+
+
+def with_groups(rows):
+    """The two features that the pay statistics do not use."""
+    kind = F.when(F.col("id") % 7 < 5, "FT").when(F.col("id") % 7 < 6, "CT").otherwise("PT")
+    group = F.when(F.col("id") % 13 < 10, F.col("company_location")).otherwise("Other")
+    return rows.withColumns({"employment_type": kind, "country_group": group})
 
 
 def encoded(t: Tables):
-    rows = ml.model_rows(jobs(t), FEATURES, "salary", "id")
+    rows = ml.model_rows(with_groups(jobs(t)), FEATURES, "salary", "id")
     encoder = ml.Encoder(rows, FEATURES)
     return encoder, encoder.transform(rows)
 
 
 @query(
     "l14_label_codes",
-    f"""WITH {JOBS}, m AS (SELECT * FROM jobs WHERE company_size IS NOT NULL)
+    f"""WITH {JOBS}, m AS (SELECT *, CASE WHEN id % 7 < 5 THEN 'FT' WHEN id % 7 < 6 THEN 'CT' ELSE 'PT' END AS employment_type,
+    CASE WHEN id % 13 < 10 THEN company_location ELSE 'Other' END AS country_group FROM jobs WHERE company_size IS NOT NULL)
     SELECT id, CAST(DENSE_RANK() OVER (ORDER BY job_category) - 1 AS DOUBLE) AS job_category_enc,
     CAST(DENSE_RANK() OVER (ORDER BY experience_level) - 1 AS DOUBLE) AS experience_level_enc,
+    CAST(DENSE_RANK() OVER (ORDER BY employment_type) - 1 AS DOUBLE) AS employment_type_enc,
     CAST(DENSE_RANK() OVER (ORDER BY work_setting) - 1 AS DOUBLE) AS work_setting_enc,
-    CAST(DENSE_RANK() OVER (ORDER BY company_size) - 1 AS DOUBLE) AS company_size_enc FROM m""",
+    CAST(DENSE_RANK() OVER (ORDER BY company_size) - 1 AS DOUBLE) AS company_size_enc,
+    CAST(DENSE_RANK() OVER (ORDER BY country_group) - 1 AS DOUBLE) AS country_group_enc FROM m""",
 )
 def _(t):
     return encoded(t)[1].select("id", *[f"{f}_enc" for f in FEATURES])
 
 
+def evaluated(t: Tables, names, k: int):
+    """Metrics of the named regressors on one split and its folds; the encoded rows are cached meanwhile."""
+    kept = encoded(t)[1].persist()
+    try:
+        rows = [ml.evaluate(name, ml.regressors()[name], kept, "id", k)[1] for name in names]
+    finally:
+        kept.unpersist()
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
 @query("l15_l16_linear_model")
 def _(t):
-    _, rows = encoded(t)
-    return ml.evaluate("Linear Regression", ml.regressors()["Linear Regression"], rows.persist(), "id")[1]
+    return evaluated(t, ["Linear Regression"], 5)
+
+
+@query("l15_l16_random_forest")
+def _(t):
+    return evaluated(t, ["Random Forest"], 5)
+
+
+@query("l15_l16_gradient_boosting")
+def _(t):
+    return evaluated(t, ["Gradient Boosting"], 5)
 
 
 @query("l15_l18_forest_importances")
@@ -259,15 +290,11 @@ def _(t):
 
 @query("l17_best_model")
 def _(t):
-    _, rows = encoded(t)
-    kept = rows.persist()
-    candidates = {k: v for k, v in ml.regressors().items() if k != "Gradient Boosting"}
-    scores = [ml.evaluate(name, regressor, kept, "id", k=0)[1] for name, regressor in candidates.items()]
-    return ml.best_model(scores[0].unionByName(scores[1]))
+    return ml.best_model(evaluated(t, ml.regressors(), 0))
 
 
 @query("l19_predictions")
 def _(t):
     encoder, rows = encoded(t)
     model = ml.regressors()["Linear Regression"].fit(ml.split(rows, "id")[0])
-    return ml.predict(model, encoder, jobs(t)).select("id", fixed(F.col("predicted"), 2).alias("predicted"))
+    return ml.predict(model, encoder, with_groups(jobs(t))).select("id", fixed(F.col("predicted"), 2).alias("predicted"))
