@@ -372,11 +372,6 @@ def normalize_booleans(
 # ---------------------------------------------------------------- ranges and outliers
 
 
-def _violates(df: DataFrame, column: str, op: str, limit) -> Column:
-    value = numbers.to_double(F.col(column)) if is_text(df, column) else F.col(column)
-    return numbers.compare(value, op, F.lit(limit))
-
-
 def validate_ranges(df: DataFrame, rules: Sequence[tuple[str, str, float, str]]) -> Cleaned:
     """Rules `(column, op, limit, 'drop' | 'null' | 'cap')` in order; rows to drop are gathered and dropped last.
 
@@ -415,27 +410,41 @@ def parse_range_rules(lines: str) -> list[tuple[str, str, float, str]]:
         if not m:
             continue
         try:
-            rules.append((m.group(1), m.group(2), float(m.group(3)), m.group(4).lower()))
+            number = float(m.group(3))
+            # A whole limit stays whole, so that capping does not turn a whole-number column into doubles.
+            limit = int(number) if re.fullmatch(r"[+-]?[0-9]+", m.group(3)) else number
+            rules.append((m.group(1), m.group(2), limit, m.group(4).lower()))
         except ValueError:
             continue
     return rules
 
 
 def apply_range_rules(df: DataFrame, rules: Sequence[tuple[str, str, float, str]]) -> Cleaned:
-    """The same rules with drops applied at once: a dropped row is not seen by the rules after it."""
-    rows = df
-    removed, nulled, capped = [], [], []
-    for rule in rules:
-        if rule[0] not in rows.columns:
+    """The same rules with drops applied at once: a dropped row is not seen by the rules after it.
+
+    All rules are folded into one projection and their counts into one aggregate, whatever their number.
+    """
+    state = {c: F.col(c) for c in df.columns}
+    alive, counts = F.lit(True), {"drop": [], "null": [], "cap": []}
+    for column, op, limit, action in rules:
+        if column not in df.columns:
             continue
-        bad = _violates(rows, rule[0], rule[1], rule[2])
-        bucket = {"drop": removed, "null": nulled, "cap": capped}[rule[3]]
-        bucket.append(rows.agg(count_if(bad)).scalar())
-        rows = validate_ranges(rows, [rule]).df
-    metrics = df.sparkSession.range(1).select(
-        _total(removed, "rows_removed"), _total(nulled, "cells_nulled"), _total(capped, "cells_capped")
+        kind = df.schema[column].dataType
+        value = numbers.to_double(state[column]) if isinstance(kind, T.StringType) else state[column]
+        bad = alive & F.coalesce(numbers.compare(value, op, F.lit(limit)), F.lit(False))
+        counts[action].append(count_if(bad))
+        if action == "drop":
+            alive = alive & ~bad
+            continue
+        current = state[column]
+        if isinstance(kind, T.IntegralType) and action == "cap" and isinstance(limit, float):
+            current, kind = current.cast("double"), T.DoubleType()
+        state[column] = F.when(bad, F.lit(None) if action == "null" else F.lit(limit).cast(kind)).otherwise(current)
+    metrics = df.agg(
+        _total(counts["drop"], "rows_removed"), _total(counts["null"], "cells_nulled"), _total(counts["cap"], "cells_capped")
     )
-    return Cleaned(rows, metrics)
+    rows = df.select(*[state[c].alias(c) for c in df.columns], alive.alias("_alive")).where("_alive")
+    return Cleaned(rows.select(*df.columns), metrics)
 
 
 def outlier_bounds(df: DataFrame, column: str, method: str, threshold: float) -> Column:

@@ -280,6 +280,16 @@ def _(t):
     return clean.apply_range_rules(dirty_customer(t), rules).metrics
 
 
+@query(
+    "c20_range_rules_table",
+    f"""{C} SELECT id, CASE WHEN age >= 70 THEN 70 ELSE age END AS age, CASE WHEN NOT amount > 9000 THEN amount END AS amount
+    FROM dirty WHERE age >= 0""",
+)
+def _(t):
+    rules = clean.parse_range_rules("age < 0 -> drop\namount > 9000 -> null\nage >= 70 -> cap\nnot a rule")
+    return clean.apply_range_rules(dirty_customer(t).select("id", "age", "amount"), rules).df
+
+
 IQR = """b AS (SELECT QUANTILE_CONT(l_extendedprice, 0.25) AS q1, QUANTILE_CONT(l_extendedprice, 0.75) AS q3 FROM lineitem),
 lim AS (SELECT q1 - 0.5 * (q3 - q1) AS lo, q3 + 0.5 * (q3 - q1) AS hi FROM b)"""
 LINES = ["l_orderkey", "l_linenumber", "l_extendedprice"]
