@@ -18,7 +18,7 @@ from grainmill.functions.stats import count_if
 from grainmill.operators.clean import header_overlap, unnamed_columns
 from grainmill.operators.dedup import duplicate_count
 from grainmill.operators.explore import melt_row, numeric_columns, text_columns
-from grainmill.operators.profile import named, percent, value_stats
+from grainmill.operators.profile import distinct_counts, named, percent, value_stats
 
 # Words read as booleans, and their spelling groups.
 BOOLEAN_WORDS = ("true", "false", "yes", "no", "y", "n", "1", "0", "t", "f", "on", "off")
@@ -135,7 +135,7 @@ def duplicates(df: DataFrame) -> DataFrame:
     keys = _named(df.columns, UNIQUE_WORDS)
     if not keys:
         return found
-    stats = value_stats(df, keys)
+    stats = distinct_counts(df, keys)
     repeats = _finding("critical", "duplicate_unique_values", F.col("repeated"), F.lit(0.0))
     return found.unionByName(_rows(stats, [repeats]))
 
@@ -168,8 +168,9 @@ def text_types(df: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
             fields[c][name] = f"{c}|{name}"
     if not texts:
         return df.sparkSession.createDataFrame([], FINDING_SCHEMA)
-    stats = value_stats(df, texts).select("column", F.col("distinct_values").alias("distinct"))
-    rows = melt_row(df.agg(*aggregates), fields).join(_lowered_counts(df, texts), "column", "left").join(stats, "column", "left")
+    lowered = (F.col("trimmed_values") - F.col("case_variants")).alias("lowered")
+    stats = value_stats(df, texts).select("column", F.col("distinct_values").alias("distinct"), lowered)
+    rows = melt_row(df.agg(*aggregates), fields).join(stats, "column", "left")
     present = F.col("present")
     groups = sum(
         (F.when(F.arrays_overlap("words", F.array(*[F.lit(w) for w in g])), 1).otherwise(0) for g in BOOLEAN_GROUPS),
@@ -195,12 +196,6 @@ def text_types(df: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
     return _rows(rows.where(present > 0), [finding])
 
 
-def _lowered_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Distinct lower-cased values per column."""
-    stats = value_stats(df, columns)
-    return stats.select("column", (F.col("trimmed_values") - F.col("case_variants")).alias("lowered"))
-
-
 def formatting(df: DataFrame) -> DataFrame:
     """Spaces at the ends, and values spelled in several cases."""
     texts = text_columns(df)

@@ -155,8 +155,8 @@ def outlier_counts(df: DataFrame, columns: Sequence[str] | None = None, reach: f
 def value_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column: present, distinct and repeated values, distinct trimmed spellings with and without case.
 
-    Values longer than a digest are shuffled as digests. Counts combine map-side, so a value filling a third of the
-    table costs one row per task.
+    A cell is shuffled as its trimmed text and a 128-bit hash of the whole value; trimmed texts longer than a digest
+    as digests. Counts combine map-side, so a value filling a third of the table costs one row per task.
     """
     cells = []
     for c in columns:
@@ -165,19 +165,19 @@ def value_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         cells.append(
             F.struct(
                 F.lit(c).alias("column"),
-                _short(v).alias("value"),
+                *_hashes(v),
                 _short(stripped).alias("trimmed"),
-                _short(F.lower(stripped)).alias("lowered"),
+                F.when(F.length(stripped) > DIGEST, F.sha2(F.lower(stripped), 256)).alias("long"),
             )
         )
     counted = (
         df.select(F.explode(F.array(*cells)).alias("c"))
         .select("c.*")
-        .where(F.col("value").isNotNull())
-        .groupBy("column", "value", "trimmed", "lowered")
+        .where(F.col("trimmed").isNotNull())
+        .groupBy("column", "h1", "h2", "trimmed", "long")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    by_spelling = counted.groupBy("column", "lowered", "trimmed").agg(
+    by_spelling = counted.groupBy("column", F.coalesce("long", F.lower("trimmed")).alias("lowered"), "trimmed").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("values")
     )
     by_lower = by_spelling.groupBy("column", "lowered").agg(
@@ -195,8 +195,27 @@ def value_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+DIGEST = 64
+
+
 def _short(v: Column) -> Column:
-    return F.when(F.length(v) > 64, F.sha2(v, 256)).otherwise(v)
+    return F.when(F.length(v) > DIGEST, F.sha2(v, 256)).otherwise(v)
+
+
+def _hashes(v: Column) -> tuple[Column, Column]:
+    return F.xxhash64(v).alias("h1"), F.xxhash64(F.lit("second"), v).alias("h2")
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per column: present, distinct and repeated values. Only 128-bit hashes of the cells are shuffled."""
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).isNotNull().alias("there"), *_hashes(F.col(c))) for c in columns]
+    counted = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("there")
+    counted = counted.groupBy("column", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy("column").agg(
+        F.sum("n").alias("present"),
+        F.count(F.lit(1)).alias("distinct_values"),
+        (F.sum("n") - F.count(F.lit(1))).alias("repeated"),
+    )
 
 
 def typo_pairs(df: DataFrame, columns: Sequence[str] | None = None, most: int | None = None) -> DataFrame:
@@ -449,7 +468,7 @@ def column_report(df: DataFrame, found: DataFrame) -> DataFrame:
     """Per column: detected type, missing cells (blanks included for text), repeated values, issues, status."""
     types = detected_types(df)
     blanks = column_counts(df).select("column", "missing", F.coalesce("blanks", F.lit(0)).alias("blanks"))
-    repeats = value_stats(df, df.columns).select("column", "repeated")
+    repeats = distinct_counts(df, df.columns).select("column", "repeated")
     per_column = found.where(F.col("column").isNotNull()).groupBy("column").agg(F.count(F.lit(1)).alias("issues"))
     rows = (
         types.join(blanks, "column")
@@ -478,7 +497,7 @@ def column_report(df: DataFrame, found: DataFrame) -> DataFrame:
 def classify_columns(df: DataFrame) -> DataFrame:
     """Per column: numeric, categorical, datetime, identifier or text."""
     texts, numbers = text_columns(df), numeric_columns(df)
-    stats = value_stats(df, df.columns).select("column", "present", "distinct_values")
+    stats = distinct_counts(df, df.columns).select("column", "present", "distinct_values")
     aggregates, fields = [F.count(F.lit(1)).alias("rows")], {}
     for c in df.columns:
         v = text.strip(F.col(c))
