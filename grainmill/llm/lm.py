@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from grainmill.llm import bytesops
@@ -69,12 +70,53 @@ class Tokens:
     at: np.ndarray
 
 
-def tokens(texts: pa.ChunkedArray) -> Tokens:
-    """Words and one end for every text. The context of a first word is the end."""
+_PACK = pa.schema(
+    [("block", pa.int32()), ("ids", pa.list_(pa.int64())), ("learn", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64()))]
+    + [("texts", pa.binary())]
+)
+_PACK_SQL = "block int, ids array<bigint>, learn array<boolean>, sizes array<bigint>, texts binary"
+
+
+def _pack(batches):
+    """Rows of a task as one compressed pack per block and chunk: texts are shuffled twice, so they travel small."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for batch in bytesops.chunked(batches, "text"):
+        data, off = bytesops.buffers(bytesops.column(batch, "text"))
+        block = bytesops.column(batch, "block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        ids, learn = (bytesops.column(batch, c).take(pa.array(order)) for c in ("id", "learn"))
+        sizes = np.diff(off)[order]
+        bounds = np.flatnonzero(np.diff(block[order], prepend=-1))
+        rows = []
+        for s, e in zip(bounds, [*bounds[1:], len(order)]):
+            text = b"".join(data[off[i] : off[i + 1]] for i in order[s:e])
+            rows.append((block[order[s]], ids[s:e].to_pylist(), learn[s:e].to_pylist(), sizes[s:e].tolist(), squeeze(text)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PACK)], schema=_PACK)
+
+
+def _texts(packs: pa.Table):
+    """Bytes and offsets of the packs' texts, about a chunk at a time, in the packs' order."""
+    data, sizes, held = [], [], 0
+    for text, own in zip(packs.column("texts"), packs.column("sizes")):
+        data.append(zstandard.ZstdDecompressor().decompress(text.as_py(), max_output_size=max(1, sum(own.as_py()))))
+        sizes += own.as_py()
+        held += len(data[-1])
+        if held >= bytesops.CHUNK_BYTES:
+            yield np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+            data, sizes, held = [], [], 0
+    if sizes:
+        yield np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+def _flat(packs: pa.Table, name: str) -> pa.Array:
+    return packs.column(name).combine_chunks().flatten()
+
+
+def tokens(packs: pa.Table) -> Tokens:
+    """Words and one end for every text of a block. The context of a first word is the end."""
     words, counts = [], []
-    batches = pa.table({"text": texts}).to_batches()
-    for batch in bytesops.chunked(iter(batches), "text"):
-        hashes, at = bytesops.word_hashes(*bytesops.buffers(batch.column(0)))
+    for data, off in _texts(packs):
+        hashes, at = bytesops.word_hashes(data, off)
         ends = at[1:] + np.arange(len(at) - 1)
         own = np.full(len(hashes) + len(ends), _END, np.uint64)
         inside = np.ones(len(own), bool)
@@ -115,8 +157,8 @@ def _lists(found: Tokens) -> list[tuple[np.ndarray, np.ndarray, int]]:
 
 
 def _ask(block: int, table: pa.Table, parts: int) -> pa.Table:
-    found = tokens(table.column("text"))
-    learn = np.repeat(table.column("learn").to_numpy(), np.diff(found.at)).astype(bool)
+    found = tokens(table)
+    learn = np.repeat(_flat(table, "learn").to_numpy(zero_copy_only=False), np.diff(found.at)).astype(bool)
     rows = []
     for kind, (distinct, inverse, bits) in enumerate(_lists(found)):
         counts = np.bincount(inverse[learn], minlength=len(distinct))
@@ -185,9 +227,9 @@ def _cells(estimate: np.ndarray) -> np.ndarray:
 
 def _held_out(table: pa.Table, answers: pa.Table) -> pa.Table:
     """Histogram of a held-out block's training tokens: bucket, cells of the pair and word estimates, number of types."""
-    found = tokens(table.column("text"))
+    found = tokens(table)
     c = _counts(found, answers, "kept")
-    learn = np.repeat(table.column("learn").to_numpy(), np.diff(found.at)).astype(bool)
+    learn = np.repeat(_flat(table, "learn").to_numpy(zero_copy_only=False), np.diff(found.at)).astype(bool)
     pair, word = c.pair / np.maximum(c.context, 1), c.word / max(c.tokens, 1)
     frame = pd.DataFrame({"bucket": bucket(c.context)[learn], "pair": _cells(pair)[learn], "word": _cells(word)[learn]})
     frame = frame.value_counts().rename("n").reset_index()
@@ -216,7 +258,7 @@ def learn_mixture(histogram: pd.DataFrame) -> Mixture:
 
 
 def _scores(table: pa.Table, answers: pa.Table, mixture: Mixture) -> pa.Table:
-    found = tokens(table.column("text"))
+    found = tokens(table)
     c = _counts(found, answers, "all")
     w = mixture.weights[bucket(c.context)] * np.column_stack(
         [c.context > 0, np.full(len(c.word), c.tokens > 0), np.ones(len(c.word), bool)]
@@ -227,7 +269,7 @@ def _scores(table: pa.Table, answers: pa.Table, mixture: Mixture) -> pa.Table:
     base = np.log10((c.word + 0.5) / (c.tokens + 0.5 * (c.types + 1)))
     return pa.table(
         {
-            "id": table.column("id"),
+            "id": _flat(table, "ids"),
             "n_tokens": np.diff(found.at),
             "n_known": np.add.reduceat((c.word > 0).astype(np.int64), starts),
             "train_tokens": np.full(len(starts), c.tokens, np.int64),
@@ -267,6 +309,7 @@ def score(
     def answer(key, table):
         return _answer(key[0].as_py(), table, blocks)
 
+    rows = rows.mapInArrow(_pack, _PACK_SQL)
     asked = rows.groupBy("block").applyInArrow(ask, _REQUEST_SQL)
     answers = cut_lineage(asked.groupBy("part").applyInArrow(answer, _ANSWER_SQL))
 
