@@ -152,8 +152,11 @@ def actions_for(
     return []
 
 
-def preview(df: DataFrame, fix: str, column: str, n: int = 5) -> DataFrame:
-    """First `n` cells of a column that a fix would change, before and after. The limit is the preview itself."""
+def preview(df: DataFrame, fix: str, column: str, order: str, n: int = 5) -> DataFrame:
+    """First `n` cells of a column, along the row id `order`, that a fix would change, before and after.
+
+    The limit is the preview itself.
+    """
     c = F.col(column)
     after = {
         "fix_missing_values": F.coalesce(c.cast("string"), F.lit("Unknown")),
@@ -166,6 +169,7 @@ def preview(df: DataFrame, fix: str, column: str, n: int = 5) -> DataFrame:
         "fix_business_rules": F.when(~numbers.compare(c.try_cast("double"), "<", 0), c.cast("string")),
     }[fix]
     before = c.cast("string")
-    return df.where(~before.eqNullSafe(after)).select(F.lit(column).alias("column"), before.alias("before"), after.alias("after")).limit(n)
+    rows = df.where(~before.eqNullSafe(after)).orderBy(order).limit(n)
+    return rows.select(F.lit(column).alias("column"), before.alias("before"), after.alias("after"))
 
 

@@ -45,7 +45,12 @@ def _(t):
     return rows.withColumn("missing_pct", fixed(F.col("missing_pct"), 5))
 
 
-@query("i02_shared_columns")
+@query(
+    "i02_shared_columns",
+    """SELECT c AS "column", d AS dataset, n AS rows FROM (SELECT 'customer_id' AS c, 'facts' AS d, COUNT(*) AS n FROM orders
+    UNION ALL SELECT 'customer_id', 'master', COUNT(*) FROM customer UNION ALL SELECT 'date', 'facts', COUNT(*) FROM orders
+    UNION ALL SELECT 'date', 'days', COUNT(*) FROM events)""",
+)
 def _(t):
     tables = {
         "facts": t.orders.select(F.col("o_custkey").alias("customer_id"), F.col("o_orderdate").alias("date")),

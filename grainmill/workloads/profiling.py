@@ -12,6 +12,8 @@ from grainmill.workloads.fixtures import (
     dirty_customer,
     dirty_orders,
     sql_date,
+    sql_number,
+    sql_squeeze,
     sql_strip,
 )
 from grainmill.workloads.registry import fx, query
@@ -375,10 +377,15 @@ def _(t):
     return apply_plan(rows, [Action(name, params) for name, params in actions]).df
 
 
-@query("p08_fix_preview")
+@query(
+    "p08_fix_preview",
+    f"""{C}, a AS (SELECT 'name' AS "column", name AS before, {sql_squeeze('name')} AS after FROM dirty WHERE name IS DISTINCT FROM {sql_squeeze('name')} ORDER BY id LIMIT 5),
+    b AS (SELECT 'balance' AS "column", balance AS before, CAST({sql_number('balance')} AS VARCHAR) AS after FROM dirty
+        WHERE balance IS DISTINCT FROM CAST({sql_number('balance')} AS VARCHAR) ORDER BY id LIMIT 5) FROM a UNION ALL FROM b""",
+)
 def _(t):
-    return preview(dirty_customer(t), "fix_whitespace", "name").unionByName(
-        preview(dirty_customer(t), "fix_numeric", "balance")
+    return preview(dirty_customer(t), "fix_whitespace", "name", "id").unionByName(
+        preview(dirty_customer(t), "fix_numeric", "balance", "id")
     )
 
 
