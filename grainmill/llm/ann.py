@@ -168,7 +168,7 @@ def nearest(
         (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("part"), "id", "v", "t"
     )
 
-    def scan(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def scan(key, left, right):
         found = []
         if len(left) and len(right):
             ids, x = left["id"].to_numpy(), np.array(left["v"].tolist(), np.float64)

@@ -232,7 +232,7 @@ def join(
         .select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "n", "block", "grams")
     )
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key, frame):
         return _block(key, frame, threshold)
 
     verified = sent.groupBy("root", "i", "j").applyInPandas(run, "a bigint, b bigint, links bigint")

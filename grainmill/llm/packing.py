@@ -152,7 +152,7 @@ def pack(
     # A group is a hash of the id and of the document's number in its task, so repeated rows do not meet in one group.
     parts = parts.withColumn("group", F.pmod(F.xxhash64("id", "group", "n"), F.lit(groups)))
 
-    def in_group(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def in_group(key, frame):
         frame = frame.sort_values(["id", "n", "start", "crc"], kind="stable", na_position="first", ignore_index=True)
         lengths = np.minimum(frame["n"] - frame["start"], sequence).to_numpy()
         wide = np.array([b is not None for b in frame["ids"]], bool)

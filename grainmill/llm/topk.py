@@ -129,7 +129,7 @@ def top_k(
     dealt = rows.join(F.broadcast(blocks), "dim").withColumn("block", own("blocks")).withColumn("part", every("parts"))
     asked = asked.join(F.broadcast(blocks), "dim").withColumn("part", own("parts")).withColumn("block", every("blocks"))
 
-    def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def search(key, left, right):
         found: list = []
         if len(left) and len(right):
             x = np.array(left["v"].tolist(), np.float64)

@@ -5,8 +5,8 @@ them apart from ordinary ones. Both hold the ordinary dictionary as background,
 filler in place of the toxic content, so the same settings compress with both and only toxic content can make a
 difference. A window is a word between spaces, three times over, which is long enough to be compressed at all. A
 window's gap is its length under the ordinary dictionary minus that under the toxic one. A document's three largest
-gaps of different words are turned into a score by a logistic calibration on labelled documents that trained no
-dictionary.
+gaps of different words, and how many and how large a share of its windows have a gap, are turned into a score by a
+logistic calibration on labelled documents that trained no dictionary.
 
 Every word of a text is a window; equal words of a chunk of texts are compressed once.
 """
@@ -24,8 +24,8 @@ from grainmill.llm import bytesops, samples
 
 NGRAMS = (5, 6, 8)
 LEAST_DOCUMENTS = 5  # toxic documents that must hold an n-gram
-LEAST_EVIDENCE = 22.0  # nats of n * log(toxic rate / ordinary rate)
-LEAST_RATIO = 60.0
+LEAST_EVIDENCE = 30.0  # nats of n * log(toxic rate / ordinary rate)
+LEAST_RATIO = 10.0
 TOXIC_BYTES, ORDINARY_BYTES = 4096, 8192
 REPEAT = 3
 LEAST_GAP = 2
@@ -91,7 +91,7 @@ def _dictionary(parts: list[bytes], size: int) -> bytes:
 def train(sample: samples.Sample) -> Model:
     """Dictionaries from three quarters of the sample, calibration on the rest."""
     rate = sample.rate
-    constant = Model(b"", b"", (0.0,) * GAPS + (float(np.log((rate + 1e-3) / (1 - rate + 1e-3))),))
+    constant = Model(b"", b"", (0.0,) * (GAPS + 2) + (float(np.log((rate + 1e-3) / (1 - rate + 1e-3))),))
     cut = len(sample.texts) * 3 // 4
     toxic, ordinary, drawn = Counter(), Counter(), []
     rng, counts = np.random.default_rng(SEED), [0, 0]
@@ -135,8 +135,9 @@ def compressor(content: bytes) -> zstandard.ZstdCompressor:
 
 
 def document_gaps(model: Model, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Each row's `GAPS` largest gaps of different words, in descending order; gaps under `LEAST_GAP` count as 0."""
-    out = np.zeros((len(off) - 1, GAPS))
+    """Each row's `GAPS` largest gaps of different words, in descending order, and the logarithms of how many of its
+    words, and how many in 1,000 of its windows, have one. Gaps under `LEAST_GAP` count as none."""
+    out = np.zeros((len(off) - 1, GAPS + 2))
     if not model.toxic or not len(data):
         return out
     low = bytesops.LOWER[data]
@@ -151,6 +152,10 @@ def document_gaps(model: Model, data: np.ndarray, off: np.ndarray) -> np.ndarray
     hits = np.flatnonzero(gaps[inverse] >= LEAST_GAP)
     pairs = np.unique(np.column_stack([bytesops.owners(start, off)[hits], -gaps[inverse[hits]], inverse[hits]]), axis=0)
     place = np.arange(len(pairs)) - np.searchsorted(pairs[:, 0], pairs[:, 0])
+    found = np.bincount(pairs[:, 0], minlength=len(out))
+    windows = np.bincount(bytesops.owners(start, off), minlength=len(out))
+    out[:, GAPS] = np.log1p(found)
+    out[:, GAPS + 1] = np.log1p(1000 * found / np.maximum(windows, 1))
     pairs, place = pairs[place < GAPS], place[place < GAPS]
     out[pairs[:, 0], place] = -pairs[:, 1]
     return out
