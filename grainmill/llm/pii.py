@@ -3,9 +3,8 @@
 The patterns find e-mail addresses, internet addresses, card and phone numbers in a whole text, each kind from left to
 right without overlaps. The field labels words by their shapes (runs of letters, digits and signs) and by the shapes
 and cue words around them. It is trained from the small labelled table below and decoded by Viterbi's algorithm in
-numpy, for all stretches of a chunk of texts at once. A stretch is a run of words of a row within `CONTEXT` words of
-one that holds a digit, an at sign or an opening bracket; other words are not personal data. A found run of words with
-one label is a span where no pattern found anything.
+numpy over all words of a chunk of texts. Long texts are decoded as chains that overlap, so no word is without its
+neighbours. A found run of words with one label is a span where no pattern found anything.
 
 Spans are (start, end, kind) in code points, end exclusive.
 """
@@ -24,8 +23,9 @@ from grainmill.llm import bytesops
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("", *KINDS)
-CONTEXT = 4
-STRETCH = 512  # longest stretch decoded as one chain
+STRETCH = 512  # words whose labels one chain gives
+OVERLAP = 32  # words that a chain reads on either side of them
+MOST_SEEN = 200_000  # short words whose features a task keeps
 STEPS, RATE, RIDGE = 150, 0.15, 1e-3
 
 #: The labelled table: marked passages are [kind:text], everything else is no personal data.
@@ -82,6 +82,8 @@ width 120 height 240 depth 35 in mm
 isbn 978-3-16-148410-0 in print
 user 48213 posted 17 times @ home
 50 % @ 3 each (or 2 @ 5)
+they met at noon at the gate at last
+it goes at at at at at at at at and on
 """
 
 _IP = re.compile(rb"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
@@ -143,19 +145,20 @@ def shape(word: str) -> str:
     return "".join(out)
 
 
+def word_parts(word: str | None) -> tuple[list[str], list[str], list[str]]:
+    """Names of the features a word gives itself, the word after it and the word before it; None is a text's edge."""
+    if word is None:
+        return [], ["s-=", "w-=", "d-="], ["s+=", "w+="]
+    form, plain = shape(word), word.strip(".,;:!?\"'").lower()
+    digits = str(min(sum(c.isdigit() for c in word), 20))
+    own = [f"s={form}", f"w={plain}", f"d={digits}", f"@={'@' in word}", f"::={word.count(':') > 2}", f"any={digits != '0'}"]
+    return own, [f"s-={form}", f"w-={plain}", f"d-={digits}"], [f"s+={form}", f"w+={plain}"]
+
+
 def word_features(words: list[str]) -> list[list[str]]:
-    """Names of the features of every word of a stretch."""
-    shapes = [""] + [shape(w) for w in words] + [""]
-    plain = [""] + [w.strip(".,;:!?\"'").lower() for w in words] + [""]
-    digits = [""] + [str(min(sum(c.isdigit() for c in w), 20)) for w in words] + [""]
-    return [
-        [
-            f"s={shapes[i]}", f"s-={shapes[i - 1]}", f"s+={shapes[i + 1]}", f"w={plain[i]}", f"w-={plain[i - 1]}",
-            f"w+={plain[i + 1]}", f"d={digits[i]}", f"d-={digits[i - 1]}", f"@={'@' in words[i - 1]}",
-            f"::={words[i - 1].count(':') > 2}", f"any={digits[i] != '0'}",
-        ]
-        for i in range(1, len(words) + 1)
-    ]
+    """Names of the features of every word of a text."""
+    parts = [word_parts(w) for w in (None, *words, None)]
+    return [own + before[1] + after[2] for before, (own, _, _), after in zip(parts, parts[1:], parts[2:])]
 
 
 @dataclass(frozen=True)
@@ -169,7 +172,7 @@ def labelled_rows(table: str = LABELLED) -> list[tuple[list[str], list[int]]]:
     rows = []
     for line in table.strip().splitlines():
         words, labels = [], []
-        for part in re.split(r"(\[(?:email|ip|card|phone):.*?\](?=[ ,.]|$))", line):
+        for part in re.split(r"(\[(?:email|ip|card|phone):(?:[^][]|\[[^][]*\])*\])", line):
             mark = re.fullmatch(r"\[(email|ip|card|phone):(.*)\]", part)
             inside = (mark[2] if mark else part).split()
             if not mark and words and part[:1] in ",.":
@@ -181,7 +184,7 @@ def labelled_rows(table: str = LABELLED) -> list[tuple[list[str], list[int]]]:
 
 
 def _padded(ids: list[list[list[int]]], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers as (stretches, words, features) and the stretches' lengths."""
+    """Feature numbers as (rows, words, features) and the rows' lengths."""
     lengths = np.array([len(s) for s in ids])
     out = np.full((len(ids), lengths.max(), width), -1)
     for i, s in enumerate(ids):
@@ -236,7 +239,7 @@ def train(rows: list[tuple[list[str], list[int]]] | None = None) -> Field:
 
 
 def viterbi(emit: np.ndarray, lengths: np.ndarray, transition: np.ndarray) -> np.ndarray:
-    """Best labels of every stretch, all stretches step by step together."""
+    """Best labels of every chain, all chains step by step together."""
     n, longest, k = emit.shape
     score, back = emit[:, 0].copy(), np.zeros((n, longest, k), np.int8)
     for t in range(1, longest):
@@ -252,58 +255,110 @@ def viterbi(emit: np.ndarray, lengths: np.ndarray, transition: np.ndarray) -> np
     return best
 
 
-def stretches(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words near a digit, an at sign or an opening bracket, and where a new stretch begins."""
-    start, end = bytesops.word_spans(data, off)
-    hint = np.zeros(256, bool)
-    hint[48:58] = hint[[ord(c) for c in "@(["]] = True
-    running = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(hint[data], out=running[1:])
-    place = np.flatnonzero(running[end] > running[start])
+class Weights:
+    """What words add to the labels' weights of themselves, of the word after and of the word before.
+
+    Most words differ in nothing the field knows, so there are few different rows. Words of small letters that the
+    field does not know, with or without a capital before and a stop or comma behind, are told by their bytes.
+    """
+
+    def __init__(self, field: Field):
+        self.field, self.rows, self.kinds, self.seen = field, [], {}, {}
+        self.edge = self._row(word_parts(None))
+        known = [n[n.index("=") + 1 :].encode() for n in field.names if n.startswith("w")]
+        data, off = bytesops.buffers(pa.array(known, pa.binary()))
+        self.known = np.unique(bytesops.span_hashes(data, off[:-1], off[1:]))
+        other = "q" * (1 + max(map(len, known), default=0))
+        self.plain = np.array([self._row(word_parts(w + t)) for t in ("", ".", ",") for w in (other, other.capitalize())])
+
+    def _row(self, parts: tuple[list[str], ...]) -> int:
+        names, none = self.field.names, len(self.field.names)
+        key = tuple([tuple([names.get(f, none) for f in fs]) for fs in parts])
+        if key not in self.kinds:
+            self.kinds[key] = len(self.rows)
+            self.rows.append([self.field.emission[list(fs)].sum(0) for fs in key])
+        return self.kinds[key]
+
+    def of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All rows so far, and each word's place among them."""
+        if len(self.seen) > MOST_SEEN:
+            self.seen.clear()
+        low, last = bytesops.LOWER[data], data[end - 1]
+        stop = np.where(last == ord("."), 1, np.where(last == ord(","), 2, 0))
+        capital = (data[start] >= 65) & (data[start] <= 90)
+        running = np.zeros(len(data) + 1, np.int64)
+        np.cumsum((data < 97) | (data > 122), out=running[1:])
+        upto, after = end - (stop > 0), start + capital
+        plain = (upto > after) & (running[np.maximum(upto, after)] == running[after])
+        plain &= ~np.isin(bytesops.span_hashes(low, start, np.maximum(upto, start)), self.known)
+        places = self.plain[2 * stop + capital]
+        raw, seen, rest = data.tobytes(), self.seen, np.flatnonzero(~plain)
+        for i, s, e in zip(rest.tolist(), start[rest].tolist(), end[rest].tolist()):
+            word = raw[s:e]
+            place = seen.get(word)
+            if place is None:
+                place = self._row(word_parts(word.decode("utf-8", "replace")))
+                if e - s <= 32:
+                    seen[word] = place
+            places[i] = place
+        return np.array(self.rows), places
+
+
+_WEIGHTS: dict[int, Weights] = {}
+
+
+def emissions(field: Field, data: np.ndarray, off: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Weights of every word's labels. Features are of one word each, so equal words are looked at once."""
+    known = _WEIGHTS.get(id(field))
+    if known is None or known.field is not field:
+        _WEIGHTS.clear()
+        known = _WEIGHTS[id(field)] = Weights(field)
+    _, first, inverse = np.unique(bytesops.span_hashes(data, start, end), return_index=True, return_inverse=True)
+    rows, places = known.of(data, start[first], end[first])
+    edge, places = rows[known.edge], places[inverse]
+    own, before, after = (rows[places, i] for i in range(3))
     row = bytesops.owners(start, off)
-    near = np.zeros(len(start) + 1, np.int64)
-    np.add.at(near, np.maximum(place - CONTEXT, 0), 1)
-    np.add.at(near, np.minimum(place + CONTEXT + 1, len(start)), -1)
-    # Words of a neighbouring row may be taken along; they have no hint of their own and are cut off by the row.
-    taken = np.flatnonzero(np.cumsum(near[:-1]) > 0)
-    fresh = np.ones(len(taken), bool)
-    fresh[1:] = (taken[1:] != taken[:-1] + 1) | (row[taken[1:]] != row[taken[:-1]])
-    first = np.flatnonzero(fresh)
-    since = np.arange(len(taken)) - np.repeat(first, np.diff(np.append(first, len(taken))))
-    return start[taken], end[taken], since % STRETCH == 0
+    same = (row[1:] == row[:-1])[:, None]
+    own[1:] += np.where(same, before[:-1], edge[1])
+    own[:-1] += np.where(same, after[1:], edge[2])
+    own[0] += edge[1]
+    own[-1] += edge[2]
+    return own
+
+
+def chains(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last+1 words whose labels a chain gives, and those that it reads, for rows of so many words."""
+    last = np.cumsum(counts)
+    pieces = -(-counts // STRETCH)
+    row = np.repeat(np.arange(len(counts)), pieces)
+    since = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    lower, upper = (last - counts)[row], last[row]
+    start = lower + since * STRETCH
+    end = np.minimum(start + STRETCH, upper)
+    return start, end, np.maximum(start - OVERLAP, lower), np.minimum(end + OVERLAP, upper)
 
 
 def decode(field: Field, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int]]:
     """(start, end, kind number) in bytes of the runs of words that the field labels."""
-    start, end, fresh = stretches(data, off)
+    start, end = bytesops.word_spans(data, off)
     if not len(start):
         return []
-    words = [data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(start, end)]
-    firsts = np.flatnonzero(fresh)
-    lasts = np.append(firsts[1:], len(words))
-    none = len(field.names)
-    ids, keep = [], []
-    for a, b in zip(firsts.tolist(), lasts.tolist()):
-        ids.append([[field.names.get(f, none) for f in fs] for fs in word_features(words[a:b])])
-        keep.append((a, b))
-    order = sorted(range(len(ids)), key=lambda i: len(ids[i]))
-    found = []
+    emit = emissions(field, data, off, start, end)
+    labels = np.zeros(len(start), np.int64)
+    own_from, own_to, read_from, read_to = chains(np.diff(np.searchsorted(start, off)))
+    order = np.argsort(read_to - read_from, kind="stable")
     for at in range(0, len(order), 1024):
         part = order[at : at + 1024]
-        x, lengths = _padded([ids[i] for i in part], len(ids[part[0]][0]))
-        best = viterbi(field.emission[x].sum(2), lengths, field.transition)
-        for i, labels in zip(part, best):
-            a, b = keep[i]
-            t = a
-            while t < b:
-                label = labels[t - a]
-                to = t + 1
-                while to < b and labels[to - a] == label:
-                    to += 1
-                if label:
-                    found.append((int(start[t]), int(end[to - 1]), int(label) - 1))
-                t = to
-    return found
+        lengths = (read_to - read_from)[part]
+        place = read_from[part, None] + np.arange(lengths.max())
+        best = viterbi(emit[np.minimum(place, len(emit) - 1)], lengths, field.transition)
+        own = (place >= own_from[part, None]) & (place < own_to[part, None])
+        labels[place[own]] = best[own]
+    row = bytesops.owners(start, off)
+    fresh = np.flatnonzero(np.append(True, (labels[1:] != labels[:-1]) | (row[1:] != row[:-1])))
+    lasts = np.append(fresh[1:], len(labels)) - 1
+    marked = labels[fresh] > 0
+    return list(zip(start[fresh[marked]].tolist(), end[lasts[marked]].tolist(), (labels[fresh[marked]] - 1).tolist()))
 
 
 _TRIM = b"\"'<>{}.,;:!?*|"

@@ -66,6 +66,37 @@ def test_the_field_finds_other_forms(field):
     assert found == [[("email", "jane (at) example (dot) com")], [("phone", "555-123-4567")], [], [("phone", "0171 2345678")]]
 
 
+MARK = re.compile(r"\[(email|ip|card|phone):((?:[^][]|\[[^][]*\])*)\]")
+
+
+@pytest.mark.parametrize("line", pii.LABELLED.strip().splitlines())
+def test_labelled_rows_are_found_inside_plain_text(field, line):
+    text = f"The long evening went by and nobody spoke. {MARK.sub(r'\2', line)} . Then the others came in from the garden"
+    base, added = pii.find(field, *bytesops.buffers(pa.array([text])))
+    found = [(k, *pii.trimmed(text.encode(), s, e)) for s, e, k in base[0] + added[0]]
+    want = [(pii.KINDS.index(m[1]), m[2]) for m in MARK.finditer(line)]
+    # A pattern may read the address alone, without its port or its net.
+    assert len(found) == len(want) and all(k == j and text[s:e] in w and len(w) - e + s < 6 for (k, s, e), (j, w) in zip(found, want))
+
+
+def test_numbers_across_the_seams_of_chains_are_whole(field):
+    for before in range(pii.STRETCH - 6, pii.STRETCH + 3):
+        text = "word 7 " * (before // 2) + "word " * (before % 2) + "call + 44 20 7946 0958 in the morning " + "word 7 " * 400
+        _, added = pii.find(field, *bytesops.buffers(pa.array([text])))
+        (whole,) = pii.find(field, *bytesops.buffers(pa.array(["word 7 " * 20 + "word " * (before % 2) + text[text.index("call") :]])))[1]
+        at = text.index("call") - 140 - 5 * (before % 2)
+        assert added[0] == [(s + at, e + at, k) for s, e, k in whole] and len(whole) == 1
+
+
+def test_weights_of_words_are_sums_of_their_features(field):
+    rows = ["Write to lee at example dot com, or CALL A b. Été 東京 x1 (at)", "", "one", "Qq, qq. at, At. q,, ., . é"] * 2
+    data, off = bytesops.buffers(pa.array(rows))
+    got = pii.emissions(field, data, off, *bytesops.word_spans(data, off))
+    feats = [fs for r in rows for fs in pii.word_features(r.split())]
+    want = [field.emission[[field.names.get(f, -1) for f in fs]].sum(0) for fs in feats]
+    assert np.allclose(got, want)
+
+
 def test_viterbi_matches_enumeration():
     rng = np.random.default_rng(4)
     emit, transition, lengths = rng.normal(size=(3, 4, 3)), rng.normal(size=(3, 3)), np.array([1, 3, 4])
