@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
+import os
 import zlib
 
 import numpy as np
@@ -39,18 +41,37 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 _ENCODERS: dict[str, object] = {}
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Added tokens of the tokenizer file of the same name as a rank file; none where there is no such file."""
+    file = os.path.splitext(path)[0] + ".json"
+    if not os.path.exists(file):
+        return {}
+    with open(file, encoding="utf-8") as lines:
+        tokens = json.load(lines)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
+        raise ValueError(f"{file}: added tokens that reach beyond their own characters")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 def encoder(path: str):
-    """Byte-pair encoder of a public rank file, opened once per process; special strings are ordinary text."""
+    """Byte-pair encoder of a public rank file, opened once per process, with the tokenizer file's added tokens."""
     if path not in _ENCODERS:
         import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _ENCODERS[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _ENCODERS[path] = tiktoken.Encoding(
+            "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(path)
+        )
     return _ENCODERS[path]
 
 
+def token_ids(path: str, text: str) -> list[int]:
+    """Ids of a text; an added token in it is its own id, as the tokenizer file has it."""
+    return encoder(path).encode(text, allowed_special="all", disallowed_special=())
+
+
 def cost(n: float) -> float:
     return n + QUADRATIC * n * n
 
@@ -123,12 +144,11 @@ def pack(
     groups = max(1, -(-df.count() // group_rows))
 
     def tokenise(batches):
-        encode = encoder(path).encode_ordinary
         serial = 0
         for batch in bytesops.chunked(batches, "text"):
             rows = {name: [] for name in ("id", "n", "start", "crc", "group", "ids")}
             for doc_id, text in zip(bytesops.column(batch, "id").to_pylist(), bytesops.column(batch, "text").to_pylist()):
-                ids = encode(text) if text else []
+                ids = token_ids(path, text) if text else []
                 ids.append(end_id)
                 small = np.array(ids, np.uint16 if max(ids) < 65536 else np.uint32)
                 whole = len(small) // sequence * sequence

@@ -341,3 +341,23 @@ def test_pieces_hold_the_tokenizers_ids(docs, odd, nothing):
         assert rows.groupby("sequence_id").length.sum().max() <= 1024
     assert packing.pack(odd).where("doc_id = 4").count() == 2 and packing.pack(odd).where("doc_id IS NULL").count() == 1
     assert packing.pack(nothing).count() == 0
+
+
+ADDED = ["<|endoftext|>", "<|endoftext", "|>", "<|", " ", "  ", "\n", "page", " one", "'s", "é", "12", "<|ENDOFTEXT|>"]
+
+
+def test_added_tokens_have_the_tokenizers_ids():
+    import public_tokenizers
+    import tokenizers
+
+    reference, rng = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(3)
+    for _ in range(500):
+        text = "".join(rng.choices(ADDED, k=rng.randint(0, 12)))
+        assert packing.token_ids(packing.vocabulary_path(), text) == reference.encode(text, add_special_tokens=False).ids
+
+
+def test_pieces_of_texts_with_added_tokens(spark):
+    text = "page one <|endoftext|> page two"
+    (row,) = packing.pack(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
+    want = [7700, 530, 220, 50256, 2443, 734, 0]
+    assert (row.doc_tokens, row.ids_crc32) == (len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
