@@ -8,7 +8,8 @@ window's gap is its length under the ordinary dictionary minus that under the to
 gaps of different words, and how many and how large a share of its windows have a gap, are turned into a score by a
 logistic calibration on labelled documents that trained no dictionary.
 
-Every word of a text is a window; equal words of a chunk of texts are compressed once.
+Every word of a text is a window; equal words of a chunk of texts are compressed once. A run of more than `PIECE`
+bytes without spaces is cut into overlapping windows that cover the whole run.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ LEAST_DOCUMENTS = 5  # toxic documents that must hold an n-gram
 LEAST_EVIDENCE = 30.0  # nats of n * log(toxic rate / ordinary rate)
 LEAST_RATIO = 10.0
 TOXIC_BYTES, ORDINARY_BYTES = 4096, 8192
+PIECE, STEP = 200, 136  # bytes of a window of a long run, and from one to the next
+CELLS = 1 << 25  # counters for n-grams of long runs, of which only frequent ones are kept
 REPEAT = 3
 LEAST_GAP = 2
 GAPS = 3
@@ -44,24 +47,62 @@ def _words(text: bytes) -> list[bytes]:
     return bytesops.LOWER[np.frombuffer(text, np.uint8)].tobytes().split()
 
 
+def pieces(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of at most `PIECE` bytes that cover the given ones, and the place of each one's given span."""
+    count = 1 + np.maximum(-(-(end - start - PIECE) // STEP), 0)
+    of = np.repeat(np.arange(len(start)), count)
+    first = start[of] + STEP * (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count))
+    return first, np.minimum(first + PIECE, end[of]), of
+
+
+def _cut(words: list[bytes]) -> list[bytes]:
+    start, end, of = pieces(np.zeros(len(words), np.int64), np.array([len(w) for w in words], np.int64))
+    return [words[i][s:e] for i, s, e in zip(of.tolist(), start.tolist(), end.tolist())]
+
+
 def _grams(padded: bytes):
     return ((k, n) for n in NGRAMS for k in range(len(padded) - n + 1))
 
 
+def _cells(padded: bytes) -> np.ndarray:
+    data = np.frombuffer(padded, np.uint8)
+    at = np.concatenate([np.arange(len(data) - m + 1) for m in NGRAMS])
+    size = np.repeat(NGRAMS, [len(data) - m + 1 for m in NGRAMS])
+    return (bytesops.span_hashes(data, at, at + size) % np.uint64(CELLS)).astype(np.int64)
+
+
+def frequent_grams(toxic: Counter) -> Counter:
+    """N-grams of words with the numbers of documents that hold these words, `LEAST_DOCUMENTS` or more.
+
+    An n-gram of long runs only is counted by its text once its counter has enough, so memory does not hold all.
+    """
+    found: Counter = Counter()
+    long = {w: n for w, n in toxic.items() if len(w) > PIECE}
+    for word, n in toxic.items():
+        if word not in long:
+            padded = b" " + word + b" "
+            for gram in {padded[k : k + m] for k, m in _grams(padded)}:
+                found[gram] += n
+    if long:
+        counters = np.zeros(CELLS, np.int32)
+        for word, n in long.items():
+            counters[np.unique(_cells(b" " + word + b" "))] += n
+        for word, n in long.items():
+            padded = b" " + word + b" "
+            enough = (counters[_cells(padded)] >= LEAST_DOCUMENTS).tolist()
+            for gram in {g for (k, m), many in zip(_grams(padded), enough) if (g := padded[k : k + m]) in found or many}:
+                found[gram] += n
+    return Counter({g: n for g, n in found.items() if n >= LEAST_DOCUMENTS})
+
+
 def distinctive(toxic: Counter, ordinary: Counter, n_toxic: int, n_ordinary: int) -> Counter:
     """Stretches of toxic documents' words covered by n-grams that set these documents apart, with their counts."""
-    of_toxic: Counter = Counter()
-    for word, n in toxic.items():
-        padded = b" " + word[:200] + b" "
-        for gram in {padded[k : k + m] for k, m in _grams(padded)}:
-            of_toxic[gram] += n
-    of_toxic = Counter({g: n for g, n in of_toxic.items() if n >= LEAST_DOCUMENTS})
+    of_toxic = frequent_grams(toxic)
     of_ordinary: Counter = Counter()
     for word, n in ordinary.items():
-        padded = b" " + word[:200] + b" "
-        for k, m in _grams(padded):
-            if padded[k : k + m] in of_toxic:
-                of_ordinary[padded[k : k + m]] += n
+        padded = b" " + word + b" "
+        for gram in {g for k, m in _grams(padded) if (g := padded[k : k + m]) in of_toxic}:
+            of_ordinary[gram] += n
     marks = set()
     for gram, n in of_toxic.items():
         ratio = (n / n_toxic) / ((of_ordinary[gram] + 0.5) / n_ordinary)
@@ -69,7 +110,7 @@ def distinctive(toxic: Counter, ordinary: Counter, n_toxic: int, n_ordinary: int
             marks.add(gram)
     found: Counter = Counter()
     for word, n in toxic.items():
-        padded = b" " + word[:200] + b" "
+        padded = b" " + word + b" "
         covered = np.zeros(len(padded) + 2, np.int8)
         for k, m in _grams(padded):
             if padded[k : k + m] in marks:
@@ -99,6 +140,7 @@ def train(sample: samples.Sample) -> Model:
         words = _words(text)
         counts[label] += 1
         (toxic if label else ordinary).update(set(words))
+        words = _cut(words)
         if words and not label:
             picked = rng.integers(0, len(words), min(len(words), 40))
             drawn.append(b" " + b" ".join(words[i] for i in picked) + b" ")
@@ -141,13 +183,16 @@ def document_gaps(model: Model, data: np.ndarray, off: np.ndarray) -> np.ndarray
     if not model.toxic or not len(data):
         return out
     low = bytesops.LOWER[data]
-    start, end = bytesops.word_spans(low, off)
-    hashes = bytesops.span_hashes(low, start, end)
+    whole_start, whole_end = bytesops.word_spans(low, off)
+    start, end, of = pieces(whole_start, whole_end)
+    left, right = start == whole_start[of], end == whole_end[of]
+    with np.errstate(over="ignore"):
+        hashes = bytesops.span_hashes(low, start, end) + np.uint64(0x9E3779B97F4A7C15) * (2 * left + right).astype(np.uint64)
     _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
     raw, plain, tainted = low.tobytes(), compressor(model.ordinary).compress, compressor(model.toxic).compress
     gaps = np.empty(len(first), np.int64)
-    for i, (s, e) in enumerate(zip(start[first].tolist(), end[first].tolist())):
-        window = (b" " + raw[s:e] + b" ") * REPEAT
+    for i, (s, e, x, y) in enumerate(zip(start[first].tolist(), end[first].tolist(), left[first].tolist(), right[first].tolist())):
+        window = (b" " * x + raw[s:e] + b" " * y) * REPEAT
         gaps[i] = len(plain(window)) - len(tainted(window))
     hits = np.flatnonzero(gaps[inverse] >= LEAST_GAP)
     pairs = np.unique(np.column_stack([bytesops.owners(start, off)[hits], -gaps[inverse[hits]], inverse[hits]]), axis=0)

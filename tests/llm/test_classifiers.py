@@ -45,6 +45,30 @@ def test_held_out_toxicity(more_docs, labels, model):
     assert held_out(toxicity.score(more_docs.select("doc_id", "text"), model), labels, "toxic", 3, 1) > 0.85
 
 
+def test_long_runs_are_judged_to_their_end(model):
+    ordinary = bytes(np.random.default_rng(2).integers(97, 123, 100_000, dtype=np.uint8))
+    toxic = model.toxic[:60].replace(b" ", b"")
+    for before in (0, 10_000, 50_000, 99_900, 100_000):
+        data, off = bytesops.buffers(pa.array([ordinary[:before] + toxic + ordinary[before:], ordinary], pa.binary()))
+        gaps = toxicity.document_gaps(model, data, off)
+        assert gaps[0, 0] >= 10 > gaps[1, 0], before
+
+
+def test_training_reads_long_runs_to_their_end():
+    rng, parts, labels = np.random.default_rng(4), [], []
+    for i in range(80):
+        run = bytes(rng.integers(97, 123, 3000, dtype=np.uint8))
+        parts.append(run[:2500] + b"verbotenestun" + run[2500:] if i % 2 else run)
+        labels.append(i % 2)
+    assert any(b"verbotene" in stretch for stretch in toxicity.distinctive(
+        *[toxicity.Counter(p for p, y in zip(parts, labels) if y == k) for k in (1, 0)], 40, 40
+    ))
+    start, end, of = toxicity.pieces(np.array([0, 5, 1000]), np.array([5, 705, 1200]))
+    for k, (s, e) in enumerate(((0, 5), (5, 705), (1000, 1200))):
+        own = [(a, b) for a, b, o in zip(start, end, of) if o == k]
+        assert own[0][0] == s and own[-1][1] == e and all(c < b for (_, b), (c, _) in zip(own, own[1:]))
+
+
 def test_held_out_language(more_docs, net):
     rows = langid.identify(more_docs.select("doc_id", "text", "lang"), net).where(samples.held_out("doc_id", 4, 2)).toPandas()
     assert (rows.lang == rows.lang_pred).mean() > 0.97
