@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from grainmill.llm import ann, jaccard, langid, lm, mixing, packing, pii, quality, samples, topk, toxicity
+from grainmill.llm import (
+    ann, jaccard, langid, lm, mixing, packing, pii, quality, quality_rules, samples, topk, toxicity, trie, whitening,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 LABELS = "doc_id bigint, quality int, toxic int"
+CONVERSATIONS = "conv_id bigint, turn bigint, role string, text string"
 EMBEDDINGS = "vec_id bigint, embedding array<float>, label int"
 
 MIX_WEIGHTS = {
@@ -128,3 +131,24 @@ def byte_network_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), net).select(
         "doc_id", samples.held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score"
     )
+
+
+@register("op11_refined_whitening")
+def refined_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings", EMBEDDINGS).select("vec_id", "embedding"))
+
+
+@register("op12_parentheses_trie", trie.ORACLE)
+def parentheses_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, folder, "conversations", CONVERSATIONS))
+
+
+@register("op13_ngram_quality_rules")
+def ngram_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """The regression learns from labelled rows outside the fold that `held_out` marks."""
+    docs = documents(spark, folder).select("doc_id", "text")
+    labels = table(spark, folder, "labels", LABELS)
+    keep, limit = samples.remainder("id", 5) != 0, quality_rules.SAMPLE_ROWS
+    model = quality_rules.train(samples.labelled(docs, labels, "quality", keep, limit))
+    judged_rows = quality_rules.apply_rules(docs, model).drop("text")
+    return judged_rows.withColumn("held_out", samples.held_out("doc_id", 5, 0))
