@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from grainmill.functions.stats import correlation, count_if, skew, skew_label, sum_if
 from grainmill.functions.text import within_one_edit
+from grainmill.operators import moments
 from grainmill.operators.quantiles import column_quantiles, quantiles
 from grainmill.operators.series import largest_gap
 from grainmill.operators.values import distinct_stats, top_values, value_counts
@@ -127,12 +128,19 @@ def datetime_profile(df: DataFrame, moment: str) -> DataFrame:
     )
 
 
+# More pairs of columns than an aggregate of one expression each compiles well for.
+WIDE = 12
+
+
 def correlation_pairs(df: DataFrame, columns: Sequence[str], above: float | None = None) -> DataFrame:
-    """Pearson correlation of every pair in one aggregate; kept where |r| exceeds `above`."""
+    """Pearson correlation of every pair in one scan; kept where |r| exceeds `above`."""
     pairs = list(combinations(columns, 2))
-    wide = df.agg(*[correlation(F.col(a), F.col(b)).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
-    cells = [F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(str(i)).alias("r")) for i, (a, b) in enumerate(pairs)]
-    rows = wide.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*").where(F.col("r").isNotNull())
+    if len(columns) > WIDE:
+        rows = moments.comoments(df, columns).select("first", "second", "r").where(F.col("r").isNotNull())
+    else:
+        wide = df.agg(*[correlation(F.col(a), F.col(b)).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+        cells = [F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(str(i)).alias("r")) for i, (a, b) in enumerate(pairs)]
+        rows = wide.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*").where(F.col("r").isNotNull())
     if above is not None:
         rows = rows.where(F.abs("r") > above)
     return rows.withColumn("strength", F.when(F.abs("r") > 0.7, "strong").otherwise("moderate")).withColumn(
@@ -141,41 +149,25 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str], above: float | None
 
 
 def proportional_pairs(df: DataFrame, columns: Sequence[str], minimum: int = 10) -> DataFrame:
-    """Pairs where the second column is a constant multiple of the first: ratio deviation under 1% of its mean."""
-    pairs = list(combinations(columns, 2))
-    aggregates = []
-    for i, (a, b) in enumerate(pairs):
-        r = F.try_divide(F.col(b).cast("double"), F.col(a).cast("double"))
-        aggregates.append(
-            F.struct(
-                F.lit(a).alias("source"),
-                F.lit(b).alias("derived"),
-                F.count(r).alias("n"),
-                F.avg(r).alias("factor"),
-                F.stddev_samp(r).alias("spread"),
-            ).alias(str(i))
-        )
-    wide = df.agg(*aggregates)
-    rows = wide.select(F.explode(F.array(*[F.col(str(i)) for i in range(len(pairs))])).alias("c")).select("c.*")
+    """Pairs where the second column is a constant multiple of the first: ratio deviation under 1% of its mean. One scan."""
     close = (F.col("spread") < 0.01 * F.abs("factor")) & (F.col("factor") != 0)
-    return rows.where((F.col("n") >= minimum) & close).select("source", "derived", "factor", "n")
+    return moments.ratios(df, columns).where((F.col("n") >= minimum) & close).select("source", "derived", "factor", "n")
 
 
-def product_triples(df: DataFrame, columns: Sequence[str], minimum: int = 10) -> DataFrame:
+def product_triples(df: DataFrame, columns: Sequence[str], minimum: int = 10, batch: int = 200) -> DataFrame:
     """Columns that equal the product of two others: mean absolute error under 1% of the mean size.
 
-    The number of expressions grows with the cube of the columns; aggregates are split into batches so that each
-    generated method stays small.
+    A job runs at once: one scan that gathers the moments of all triples and leaves out those that cannot be such. The
+    few left are checked exactly, `batch` of them in a scan.
     """
-    triples = [
-        (a, b, c) for a in columns for b, c in combinations(columns, 2) if a not in (b, c)
-    ]
-    frames = []
-    for start in range(0, len(triples), 200):
-        batch = triples[start : start + 200]
+    found = moments.product_candidates(df, columns, minimum, 0.01).collect()
+    triples = sorted((r["derived"], r["left"], r["right"]) for r in found)
+    kind = "derived string, left string, right string, n bigint, error double, size double"
+    frames = [df.sparkSession.createDataFrame([], kind)]
+    for start in range(0, len(triples), batch):
         aggregates = []
-        for i, (a, b, c) in enumerate(batch):
-            x, y, z = (F.col(n).cast("double") for n in (a, b, c))
+        for i, (a, b, c) in enumerate(triples[start : start + batch]):
+            x, y, z = (F.col(f"`{n}`").cast("double") for n in (a, b, c))
             whole = x.isNotNull() & y.isNotNull() & z.isNotNull()
             aggregates.append(
                 F.struct(
@@ -188,9 +180,7 @@ def product_triples(df: DataFrame, columns: Sequence[str], minimum: int = 10) ->
                 ).alias(str(i))
             )
         wide = df.agg(*aggregates)
-        frames.append(
-            wide.select(F.explode(F.array(*[F.col(str(i)) for i in range(len(batch))])).alias("c")).select("c.*")
-        )
+        frames.append(wide.select(F.explode(F.array(*[F.col(str(i)) for i in range(len(aggregates))])).alias("c")).select("c.*"))
     rows = reduce(DataFrame.unionByName, frames)
     return rows.where((F.col("n") >= minimum) & (F.col("error") < 0.01 * F.col("size"))).select(
         "derived", "left", "right", "n"

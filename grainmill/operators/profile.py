@@ -33,9 +33,6 @@ PHONE_WORDS = ("phone", "tel")
 URL_WORDS = ("url", "link", "website")
 POSITIVE_WORDS = ("age", "salary", "price", "revenue", "cost")
 
-# Fixed value: a text column with more distinct values is not a category.
-CATEGORY_VALUES = 100
-
 # Accepted forms.
 EMAIL_PATTERN = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 PHONE_PATTERN = r"^\+?[\d\s\-()]{7,20}$"
@@ -233,12 +230,12 @@ def issues(
     df: DataFrame,
     ignore: Sequence[str] = (),
     header: Sequence[str] | None = None,
-    categories: int | None = CATEGORY_VALUES,
+    categories: int | None = None,
 ) -> DataFrame:
     """All issues of a table as rows. `header` is the raw header line, for repeated column names.
 
-    A text column with at most `categories` distinct values is a category column, the only kind that is looked through
-    for spellings one edit apart; with None every text column is.
+    Every text column is looked through for spellings one edit apart, whatever its number of values; `categories`
+    leaves out columns of more distinct values than that, where a caller wants the finding for categories alone.
     """
     data = df.drop(*ignore)
     columns = data.columns

@@ -198,6 +198,10 @@ ISSUES = f"""{O}, n AS (SELECT COUNT(*) AS n FROM dirty),
 dup AS (SELECT n - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM dirty)) AS d FROM n),
 near AS (SELECT SUM(CASE WHEN near_duplicates > 0 THEN near_duplicates ELSE 0 END) AS d FROM ({_near_sql()})),
 q AS (SELECT QUANTILE_CONT(amount, 0.25) AS q1, QUANTILE_CONT(amount, 0.75) AS q3 FROM dirty),
+cat AS (SELECT DISTINCT col, x FROM (SELECT UNNEST(['order_date', 'status', 'priority']) AS col,
+  UNNEST([{sql_strip('order_date')}, {sql_strip('status')}, {sql_strip('priority')}]) AS x FROM dirty) WHERE x IS NOT NULL),
+typos AS (SELECT a.col, COUNT(*) AS n, (SELECT COUNT(*) FROM cat c WHERE c.col = a.col) AS k FROM cat a JOIN cat b
+  ON a.col = b.col AND a.x < b.x AND ABS(LENGTH(a.x) - LENGTH(b.x)) <= 1 AND LEVENSHTEIN(LOWER(a.x), LOWER(b.x)) = 1 GROUP BY 1),
 i AS (
   SELECT 'duplicate_rows' AS id, NULL AS col, CASE WHEN d * 100.0 / n > 20 THEN 'critical' ELSE 'warning' END AS severity, d AS c, d * 100.0 / n AS pct FROM dup, n
   UNION ALL SELECT 'near_duplicates', NULL, 'warning', d, d * 100.0 / n FROM near, n
@@ -209,9 +213,7 @@ i AS (
   UNION ALL SELECT 'uniqueness_violations', 'id', 'critical', COUNT(id) - COUNT(DISTINCT id), (COUNT(id) - COUNT(DISTINCT id)) * 100.0 / COUNT(*) FROM dirty
   UNION ALL SELECT 'outliers', 'amount', 'warning', COUNT(*) FILTER (WHERE amount < q1 - 1.5 * (q3 - q1) OR amount > q3 + 1.5 * (q3 - q1)),
     COUNT(*) FILTER (WHERE amount < q1 - 1.5 * (q3 - q1) OR amount > q3 + 1.5 * (q3 - q1)) * 100.0 / COUNT(*) FROM dirty, q
-  UNION ALL SELECT 'category_inconsistent', 'status', 'warning', COUNT(*), COUNT(*) * 100.0 / (SELECT COUNT(DISTINCT {sql_strip('status')}) FROM dirty) FROM
-    (SELECT DISTINCT {sql_strip('status')} AS x FROM dirty) a JOIN (SELECT DISTINCT {sql_strip('status')} AS y FROM dirty) b
-    ON x < y AND LEVENSHTEIN(LOWER(x), LOWER(y)) = 1
+  UNION ALL SELECT 'category_inconsistent', col, 'warning', n, n * 100.0 / k FROM typos
 ), iss AS (SELECT id, col, severity, CAST(c AS BIGINT) AS c, pct FROM i WHERE c > 0)"""
 
 
@@ -358,8 +360,9 @@ def _(t):
       ('whitespace_ends', 'fix_whitespace', 'warning', 'High'), ('case_inconsistent', 'fix_case', 'warning', 'High'),
       ('uniqueness_violations', 'fix_uniqueness', 'critical', 'Low'), ('outliers', 'fix_outliers', 'warning', 'Medium'),
       ('category_inconsistent', 'fix_categories', 'warning', 'Low')) v(id, fix, fixed_severity, confidence))
-    SELECT fix, COALESCE(fixed_severity, severity) AS severity, c AS affected_count, COALESCE(col, '') AS columns, confidence
-    FROM iss JOIN m ON iss.id = m.id""",
+    SELECT fix, MAX(COALESCE(fixed_severity, severity)) AS severity, CAST(SUM(c) AS BIGINT) AS affected_count,
+    COALESCE(STRING_AGG(DISTINCT col, ', ' ORDER BY col), '') AS columns, confidence
+    FROM iss JOIN m ON iss.id = m.id GROUP BY fix, confidence""",
 )
 def _(t):
     rows = dirty_orders(t)

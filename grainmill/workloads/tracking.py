@@ -117,17 +117,38 @@ def _(t):
 
 @query(
     "s18_audit_package",
-    f"""{C}, {BEFORE_AFTER} SELECT (SELECT COUNT(*) FROM dirty) AS data, CAST(3 AS BIGINT) AS sections, COUNT(*) AS changes FROM ch""",
+    f"""{C}, {BEFORE_AFTER} SELECT (SELECT COUNT(*) FROM dirty) AS data, CAST(3 AS BIGINT) AS sections, COUNT(*) AS changes,
+    (SELECT COUNT(*) FROM a WHERE balance IS NULL) AS missing_amounts, (SELECT COUNT(*) FROM a WHERE age IS NULL) AS missing_ages,
+    (SELECT CAST(COUNT(*) AS BIGINT) FROM (SELECT DISTINCT LOWER({sql_strip('segment')}) AS x FROM a) x JOIN (SELECT DISTINCT LOWER({sql_strip('segment')}) AS y FROM a) y
+      ON x < y AND LEVENSHTEIN(x, y) = 1) AS segment_typos,
+    (SELECT COUNT(*) FROM (SELECT DISTINCT LOWER({sql_strip('name')}) AS x FROM a) x JOIN (SELECT DISTINCT LOWER({sql_strip('name')}) AS y FROM a) y
+      ON x < y AND LEVENSHTEIN(x, y) = 1) AS name_typos FROM ch""",
 )
 def _(t):
+    """The package of a cleaned table with the issues of all its columns, written and read back section by section."""
     folder = scratch(t, "audit")
     rows = after(t)
-    issues = profile.issues(rows.select("id", "name", "segment"))
-    files.write_audit_package(rows, issues, changelog.change_log(changes(t), "id"), folder)
+    files.write_audit_package(rows, profile.issues(rows), changelog.change_log(changes(t), "id"), folder)
     read = t.spark.read
-    n = read.parquet(f"{folder}/data").agg(F.count(F.lit(1)).alias("n")).scalar()
+    data = read.parquet(f"{folder}/data").agg(F.count(F.lit(1))).scalar()
+    found = read.parquet(f"{folder}/issues")
+
+    def affected(issue: str, column: str):
+        counts = F.sum(F.when((F.col("id") == issue) & (F.col("column") == column), F.col("affected_count")))
+        return F.coalesce(counts, F.lit(0))
+
+    wanted = {
+        "missing_amounts": ("missing_values", "amount"),
+        "missing_ages": ("missing_values", "age"),
+        "segment_typos": ("category_inconsistent", "segment"),
+        "name_typos": ("category_inconsistent", "name"),
+    }
+    issues = found.agg(F.struct(*[affected(*what).alias(name) for name, what in wanted.items()]).alias("s")).scalar()
     return read.parquet(f"{folder}/change_log").agg(
-        n.alias("data"), F.lit(len(files.list_files(t.spark, folder, ""))).cast("bigint").alias("sections"), F.count(F.lit(1)).alias("changes")
+        data.alias("data"),
+        F.lit(len(files.list_files(t.spark, folder, ""))).cast("bigint").alias("sections"),
+        F.count(F.lit(1)).alias("changes"),
+        *[issues.getField(name).alias(name) for name in wanted],
     )
 
 

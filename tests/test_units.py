@@ -301,6 +301,16 @@ def test_health_score_of_clean_table(spark):
     assert profile.health_score(profile.issues(df)).first()["health_score"] == 100
 
 
+def test_typos_in_columns_of_many_values(spark):
+    """150 categories, one of them with a misspelt twin: reported as it would be among ten."""
+    names = [f"{chr(97 + i % 26) * 3}{chr(97 + i // 26) * 4}" for i in range(150)] + ["aaaaaab"]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "a int, b string")
+    found = {r["id"]: r for r in profile.issues(rows).collect()}
+    assert found["category_inconsistent"]["affected_count"] == 1
+    assert found["category_inconsistent"]["example"] == "aaaaaaa vs aaaaaab"
+    assert "category_inconsistent" not in {r["id"] for r in profile.issues(rows, categories=100).collect()}
+
+
 # ---------------------------------------------------------------- sources
 
 
