@@ -12,6 +12,8 @@ scanned by many tasks.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
@@ -94,8 +96,8 @@ def nearest(
 
     A query's own id is no candidate; ties go to the smaller id; where fewer than k rows are found in the nearest
     `probe_share` of the lists, further lists are probed until k others are covered or all rows are. Rows with a null
-    id, or a null, empty, zero, partly null or non-finite vector take no part; only vectors of the table's commonest
-    length do. A repeated row is a candidate as often as it occurs; a repeated query id is one query (its smallest
+    id, or a null, empty, zero, partly null or non-finite vector take no part. Only vectors of equal length meet: every
+    length has an index of its own, and jobs of its own. A repeated row is a candidate as often as it occurs; a repeated query id is one query (its smallest
     vector). Other columns are ignored; an empty table gives no rows. Jobs run at once: lengths and norms, a sample of
     at most `SAMPLE_ROWS` vectors for the centroids, and the sizes of the lists.
     """
@@ -118,12 +120,38 @@ def nearest(
     rows = plain(df)
     squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     lengths = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(squares).alias("sq"))
-    common = lengths.orderBy(F.desc("n"), "dim").limit(1).collect()
-    if not common:
+    asked = plain(queries).groupBy(F.size("v").alias("dim"), "id").agg(F.min("v").alias("v"))
+    found = [
+        _nearest(
+            rows.where(F.size("v") == r["dim"]), asked.where(F.col("dim") == r["dim"]).drop("dim"),
+            r["dim"], r["n"], float(np.sqrt(r["sq"])), k, lists, probe_share, part_rows,
+        )
+        for r in lengths.orderBy("dim").collect()
+    ]
+    if not found:
         return spark.createDataFrame([], out)
-    dim, n, largest = common[0]["dim"], common[0]["n"], float(np.sqrt(common[0]["sq"]))
-    rows = rows.where(F.size("v") == dim)
-    asked = plain(queries).where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
+    order = Window.partitionBy("query_id", "dim").orderBy(F.desc("score"), "id")
+    return (
+        reduce(DataFrame.unionByName, found)
+        .withColumn("rank", F.row_number().over(order))
+        .where(F.col("rank") <= k)
+        .select("query_id", "rank", F.col("id").alias(id_col), "score")
+    )
+
+
+def _nearest(
+    rows: DataFrame,
+    asked: DataFrame,
+    dim: int,
+    n: int,
+    largest: float,
+    k: int,
+    lists: int | None,
+    probe_share: float,
+    part_rows: int,
+) -> DataFrame:
+    """Candidates (query_id, id, score, dim) among vectors of one length: `n` rows (id, v), norms up to `largest`."""
+    spark = rows.sparkSession
     turn = rotation(dim + 1)
     sample = rows.orderBy(F.xxhash64("id"), "id", "v").limit(SAMPLE_ROWS).select("v").toPandas()["v"]
     turned = augmented(np.array(sample.tolist(), np.float64), largest, turn)
@@ -185,9 +213,4 @@ def nearest(
     best = dealt.groupBy("part").cogroup(asked.groupBy("part")).applyInPandas(
         scan, "query_id bigint, id bigint, score double"
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return (
-        best.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", F.col("id").alias(id_col), "score")
-    )
+    return best.withColumn("dim", F.lit(dim))

@@ -77,3 +77,15 @@ def test_nearest_of_odd_vectors(odd):
     assert got == {1: [(2, 1.0), (3, 0.5), (3, 0.5), (11, -1.0)]}
     assert ann.nearest(odd.where("vec_id < 0"), odd, 3).count() == 0
     assert ann.nearest(odd.where("vec_id < 0"), odd, 3).columns == ["query_id", "rank", "vec_id", "score"]
+
+
+def test_every_length_is_indexed_and_asked(spark):
+    rng = np.random.default_rng(9)
+    table = [(i, rng.normal(size=2 if i < 100 else 3).tolist()) for i in range(140)] + [(500, [1.0])]
+    df = spark.createDataFrame(table, "vec_id bigint, embedding array<double>")
+    got = ann.nearest(df, df.where("vec_id % 20 = 0"), 5).toPandas()
+    assert set(got.query_id) == {0, 20, 40, 60, 80, 100, 120}
+    for query, rows in got.groupby("query_id"):
+        low, high = (0, 100) if query < 100 else (100, 140)
+        x, ids = np.array([v for _, v in table[low:high]]), np.arange(low, high)
+        assert [(i, pytest.approx(s)) for i, s in best(ids, x, query - low, 5)] == list(zip(rows.vec_id, rows.score))
