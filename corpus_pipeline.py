@@ -29,13 +29,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of every group connected by links of 0.8 or more.
 
-    Of rows with one id the smallest stays. Rows with a null id belong to no group and stay.
+    An id with several texts keeps those that head their own group; of rows alike in id and text the smallest stays.
+    Null, empty and blank texts are one group. Rows with a null id belong to no group and stay.
     """
     docs = docs.select(*COLUMNS)
-    joined = jaccard.join(docs.select("doc_id", "text"))
-    first = joined.where("doc_id = class_id").select("doc_id").distinct()
+    heads = jaccard.representatives(docs.select("doc_id", "text"))
     rest = [c for c in COLUMNS if c != "doc_id"]
-    kept = docs.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row"))
+    kept = docs.withColumn("seal", F.xxhash64("text")).join(heads, ["doc_id", "seal"], "left_semi")
+    kept = kept.groupBy("doc_id", "seal").agg(F.min(F.struct(*rest)).alias("row"))
     kept = kept.select("doc_id", *[F.col(f"row.{c}").alias(c) for c in rest])
     return kept.unionByName(docs.where("doc_id IS NULL"))
 

@@ -94,38 +94,46 @@ def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
+def _fingerprints(h: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of each row's n-gram set."""
+    count, prints = np.diff(at).astype(np.uint64), []
+    with np.errstate(over="ignore"):
+        for factor in (0xD1342543DE82EF95, 0xAF251AF3B0F025B5):
+            running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(bytesops.mix(h * np.uint64(factor)))])
+            prints.append(bytesops.mix(running[at[1:]] - running[at[:-1]] + count).view(np.int64))
+    return prints
+
+
 def _sets(df: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """(id, f1, f2, bands): fingerprints of the n-gram set and band hashes."""
-    schema = pa.schema([("id", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """(id, seal, f1, f2, bands): a hash of the text, fingerprints of the n-gram set and band hashes."""
+    schema = pa.schema([("id", pa.int64()), ("seal", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in bytesops.chunked(batches, "text"):
             h, at = shingles(*bytesops.buffers(bytesops.column(batch, "text")), size)
-            count = np.diff(at).astype(np.uint64)
-            with np.errstate(over="ignore"):
-                prints = []
-                for factor in (0xD1342543DE82EF95, 0xAF251AF3B0F025B5):
-                    running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(bytesops.mix(h * np.uint64(factor)))])
-                    prints.append(bytesops.mix(running[at[1:]] - running[at[:-1]] + count).view(np.int64))
             keys = band_hashes(h, at, bands, rows).view(np.int64)
             places = (np.arange(len(at)) * bands).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(places), pa.array(keys.ravel()), mask=pa.array(count == 0))
-            yield pa.RecordBatch.from_arrays([bytesops.column(batch, "id"), *map(pa.array, prints), lists], schema=schema)
+            lists = pa.ListArray.from_arrays(pa.array(places), pa.array(keys.ravel()), mask=pa.array(np.diff(at) == 0))
+            prints = map(pa.array, _fingerprints(h, at))
+            own = [bytesops.column(batch, c) for c in ("id", "seal")]
+            yield pa.RecordBatch.from_arrays([*own, *prints, lists], schema=schema)
 
-    return df.mapInArrow(run, "id bigint, f1 bigint, f2 bigint, bands array<bigint>")
+    sealed = df.select("id", F.xxhash64("text").alias("seal"), "text")
+    return sealed.mapInArrow(run, "id bigint, seal bigint, f1 bigint, f2 bigint, bands array<bigint>")
 
 
 def _full_sets(df: DataFrame, size: int) -> DataFrame:
-    """(id, grams): the sorted n-gram hashes as bytes."""
-    schema = pa.schema([("id", pa.int64()), ("grams", pa.binary())])
+    """(id, f1, f2, grams): the fingerprints and the sorted n-gram hashes as bytes."""
+    schema = pa.schema([("id", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("grams", pa.binary())])
 
     def run(batches):
         for batch in bytesops.chunked(batches, "text"):
             h, at = shingles(*bytesops.buffers(bytesops.column(batch, "text")), size)
             grams = [h[s:e].tobytes() for s, e in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([bytesops.column(batch, "id"), pa.array(grams, pa.binary())], schema=schema)
+            prints = map(pa.array, _fingerprints(h, at))
+            yield pa.RecordBatch.from_arrays([bytesops.column(batch, "id"), *prints, pa.array(grams, pa.binary())], schema=schema)
 
-    return df.mapInArrow(run, "id bigint, grams binary")
+    return df.mapInArrow(run, "id bigint, f1 bigint, f2 bigint, grams binary")
 
 
 def compare(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float):
@@ -149,8 +157,8 @@ def compare(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: f
 
 def _block(key, frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Rows (a, b, links): numbers of links of a set (b null), and edges of a spanning forest (links 0)."""
-    frame = frame.drop_duplicates(["rep", "block"]).sort_values(["block", "rep"], ignore_index=True)
-    reps, copies, blocks = (frame[c].to_numpy() for c in ("rep", "n", "block"))
+    frame = frame.drop_duplicates(["node", "block"]).sort_values(["block", "node"], ignore_index=True)
+    reps, copies, blocks = (frame[c].to_numpy() for c in ("node", "n", "block"))
     grams = [np.frombuffer(g, np.uint64) for g in frame["grams"]]
     cut = len(frame) if key[1] == key[2] else int((blocks == key[1]).sum())
     links, parent = np.zeros(len(frame), np.int64), list(range(len(frame)))
@@ -180,45 +188,30 @@ def _block(key, frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["a", "b", "links"]).astype("Int64")
 
 
-def join(
-    df: DataFrame,
-    threshold: float = THRESHOLD,
-    size: int = WORDS,
-    recall: float = RECALL,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    block: int = BLOCK,
-) -> DataFrame:
-    """One row per row of `df`: the id, copy_of, class_id and n_links.
-
-    `copy_of` is the smallest id with the same set of n-grams, `class_id` the smallest id that the row is connected to
-    by links, and `n_links` counts the other rows whose set has a Jaccard similarity of at least `threshold`, copies
-    among them. Words are runs of bytes other than ASCII white space, lower-cased in A-Z; a text of fewer than `size`
-    words has one n-gram of all its words.
-
-    Null, empty and blank texts have no n-gram: they are copies of each other and link to nothing else. Rows with a
-    null id take no part, and have a null class and no link. Repeated rows count as copies; an id with several texts
-    stands for all of them. Other columns are ignored. An empty table gives no rows. Narrow tables are written to the
-    checkpoint folder, and jobs run at once for the components.
-    """
+def _labelled(
+    df: DataFrame, threshold: float, size: int, recall: float, id_col: str, text_col: str, block: int
+) -> tuple[DataFrame, DataFrame]:
+    """The rows' fingerprints, and per distinct set its smallest row, class, whether it heads the class, and links."""
     bands, rows = bands_and_rows(threshold, recall)
     texts = _texts(df, id_col, text_col)
     hashed = cut_lineage(_sets(texts, size, bands, rows))
     sets = hashed.where("id IS NOT NULL").groupBy("f1", "f2").agg(
-        F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")
+        F.min(F.struct("id", "seal")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")
     )
+    # a number of its own for every set, as one id may head several
+    sets = sets.select(F.monotonically_increasing_id().alias("node"), "f1", "f2", F.col("first.id").alias("rep"), F.col("first.seal").alias("seal"), "n", "bands")
     sets = cut_lineage(sets)
-    keyed = sets.where("bands IS NOT NULL").select("rep", F.explode("bands").alias("band"))
-    buckets = keyed.groupBy("band").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = keyed.join(buckets, "band").where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
+    keyed = sets.where("bands IS NOT NULL").select("node", F.explode("bands").alias("band"))
+    buckets = keyed.groupBy("band").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    stars = keyed.join(buckets, "band").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
     groups = components(stars)
     blocks = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     members = (
         groups.join(blocks, "root")
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .join(sets.select(F.col("rep").alias("node"), "n"), "node")
+        .join(sets.select("node", "rep", "f1", "f2", "n"), "node")
     )
-    members = cut_lineage(members.select(F.col("node").alias("rep"), "root", "blocks", "block", "n"))
+    members = cut_lineage(members.select("node", "rep", "f1", "f2", "root", "blocks", "block", "n"))
     kept = members.select(F.pmod(F.xxhash64("rep"), F.lit(FILTER)).alias("bucket")).distinct()
     near = (
         texts.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(FILTER)))
@@ -227,9 +220,9 @@ def join(
     )
     sent = (
         _full_sets(near, size)
-        .join(members, F.col("id") == F.col("rep"))
+        .join(members.withColumnRenamed("rep", "id"), ["id", "f1", "f2"])
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "n", "block", "grams")
+        .select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "n", "block", "grams")
     )
 
     def run(key, frame):
@@ -237,18 +230,59 @@ def join(
 
     verified = sent.groupBy("root", "i", "j").applyInPandas(run, "a bigint, b bigint, links bigint")
     verified = cut_lineage(verified)
-    links = verified.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+    links = verified.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     classes = components(verified.where("b IS NOT NULL").select("a", "b"))
-    labelled = (
-        sets.select("f1", "f2", "rep", "n")
-        .join(links, "rep", "left")
-        .join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-        .select(
-            "f1", "f2", F.col("rep").alias("copy_of"), F.coalesce("root", "rep").alias("class_id"),
-            (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-        )
+    roots = sets.select("node", "f1", "f2", "rep", "seal", "n").join(links, "node", "left").join(classes, "node", "left")
+    heads = roots.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("rep", "f1", "f2")).alias("head"))
+    head = F.coalesce("head", F.struct("rep", "f1", "f2"))
+    labelled = roots.join(heads, "root", "left").select(
+        "f1", "f2", F.col("rep").alias("copy_of"), "seal", head.getField("rep").alias("class_id"),
+        ((head.getField("f1") == F.col("f1")) & (head.getField("f2") == F.col("f2"))).alias("heads"),
+        (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
     )
+    return hashed, labelled
+
+
+def join(
+    df: DataFrame,
+    threshold: float = THRESHOLD,
+    size: int = WORDS,
+    recall: float = RECALL,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    block: int = BLOCK,
+) -> DataFrame:
+    """One row per row of `df`: the id, copy_of, class_id and n_links.
+
+    `copy_of` is the smallest id with the same set of n-grams, `class_id` the smallest id that the row is connected to
+    by links, and `n_links` counts the other rows whose set has a Jaccard similarity of at least `threshold`, copies
+    among them. Words are runs of bytes other than ASCII white space, lower-cased in A-Z; a text of fewer than `size`
+    words has one n-gram of all its words.
+
+    Null, empty and blank texts have no n-gram: they are copies of each other and link to nothing else. Rows with a
+    null id take no part, and have a null class and no link. Repeated rows count as copies; an id with several texts has
+    a row for each, with that text's copies and links. Other columns are ignored. An empty table gives no rows. Narrow tables are written to the
+    checkpoint folder, and jobs run at once for the components.
+    """
+    hashed, labelled = _labelled(df, threshold, size, recall, id_col, text_col, block)
     own = hashed.select("id", "f1", "f2").where("id IS NOT NULL").join(labelled, ["f1", "f2"])
     none = F.lit(None).cast("long")
     lost = hashed.where("id IS NULL").select("id", none.alias("copy_of"), none.alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return own.select("id", "copy_of", "class_id", "n_links").unionByName(lost).withColumnRenamed("id", id_col)
+
+
+def representatives(
+    df: DataFrame,
+    threshold: float = THRESHOLD,
+    size: int = WORDS,
+    recall: float = RECALL,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    block: int = BLOCK,
+) -> DataFrame:
+    """One row per class: the id of its smallest row, and `seal`, the xxhash64 of that row's text (as a string).
+
+    An id with several texts heads as many classes as its texts head. Nulls and repeated rows as in `join`.
+    """
+    _, labelled = _labelled(df, threshold, size, recall, id_col, text_col, block)
+    return labelled.where("heads").select(F.col("copy_of").alias(id_col), "seal")

@@ -53,3 +53,11 @@ def test_stages_on_odd_documents(spark, odd):
     for name, stage in corpus_pipeline.STAGES:
         rows = stage(spark, odd, FOLDER).collect()
         assert rows, name
+
+
+def test_near_copies_keep_every_text_that_heads_a_group(spark):
+    a, b = (" ".join(f"{w}{i}" for i in range(60)) for w in "ab")
+    rows = [(1, a, None), (1, b, "en"), (1, None, "en"), (2, a + " end", "en"), (3, b, "en"), (4, " ", "de"), (None, a, "en")]
+    docs = spark.createDataFrame([(i, t, lang, "src0", 1) for i, t, lang in rows], queries.DOCUMENTS)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, FOLDER).collect()
+    assert sorted((r.doc_id or 0, str(r.text)[:2]) for r in kept) == [(0, "a0"), (1, "No"), (1, "a0"), (1, "b0")]
