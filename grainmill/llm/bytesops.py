@@ -159,3 +159,17 @@ def with_values(
             )
 
     return df.mapInArrow(run, df.select(*[columns[i] for i in kept]).schema.add(name, kind))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores in front until no column of `df` bears it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def others(df: DataFrame, replaced: Sequence[str]) -> list[str]:
+    """Columns of `df` that bear none of the names, in any case."""
+    gone = {c.lower() for c in replaced}
+    return [c for c in df.columns if c.lower() not in gone]

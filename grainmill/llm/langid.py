@@ -209,6 +209,7 @@ def identify(df: DataFrame, net: Network, text_col: str = "text", lang_name: str
         return pa.StructArray.from_arrays([pa.array(names[best].tolist(), pa.string()), pa.array(p)], ["lang", "score"])
 
     kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
-    kept = [c for c in df.columns if c not in (lang_name, score_name)]
-    found = bytesops.with_values(df, text_col, "_langid", kind, values)
-    return found.select(*kept, F.col("_langid.lang").alias(lang_name), F.col("_langid.score").alias(score_name))
+    kept, name = bytesops.others(df, (lang_name, score_name)), bytesops.free_name(df, "_langid")
+    found = bytesops.with_values(df, text_col, name, kind, values)
+    fields = [F.col(f"`{name}`.lang").alias(lang_name), F.col(f"`{name}`.score").alias(score_name)]
+    return found.select(*[F.col(f"`{c}`") for c in kept], *fields)

@@ -134,7 +134,7 @@ _SIGN = re.compile(r"[A-Z]+|[^\W\d_]+|[0-9]+|(.)\1*", re.DOTALL)
 def shape(word: str) -> str:
     """Runs of capitals, letters, digits and equal signs; digit runs keep their lengths up to 5."""
     out = []
-    for m in _SIGN.finditer(word[:64]):
+    for m in _SIGN.finditer(word):
         run = m.group()
         if run[0].isdigit():
             out.append("d" + str(min(len(run), 5)))
@@ -436,9 +436,9 @@ def tag(df: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
         columns.append(pa.array([len(a) for a in added], pa.int64()))
         return pa.StructArray.from_arrays(columns, FOUND.fieldNames())
 
-    kept = [c for c in df.columns if c not in FOUND.fieldNames()]
-    found = bytesops.with_values(df, text_col, "_pii", FOUND, values)
-    return found.select(*kept, *[F.col(f"_pii.{c}").alias(c) for c in FOUND.fieldNames()])
+    kept, name = bytesops.others(df, FOUND.fieldNames()), bytesops.free_name(df, "_pii")
+    found = bytesops.with_values(df, text_col, name, FOUND, values)
+    return found.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{name}`.{c}").alias(c) for c in FOUND.fieldNames()])
 
 
 def redact(df: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
@@ -460,6 +460,7 @@ def redact(df: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
             out.append(text)
         return pa.array(out, pa.binary()).cast(pa.string())
 
-    found = bytesops.with_values(df, text_col, "_pii", T.StringType(), values)
-    masked = F.when(F.col(text_col).isNotNull(), F.col("_pii"))
-    return found.select(*[masked.alias(c) if c == text_col else F.col(c) for c in df.columns])
+    name = bytesops.free_name(df, "_pii")
+    found = bytesops.with_values(df, text_col, name, T.StringType(), values)
+    masked = F.when(F.col(text_col).isNotNull(), F.col(f"`{name}`"))
+    return found.select(*[masked.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])

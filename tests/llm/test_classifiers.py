@@ -128,3 +128,10 @@ def test_network_reads_every_window():
     assert owner.tolist() == [0, 0, 0, 2] and sizes.tolist() == [256, 256, 188, 1]
     assert (x[2, :188] == ord("x")).all() and not x[2, 188:].any()
     assert langid.predict(net, data, off)[1].tolist() == [0.5, 0.0, 0.5]
+
+
+def test_language_columns_do_not_clash(odd, net):
+    clash = odd.withColumnRenamed("lang", "_langid").withColumnRenamed("score", "Score").withColumnRenamed("source", "__langid")
+    rows = langid.identify(clash, net)
+    assert [c for c in rows.columns if c.lower() == "score"] == ["score"]
+    assert sorted(str(r[0]) for r in rows.select("_langid").collect()) == sorted(str(r[0]) for r in clash.select("_langid").collect())

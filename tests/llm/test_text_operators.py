@@ -361,3 +361,30 @@ def test_pieces_of_texts_with_added_tokens(spark):
     (row,) = packing.pack(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
     want = [7700, 530, 220, 50256, 2443, 734, 0]
     assert (row.doc_tokens, row.ids_crc32) == (len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
+
+
+def test_an_id_with_two_texts_loses_no_link(spark):
+    a, b = (" ".join(f"{w}{i}" for i in range(60)) for w in "ab")
+    near = lambda t: t + " end"
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (4, None), (4, "x y"), (5, "x y")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted(tuple(r) for r in jaccard.join(df).collect())
+    assert got == [(1, 1, 1, 1), (1, 1, 1, 1), (2, 2, 1, 1), (3, 3, 1, 1), (4, 4, 4, 0), (4, 4, 4, 1), (5, 4, 4, 1)]
+    heads = sorted((r.doc_id, r.n) for r in jaccard.representatives(df).groupBy("doc_id").agg(F.count("*").alias("n")).collect())
+    assert heads == [(1, 2), (4, 2)]
+    seals = {r.seal for r in df.where("doc_id IN (1, 4)").select(F.xxhash64("text").alias("seal")).collect()}
+    assert {r.seal for r in jaccard.representatives(df).collect()} == seals
+
+
+def test_shapes_read_the_whole_word():
+    assert pii.shape("a" * 70 + "@1") != pii.shape("a" * 70 + "@") and pii.shape("-" * 3 + "A1" * 40).endswith("Xd1")
+
+
+def test_helper_columns_do_not_clash(odd, field):
+    clash = odd.withColumnRenamed("lang", "_pii").withColumnRenamed("source", "N_Email")
+    rows = pii.tag(clash, field)
+    assert [c for c in rows.columns if c.lower() == "n_email"] == ["n_email"]
+    want = sorted(str(r[0]) for r in clash.select("_pii").collect())
+    assert sorted(str(r[0]) for r in rows.select("_pii").collect()) == want
+    masked = pii.redact(clash, field)
+    assert masked.columns == clash.columns and sorted(str(r[0]) for r in masked.select("_pii").collect()) == want
