@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Settings of the three regressors.
 SEED = 42
 MOST_LABELS = 100_000
 FOREST = {"numTrees": 200, "maxDepth": 10, "minInstancesPerNode": 5}
+METRICS = "model string, train_r2 double, test_r2 double, cv_r2_mean double, cv_r2_std double, mae double, rmse double"
 BOOSTED = {"maxIter": 200, "maxDepth": 5, "stepSize": 0.1, "minInstancesPerNode": 5}
 
 
@@ -20,14 +22,23 @@ def model_rows(df: DataFrame, features: Sequence[str], label: str, key: str) ->
     return df.select(key, *features, F.col(label).cast("double").alias("label")).dropna()
 
 
+def draw(key: str, salt: int) -> Column:
+    """A number from 0 to 2^32 - 1 that depends on the key only, so that a row is dealt alike whenever a task is run."""
+    text = F.concat(F.lit(f"{salt}:"), F.col(key).cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def in_train(key: str, train_share: float = 0.8, seed: int = SEED) -> Column:
+    return draw(key, seed) % 1_000_000 < int(train_share * 1_000_000)
+
+
 def split(df: DataFrame, key: str, train_share: float = 0.8, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """Split by a hash of the key, so that a row stays on its side when a task is run again."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) / 1_000_000
-    return df.where(draw < train_share), df.where(draw >= train_share)
+    """Split by a hash of the key."""
+    return df.where(in_train(key, train_share, seed)), df.where(~in_train(key, train_share, seed))
 
 
 def folds(df: DataFrame, key: str, k: int = 5, seed: int = SEED) -> DataFrame:
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key)), F.lit(k)).cast("int"))
+    return df.withColumn("fold", (draw(key, seed + 1) % k).cast("int"))
 
 
 def encoder(features: Sequence[str]):
@@ -64,9 +75,87 @@ class Encoder:
         return self.assembler.transform(coded.withColumns(zeroed)).drop(*[f"{f}_code" for f in self.features])
 
 
+class LinearModel:
+    """A constant and a weight per encoded feature; predictions are plain expressions."""
+
+    def __init__(self, weights: np.ndarray, columns: Sequence[str]):
+        self.weights, self.columns = [float(w) for w in weights], list(columns)
+
+    def prediction(self) -> Column:
+        out = F.lit(self.weights[0])
+        for weight, column in zip(self.weights[1:], self.columns):
+            out = out + F.lit(weight) * F.col(column)
+        return out
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("prediction", self.prediction())
+
+
+class Moments:
+    """Sums of products of (1, features, label) over some rows: all that least squares needs. They add and subtract."""
+
+    def __init__(self, products: np.ndarray):
+        self.products = products
+
+    def __add__(self, other: Moments) -> Moments:
+        return Moments(self.products + other.products)
+
+    def __sub__(self, other: Moments) -> Moments:
+        return Moments(self.products - other.products)
+
+    def solve(self) -> np.ndarray:
+        """Least-squares weights; of least length where the features are dependent."""
+        left, right = self.products[:-1, :-1], self.products[:-1, -1]
+        scale = np.sqrt(np.maximum(np.diag(left), 1e-300))
+        return np.linalg.lstsq(left / np.outer(scale, scale), right / scale, rcond=1e-13)[0] / scale
+
+    def r2(self, weights: np.ndarray) -> tuple[float, float]:
+        """R² of the weights on these rows, and the mean squared error."""
+        signed = np.append(weights, -1.0)
+        n, label = self.products[0, 0], self.products[0, -1]
+        squared = float(signed @ self.products @ signed)
+        return 1 - squared / float(self.products[-1, -1] - label * label / n), squared / float(n)
+
+
+class NormalEquations:
+    """Linear regression from one aggregate: sums of products per part of the rows, solved for any union of parts."""
+
+    def __init__(self, columns: Sequence[str] | None = None):
+        self.columns = columns
+
+    def names(self, df: DataFrame) -> list[str]:
+        return list(self.columns or [c for c in df.columns if c.endswith("_enc")])
+
+    def moments(self, df: DataFrame, parts: dict[str, Column]) -> dict[tuple, Moments]:
+        """One scan; one row per part reaches the driver. Labels are counted from one row's label, which least squares
+        with a constant allows, so that their squares keep their digits."""
+        names = self.names(df)
+        size = len(names) + 2
+        first = df.select("label").head()
+        self.centre = first["label"] if first else 0.0
+        row = [F.lit(1.0), *[F.col(c).cast("double") for c in names], F.col("label") - F.lit(self.centre)]
+        sums = [F.sum(row[i] * row[j]).alias(f"s{i}_{j}") for i in range(size) for j in range(i, size)]
+        out = {}
+        for r in df.groupBy(*[c.alias(n) for n, c in parts.items()]).agg(*sums).collect():
+            products = np.zeros((size, size))
+            for i in range(size):
+                for j in range(i, size):
+                    products[i, j] = products[j, i] = r[f"s{i}_{j}"]
+            out[tuple(r[n] for n in parts)] = Moments(products)
+        return out
+
+    def model(self, moments: Moments, df: DataFrame) -> LinearModel:
+        weights = moments.solve()
+        weights[0] += self.centre
+        return LinearModel(weights, self.names(df))
+
+    def fit(self, df: DataFrame) -> LinearModel:
+        return self.model(self.moments(df, {"part": F.lit(0)})[(0,)], df)
+
+
 def regressors(forest: dict | None = None, boosted: dict | None = None) -> dict:
     return {
-        "Linear Regression": LinearRegression(),
+        "Linear Regression": NormalEquations(),
         "Random Forest": RandomForestRegressor(seed=SEED, **(forest or FOREST)),
         "Gradient Boosting": GBTRegressor(seed=SEED, **(boosted or BOOSTED)),
     }
@@ -90,8 +179,11 @@ def score(model, rows: DataFrame) -> dict[str, float]:
 def evaluate(name: str, regressor, rows: DataFrame, key: str, k: int = 5) -> tuple[object, DataFrame]:
     """Train on four fifths; metrics on both parts and R² over `k` folds (mean and population deviation).
 
-    `rows` are encoded and should be persisted by the caller: they are read 2 + 2k times.
+    `rows` are encoded and should be persisted by the caller: they are read 2 + 2k times. Normal equations read them
+    twice, whatever k is.
     """
+    if isinstance(regressor, NormalEquations):
+        return evaluate_linear(name, regressor, rows, key, k)
     train, test = split(rows, key)
     model = regressor.fit(train)
     train_score, test_score = score(model, train), score(model, test)
@@ -107,8 +199,32 @@ def evaluate(name: str, regressor, rows: DataFrame, key: str, k: int = 5) -> tup
     mean = sum(fold_scores) / k if k else None
     spread = (sum((s - mean) ** 2 for s in fold_scores) / k) ** 0.5 if k else None
     row = (name, train_score["r2"], test_score["r2"], mean, spread, test_score["mae"], test_score["rmse"])
-    schema = "model string, train_r2 double, test_r2 double, cv_r2_mean double, cv_r2_std double, mae double, rmse double"
-    return model, rows.sparkSession.createDataFrame([row], schema)
+    return model, rows.sparkSession.createDataFrame([row], METRICS)
+
+
+def evaluate_linear(name: str, regressor: NormalEquations, rows: DataFrame, key: str, k: int = 5) -> tuple[LinearModel, DataFrame]:
+    """As `evaluate`: one scan for the sums of products per split and fold, from which every training set is had by
+    addition or subtraction, and one over the test rows for the mean absolute error."""
+    fold = F.col("fold") if k else F.lit(0)
+    sums = regressor.moments(folds(rows, key, k) if k else rows, {"train": in_train(key), "fold": fold})
+    size = len(regressor.names(rows)) + 2
+
+    def total(keep) -> Moments:
+        return sum((m for part, m in sums.items() if keep(*part)), Moments(np.zeros((size, size))))
+
+    whole, train = total(lambda t, f: True), total(lambda t, f: t)
+    test = whole - train
+    weights = train.solve()
+    test_r2, test_mse = test.r2(weights)
+    fold_scores = []
+    for i in range(k):
+        own = total(lambda t, f: f == i)
+        fold_scores.append(own.r2((whole - own).solve())[0])
+    model = regressor.model(train, rows)
+    mae = split(rows, key)[1].agg(F.avg(F.abs(F.col("label") - model.prediction())).alias("mae")).first()["mae"]
+    spread = float(np.std(fold_scores)) if k else None
+    row = (name, train.r2(weights)[0], test_r2, float(np.mean(fold_scores)) if k else None, spread, mae, float(test_mse) ** 0.5)
+    return model, rows.sparkSession.createDataFrame([row], METRICS)
 
 
 def best_model(metrics: DataFrame) -> DataFrame:

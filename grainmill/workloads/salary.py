@@ -266,9 +266,45 @@ def evaluated(t: Tables, names, k: int):
     return reduce(lambda a, b: a.unionByName(b), rows)
 
 
-@query("l15_l16_linear_model")
+def _linear_sql(select: str) -> str:
+    """Least squares in SQL: sums of products per training set, solved by elimination, for the query `select`.
+
+    x holds y, the features xs with a leading 1, train and fold; w the weights b per training set s ('train', 0 to 4).
+    """
+    kinds = f"""CASE WHEN id % 7 < 5 THEN 'FT' WHEN id % 7 < 6 THEN 'CT' ELSE 'PT' END AS employment_type,
+        CASE WHEN id % 13 < 10 THEN company_location ELSE 'Other' END AS country_group"""
+    codes = ", ".join(
+        f"code_{f} AS (SELECT v, CAST(ROW_NUMBER() OVER (ORDER BY v) - 1 AS DOUBLE) AS code FROM (SELECT DISTINCT {f} AS v FROM m))" for f in FEATURES
+    )
+    joins = " ".join(f"LEFT JOIN code_{f} ON code_{f}.v = COALESCE(j.{f}, 'Unknown')" for f in FEATURES)
+    coded = ", ".join(f"COALESCE(code_{f}.code, 0)" for f in FEATURES)
+    size = len(FEATURES) + 1
+    hashed = lambda salt: f"CAST('0x' || SUBSTR(MD5('{salt}:' || CAST(id AS VARCHAR)), 1, 8) AS BIGINT)"
+    rows = ", ".join("[" + ", ".join([f"SUM(xs[{i}] * xs[{j}])" for j in range(1, size + 1)] + [f"SUM(xs[{i}] * y)"]) + "]" for i in range(1, size + 1))
+    return f"""WITH RECURSIVE {JOBS}, j AS (SELECT *, {kinds} FROM jobs), m AS (SELECT * FROM j WHERE company_size IS NOT NULL), {codes},
+    p AS (SELECT j.id, j.salary AS y, CAST([1, {coded}] AS DOUBLE[]) AS xs FROM j {joins}),
+    x AS (SELECT *, {hashed(42)} % 1000000 < 800000 AS train, {hashed(43)} % 5 AS fold FROM p WHERE id IN (SELECT id FROM m)),
+    s AS (SELECT UNNEST(['train', '0', '1', '2', '3', '4']) AS s),
+    e AS (SELECT s, 0 AS k, [{rows}] AS a FROM s JOIN x ON CASE WHEN s = 'train' THEN train ELSE CAST(fold AS VARCHAR) <> s END GROUP BY s
+        UNION ALL SELECT s, k + 1, [CASE WHEN i = k + 1 THEN [v / r[k + 1] FOR v IN r] ELSE [v - r[k + 1] * a[k + 1][l] / a[k + 1][k + 1] FOR v, l IN r] END FOR r, i IN a]
+        FROM e WHERE k < {size}),
+    w AS (SELECT s, [r[{size + 1}] FOR r IN a] AS b FROM e WHERE k = {size}) {select}"""
+
+
+LINEAR_METRICS = f"""SELECT 'Linear Regression' AS model,
+    {fx("(SELECT 1 - AVG((y - LIST_DOT_PRODUCT(xs, b)) ** 2) / VAR_POP(y) FROM x, w WHERE s = 'train' AND train)", 6)} AS train_r2,
+    {fx("(SELECT 1 - AVG((y - LIST_DOT_PRODUCT(xs, b)) ** 2) / VAR_POP(y) FROM x, w WHERE s = 'train' AND NOT train)", 6)} AS test_r2,
+    {fx("AVG(r)", 6)} AS cv_r2_mean, {fx("STDDEV_POP(r)", 6)} AS cv_r2_std,
+    {fx("(SELECT AVG(ABS(y - LIST_DOT_PRODUCT(xs, b))) FROM x, w WHERE s = 'train' AND NOT train)", 3)} AS mae,
+    {fx("(SELECT SQRT(AVG((y - LIST_DOT_PRODUCT(xs, b)) ** 2)) FROM x, w WHERE s = 'train' AND NOT train)", 3)} AS rmse
+    FROM (SELECT 1 - AVG((y - LIST_DOT_PRODUCT(xs, b)) ** 2) / VAR_POP(y) AS r FROM x JOIN w ON CAST(fold AS VARCHAR) = s GROUP BY fold)"""
+
+
+@query("l15_l16_linear_model", _linear_sql(LINEAR_METRICS))
 def _(t):
-    return evaluated(t, ["Linear Regression"], 5)
+    digits = {"train_r2": 6, "test_r2": 6, "cv_r2_mean": 6, "cv_r2_std": 6, "mae": 3, "rmse": 3}
+    rows = evaluated(t, ["Linear Regression"], 5)
+    return rows.select("model", *[fixed(F.col(c), d).alias(c) for c, d in digits.items()])
 
 
 @query("l15_l16_random_forest")
@@ -293,7 +329,10 @@ def _(t):
     return ml.best_model(evaluated(t, ml.regressors(), 0))
 
 
-@query("l19_predictions")
+@query(
+    "l19_predictions",
+    _linear_sql(f"SELECT id, {fx('GREATEST(LIST_DOT_PRODUCT(xs, b), 0)', 2)} AS predicted FROM p, w WHERE s = 'train'"),
+)
 def _(t):
     encoder, rows = encoded(t)
     model = ml.regressors()["Linear Regression"].fit(ml.split(rows, "id")[0])

@@ -155,12 +155,12 @@ def _(t):
     metrics = drift.number_metrics(t.events, F.to_date("ts"), ["value"])
     first = metrics.agg(F.min("snapshot")).scalar()
     watch.save_baseline(metrics.where(F.col("snapshot") == first), f"{folder}/baseline", "events")
-    baseline = watch.load_baseline(t.spark, f"{folder}/baseline", "events")
+    baseline = t.spark.read.parquet(f"{folder}/baseline")
     events = watch.read_events(t.spark, t.folder, SCHEMAS["events"], "events.parquet")
-    stream = watch.watch(
-        events, "ts", ["value"], baseline, f"{folder}/history", f"{folder}/alerts", f"{folder}/checkpoint", lateness="1 hour"
-    )
-    stream.awaitTermination()
+    days = watch.day_snapshots(events, "ts", ["value"], "1 hour")
+    watch.write_snapshots(days, f"{folder}/history", f"{folder}/days").awaitTermination()
+    snapshots = watch.read_snapshots(t.spark, f"{folder}/history", ["value"]).withColumn("source", F.lit("events"))
+    checks = watch.checked_snapshots(snapshots, baseline, ["value"], lateness="1 hour")
+    watch.write_checks(checks, f"{folder}/checks", f"{folder}/state").awaitTermination()
     history = watch.latest_snapshots(t.spark, f"{folder}/history").agg(F.count(F.lit(1))).scalar()
-    alerts = watch.latest_alerts(t.spark, f"{folder}/alerts", f"{folder}/history")
-    return alerts.agg(history.alias("days"), F.count(F.lit(1)).alias("alerts"))
+    return watch.latest_alerts(t.spark.read.parquet(f"{folder}/checks")).agg(history.alias("days"), F.count(F.lit(1)).alias("alerts"))

@@ -375,6 +375,32 @@ def test_preconditions_raise(spark):
         integrity.require(df, {"positive": F.col("v") > 0})
 
 
+def test_normal_equations_match_least_squares(spark):
+    """Weights and the scores of every fold, one scan for all; a dependent feature does no harm."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 6, (300, 3)).astype(float)
+    x[:, 2] = 2 * x[:, 0]
+    y = 1e6 + x @ [3.0, -2.0, 0.0] + rng.normal(0, 0.5, 300)
+    pdf = pd.DataFrame({"id": range(300), "a_enc": x[:, 0], "b_enc": x[:, 1], "c_enc": x[:, 2], "label": y})
+    data = spark.createDataFrame(pdf).repartition(4)
+    model = ml.NormalEquations().fit(data)
+    a = np.column_stack([np.ones(300), x])
+    fitted = {r.id: r.prediction for r in model.transform(data).collect()}
+    assert np.allclose([fitted[i] for i in range(300)], a @ np.linalg.lstsq(a, y, rcond=None)[0], rtol=1e-12)
+    scored = ml.evaluate("Linear Regression", ml.NormalEquations(), data, "id", 4)[1].first()
+    fold = np.array([r.fold for r in ml.folds(data, "id", 4).orderBy("id").collect()])
+    r2 = []
+    for k in range(4):
+        w = np.linalg.lstsq(a[fold != k], y[fold != k], rcond=None)[0]
+        own = y[fold == k]
+        r2.append(1 - ((own - a[fold == k] @ w) ** 2).sum() / ((own - own.mean()) ** 2).sum())
+    assert scored.cv_r2_mean == pytest.approx(np.mean(r2), abs=1e-8) and scored.cv_r2_std == pytest.approx(np.std(r2), abs=1e-8)
+    test = {r.id for r in ml.split(data, "id")[1].collect()}
+    held = np.array([i in test for i in range(300)])
+    w = np.linalg.lstsq(a[~held], y[~held], rcond=None)[0]
+    assert scored.mae == pytest.approx(np.abs(y[held] - a[held] @ w).mean(), rel=1e-9)
+
+
 def test_models_small(spark):
     rng = np.random.default_rng(0)
     pdf = pd.DataFrame({"id": range(400), "a": rng.choice(["x", "y", "z"], 400), "b": rng.choice(["p", "q"], 400)})
