@@ -42,8 +42,23 @@ KYC_STATUSES = ("Verified", "Pending")
 
 
 class Cleaned(NamedTuple):
+    """A cleaned frame and its metrics; `counters` are the same metrics as aggregates over the step's input, and
+    `constants` those known beforehand, where a step can be measured while it runs (`plans.cleaning.run_plan`)."""
+
     df: DataFrame
     metrics: DataFrame
+    counters: dict[str, Column] | None = None
+    constants: dict[str, int] = {}
+
+
+def measured(before: DataFrame, after: DataFrame, counters: dict[str, Column], **constants: int) -> Cleaned:
+    known = [F.lit(v).alias(name) for name, v in constants.items()]
+    if counters:
+        metrics = before.agg(*[c.alias(name) for name, c in counters.items()])
+        metrics = metrics.select("*", *known) if known else metrics
+    else:
+        metrics = before.sparkSession.range(1).select(*known)
+    return Cleaned(after, metrics, counters, constants)
 
 
 def is_text(df: DataFrame, column: str) -> bool:
@@ -67,8 +82,8 @@ def _as_missing(df: DataFrame, column: str) -> Column:
     return text.blank_to_null(F.col(column)) if is_text(df, column) else F.col(column)
 
 
-def _total(counts: Sequence[Column], name: str) -> Column:
-    return reduce(lambda a, b: a + b, counts, F.lit(0)).cast("long").alias(name)
+def _total(counts: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a + b, counts, F.lit(0)).cast("long")
 
 
 def _change_cells(df: DataFrame, new: dict[str, Column], metric: str = "cells_modified", changed=None) -> Cleaned:
@@ -76,13 +91,13 @@ def _change_cells(df: DataFrame, new: dict[str, Column], metric: str = "cells_mo
     tests = changed or {
         c: ~F.col(c).cast("string").eqNullSafe(expression.cast("string")) for c, expression in new.items()
     }
-    metrics = df.agg(_total([count_if(test) for test in tests.values()], metric))
-    return Cleaned(df.withColumns(new) if new else df, metrics)
+    counters = {metric: _total([count_if(test) for test in tests.values()])}
+    return measured(df, df.withColumns(new) if new else df, counters)
 
 
 def _filter_rows(df: DataFrame, keep: Column, metric: str = "rows_removed") -> Cleaned:
     kept = F.coalesce(keep, F.lit(False))
-    return Cleaned(df.where(kept), df.agg(count_if(~kept).alias(metric)))
+    return measured(df, df.where(kept), {metric: count_if(~kept)})
 
 
 def _counted(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -120,7 +135,7 @@ def drop_missing(
     for c in _known(df, critical):
         keep = keep & ~_missing(df, c)
     result = _filter_rows(df, keep)
-    return Cleaned(result.df.drop(*empty), result.metrics.withColumn("cols_dropped", F.lit(len(empty))))
+    return measured(df, result.df.drop(*empty), result.counters, cols_dropped=len(empty))
 
 
 def fill_default(df: DataFrame, columns: Sequence[str], placeholder, as_text: bool = False) -> Cleaned:
@@ -284,12 +299,9 @@ def split_column(
         rows = df.withColumns({n: text.split_part(F.col(column), delimiter, i) for i, n in enumerate(names)})
         rows = rows.drop(column) if drop_original and column not in names else rows
         split = 1
-    metrics = df.sparkSession.range(1).select(
-        F.lit(split).alias("columns_split"),
-        F.lit(len(names) * split).alias("columns_added"),
-        F.lit(int(drop_original) * split).alias("columns_dropped"),
+    return measured(
+        df, rows, {}, columns_split=split, columns_added=len(names) * split, columns_dropped=int(drop_original) * split
     )
-    return Cleaned(rows, metrics)
 
 
 def merge_columns(
@@ -299,12 +311,9 @@ def merge_columns(
     columns = _known(df, columns)
     rows = df.withColumn(name, text.merge_parts([F.col(c) for c in columns], separator)) if columns else df
     dropped = [c for c in columns if c != name] if drop_original else []
-    metrics = df.sparkSession.range(1).select(
-        F.lit(len(columns)).alias("columns_merged"),
-        F.lit(int(bool(columns))).alias("columns_added"),
-        F.lit(len(dropped)).alias("columns_dropped"),
+    return measured(
+        df, rows.drop(*dropped), {}, columns_merged=len(columns), columns_added=int(bool(columns)), columns_dropped=len(dropped)
     )
-    return Cleaned(rows.drop(*dropped), metrics)
 
 
 # ---------------------------------------------------------------- types
@@ -338,7 +347,7 @@ def _numeric(df: DataFrame, columns: Sequence[str], convert) -> Cleaned:
         tests[c] = F.col(c).isNotNull() & ~F.col(c).try_cast("double").eqNullSafe(new[c].cast("double"))
         tests[c] = tests[c] | (F.col(c).isNotNull() & new[c].isNull())
     result = _change_cells(df, new, changed=tests)
-    return Cleaned(result.df, result.metrics.withColumn("columns_converted", F.lit(len(new))))
+    return measured(df, result.df, result.counters, columns_converted=len(new))
 
 
 def convert_numeric(df: DataFrame, columns: Sequence[str]) -> Cleaned:
@@ -394,10 +403,10 @@ def validate_ranges(df: DataFrame, rules: Sequence[tuple[str, str, float, str]])
             current, target = current.cast("double"), T.DoubleType()
         replacement = F.lit(None) if action == "null" else F.lit(limit).cast(target)
         state[column] = F.when(bad, replacement).otherwise(current)
-    metrics = df.agg(_total(changed, "cells_modified"), count_if(dropped).alias("rows_removed"))
+    counters = {"cells_modified": _total(changed), "rows_removed": count_if(dropped)}
     touched = {rule[0] for rule in rules if rule[3] != "drop" and rule[0] in df.columns}
     rows = df.withColumn("_drop", dropped).withColumns({c: state[c] for c in touched}).where(~F.col("_drop"))
-    return Cleaned(rows.select(*df.columns), metrics)
+    return measured(df, rows.select(*df.columns), counters)
 
 
 def parse_range_rules(lines: str) -> list[tuple[str, str, float, str]]:
@@ -440,11 +449,10 @@ def apply_range_rules(df: DataFrame, rules: Sequence[tuple[str, str, float, str]
         if isinstance(kind, T.IntegralType) and action == "cap" and isinstance(limit, float):
             current, kind = current.cast("double"), T.DoubleType()
         state[column] = F.when(bad, F.lit(None) if action == "null" else F.lit(limit).cast(kind)).otherwise(current)
-    metrics = df.agg(
-        _total(counts["drop"], "rows_removed"), _total(counts["null"], "cells_nulled"), _total(counts["cap"], "cells_capped")
-    )
+    names = {"rows_removed": "drop", "cells_nulled": "null", "cells_capped": "cap"}
+    counters = {name: _total(counts[action]) for name, action in names.items()}
     rows = df.select(*[state[c].alias(c) for c in df.columns], alive.alias("_alive")).where("_alive")
-    return Cleaned(rows.select(*df.columns), metrics)
+    return measured(df, rows.select(*df.columns), counters)
 
 
 def outlier_bounds(df: DataFrame, column: str, method: str, threshold: float) -> Column:
@@ -479,9 +487,8 @@ def filter_outliers(
             continue
         counts.append(count_if(outside))
         new[c] = numbers.clip(value, low, high) if action == "cap" else F.when(~outside, value)
-    metrics = df.agg(_total(counts, "cells_modified"), count_if(dropped).alias("rows_removed"))
-    rows = df.where(~dropped) if action == "drop" else df.withColumns(new)
-    return Cleaned(rows, metrics)
+    counters = {"cells_modified": _total(counts), "rows_removed": count_if(dropped)}
+    return measured(df, df.where(~dropped) if action == "drop" else df.withColumns(new), counters)
 
 
 def replace_sigma_outliers(df: DataFrame, column: str, sigmas: float = 3.0) -> Cleaned:
@@ -524,8 +531,7 @@ def rename_columns(df: DataFrame, rules: dict[str, str] | None = None, auto_clea
     wanted = [rules.get(c, clean_name(c) if auto_clean else c) for c in df.columns]
     names = unique_names(wanted)
     renamed = sum(a != b for a, b in zip(df.columns, names))
-    metrics = df.sparkSession.range(1).select(F.lit(renamed).alias("columns_renamed"))
-    return Cleaned(df.toDF(*names), metrics)
+    return measured(df, df.toDF(*names), {}, columns_renamed=renamed)
 
 
 def unnamed_columns(df: DataFrame) -> list[str]:

@@ -6,10 +6,11 @@ one lazy plan; a failing action is recorded and the rest go on; long plans are c
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 
 from grainmill.operators import clean
 from grainmill.session import cut_lineage
@@ -61,9 +62,7 @@ OPERATIONS: dict[str, Callable[..., clean.Cleaned]] = {
     "replace_negatives": clean.replace_negatives,
     "rename_columns": clean.rename_columns,
     "apply_learned_rules": clean.apply_learned_rules,
-    "drop_columns": lambda df, columns: clean.Cleaned(
-        clean.drop_columns(df, columns), df.sparkSession.range(1).selectExpr(f"{len(columns)} AS columns_dropped")
-    ),
+    "drop_columns": lambda df, columns: clean.measured(df, clean.drop_columns(df, columns), {}, columns_dropped=len(columns)),
 }
 
 
@@ -129,3 +128,80 @@ def apply_plan(df: DataFrame, plan: Sequence[Action], cut_every: int = 10) -> Ru
         if cut_every and (i + 1) % cut_every == 0 and i + 1 < len(plan):
             run.df = cut_lineage(run.df)
     return run
+
+
+@dataclass
+class Measured:
+    """Result of a plan that has run: the cleaned frame, each step's counts, recorded errors."""
+
+    df: DataFrame
+    steps: list[tuple[str, dict]]
+    errors: list[tuple[str, str]]
+
+    def timeline(self) -> DataFrame:
+        """Step, operation and its counts as text, as `changelog.timeline` of the lazy metrics."""
+        rows = [(i + 1, name, json.dumps(counts, separators=(",", ":"))) for i, (name, counts) in enumerate(self.steps)]
+        return self.df.sparkSession.createDataFrame(rows, "step int, operation string, detail string")
+
+
+def run_plan(df: DataFrame, plan: Sequence[Action]) -> Measured:
+    """Run the actions and count what they do in the same pass: the source is read once, whatever the number of steps.
+
+    Counts are observed while the rows go by. They are exact only where every row goes by once, in the last stage of a
+    job, so the frame is checkpointed before a step that shuffles or that counts what it has made; that step and the
+    next ones read the checkpoint. An action that fails, when its plan is built or when it runs, is recorded and left
+    out; the others go on.
+    """
+    done: list[tuple[Action, Observation | None, dict]] = []
+    steps: list[tuple[str, dict]] = []
+    errors: list[tuple[str, str]] = []
+    base, frame = df, df
+
+    def flush() -> None:
+        """Materialise what is pending; on an error step by step, so that only the failing step is lost."""
+        nonlocal base, frame, done
+        if not done:
+            return
+        try:
+            frame = cut_lineage(frame)
+            steps.extend((a.kind, {**(o.get if o else {}), **constants}) for a, o, constants in done)
+        except Exception as error:  # noqa: BLE001 - a failing action must not stop the others
+            pending, frame = [a for a, _, _ in done], base
+            done = []
+            if len(pending) == 1:
+                errors.append((pending[0].kind, str(error)))
+                return
+            for action in pending:
+                add(action)
+                flush()
+        base, done = frame, []
+
+    def add(action: Action) -> None:
+        nonlocal base, frame
+        try:
+            result = OPERATIONS[action.kind](frame, **action.params)
+        except Exception as error:  # noqa: BLE001
+            errors.append((action.kind, str(error)))
+            return
+        if result.counters:
+            seen = Observation()
+            watched = frame.observe(seen, *[c.alias(name) for name, c in result.counters.items()])
+            frame = OPERATIONS[action.kind](watched, **action.params).df
+            done.append((action, seen, result.constants))
+        elif result.counters is not None:
+            frame = result.df
+            done.append((action, None, result.constants))
+        else:
+            flush()
+            try:
+                result = OPERATIONS[action.kind](frame, **action.params)
+                made = cut_lineage(result.df)
+                steps.append((action.kind, result.metrics.first().asDict()))
+                base = frame = made
+            except Exception as error:  # noqa: BLE001
+                errors.append((action.kind, str(error)))
+
+    for action in plan:
+        add(action)
+    flush()
+    return Measured(frame, steps, errors)

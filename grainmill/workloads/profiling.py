@@ -244,7 +244,13 @@ def _(t):
     return profile.run_metrics(rows, profile.issues(rows))
 
 
-@query("d24_health_before_after")
+@query(
+    "d24_health_before_after",
+    f"""SELECT was.health_score AS before, now.health_score AS after, now.health_score - was.health_score AS gain
+    FROM ({ISSUES} SELECT {SCORE} AS health_score FROM iss) was,
+    ({ISSUES.replace("WITH dirty AS", "WITH raw AS").replace(", n AS (SELECT COUNT(*) AS n FROM dirty)", ", dirty AS (SELECT DISTINCT * FROM raw), n AS (SELECT COUNT(*) AS n FROM dirty)", 1)}
+      SELECT {SCORE} AS health_score FROM iss) now""",
+)
 def _(t):
     from grainmill.operators.clean import remove_duplicates
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from grainmill.functions.numbers import fixed
 from grainmill.operators import changelog, clean, profile
-from grainmill.plans.cleaning import Action, apply_plan
+from grainmill.plans.cleaning import Action, apply_plan, run_plan
 from grainmill.sources import files
 from grainmill.workloads.fixtures import DIRTY_CUSTOMER, dirty_customer, dirty_orders, sql_number, sql_squeeze, sql_strip
 from grainmill.workloads.loading import scratch
@@ -89,22 +89,30 @@ def _(t):
     return changelog.removed_rows(rows, clean.drop_rows_missing(rows, "amount").df, "id").select("id", "name")
 
 
+TIMELINE = f"""s AS (SELECT UPPER(segment) AS u FROM dirty), steps AS (
+    SELECT 1 AS step, 'trim_whitespace' AS operation, 'cells_modified' AS kind, COUNT(*) AS n FROM dirty WHERE name <> {sql_squeeze('name')}
+    UNION ALL SELECT 2, 'normalize_case', 'cells_modified', COUNT(*) FROM dirty WHERE segment <> UPPER(segment)
+    UNION ALL SELECT 3, 'fill_default', 'cells_filled', COUNT(*) FROM s WHERE COALESCE({sql_strip('u')}, '') = ''
+    UNION ALL SELECT 4, 'convert_numeric', 'cells_modified', COUNT(*) FROM dirty WHERE TRY_CAST(balance AS DOUBLE) IS DISTINCT FROM {sql_number('balance')} OR {sql_number('balance')} IS NULL
+    UNION ALL SELECT 5, 'replace_negatives', 'cells_modified', COUNT(*) FROM dirty WHERE age < 0)"""
+
+
 @query(
     "t05_timeline_totals",
-    f"""{C}, s AS (SELECT UPPER(segment) AS u FROM dirty) SELECT
-    CAST((SELECT COUNT(*) FROM dirty WHERE name <> {sql_squeeze('name')}) + (SELECT COUNT(*) FROM dirty WHERE segment <> UPPER(segment))
-      + (SELECT COUNT(*) FROM s WHERE COALESCE({sql_strip('u')}, '') = '') + (SELECT COUNT(*) FROM dirty WHERE TRY_CAST(balance AS DOUBLE) IS DISTINCT FROM {sql_number('balance')} OR {sql_number('balance')} IS NULL)
-      + (SELECT COUNT(*) FROM dirty WHERE age < 0) AS BIGINT) AS cells_modified,
-    (SELECT COUNT(*) FROM s WHERE COALESCE({sql_strip('u')}, '') = '') AS missing_filled, CAST(0 AS BIGINT) AS rows_removed, 0 AS cols_dropped, 1 AS cols_renamed""",
+    f"""{C}, {TIMELINE} SELECT CAST(SUM(n) AS BIGINT) AS cells_modified, CAST(SUM(n) FILTER (WHERE kind = 'cells_filled') AS BIGINT) AS missing_filled,
+    CAST(0 AS BIGINT) AS rows_removed, 0 AS cols_dropped, 1 AS cols_renamed FROM steps""",
 )
 def _(t):
-    run = apply_plan(before(t), PLAN)
-    return changelog.summary_totals(changelog.timeline(run.metrics), before(t), after(t), RENAMED)
+    run = run_plan(before(t), PLAN)
+    return changelog.summary_totals(run.timeline(), before(t), run.df.withColumnsRenamed(RENAMED), RENAMED)
 
 
-@query("t05_timeline")
+@query(
+    "t05_timeline",
+    f"""{C}, {TIMELINE} SELECT step, operation, '{{"' || kind || '":' || n || CASE step WHEN 4 THEN ',"columns_converted":1' WHEN 5 THEN ',"rows_removed":0' ELSE '' END || '}}' AS detail FROM steps""",
+)
 def _(t):
-    return changelog.timeline(apply_plan(before(t), PLAN).metrics)
+    return run_plan(before(t), PLAN).timeline()
 
 
 @query(
