@@ -195,12 +195,16 @@ def _(t):
     return geo.enrich(rows, "city", geo.choose_kind(rows, "city")).select("id", "geo_state", "geo_region", "geo_tier")
 
 
-@query("g02_suggestions")
+@query("g02_suggestions", f"WITH {PLACED} SELECT DISTINCT city AS original, 'chennai' AS suggested FROM placed WHERE city = 'Chenai'")
 def _(t):
     return geo.suggestions(placed(t), "city", "city")
 
 
-@query("g02_corrected_places")
+@query(
+    "g02_corrected_places",
+    f"""WITH {PLACED}, {CITY_SQL}, f AS (SELECT CASE WHEN city = 'Chenai' THEN 'chennai' ELSE city END AS city FROM placed)
+    SELECT city, COALESCE(state, 'Unrecognized') AS geo_state, COUNT(*) AS rows FROM f LEFT JOIN cities ON LOWER(TRIM(city)) = name GROUP BY 1, 2""",
+)
 def _(t):
     fixed_names = geo.correct(placed(t), "city", "city")
     return geo.enrich(fixed_names, "city", "city").groupBy("city", "geo_state").agg(F.count(F.lit(1)).alias("rows"))

@@ -134,6 +134,7 @@ def _(t):
 
 @query(
     "x10_closest_spelling",
+    f"WITH {DIRTY_CUSTOMER} SELECT DISTINCT SUBSTR(segment, 2, 20) AS word, LOWER(segment) AS match FROM dirty WHERE SUBSTR(segment, 2, 20) <> ''",
 )
 def _(t):
     from grainmill.functions.similarity import closest
