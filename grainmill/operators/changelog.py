@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from grainmill.functions.text import strip
+from grainmill.operators import versions
 from grainmill.operators.explore import moment_columns, numeric_columns
 
 # Group name of each kind of change.
@@ -22,15 +23,17 @@ CATEGORIES = {
 
 
 def cell_changes(
-    before: DataFrame, after: DataFrame, row_id: str, renamed: Mapping[str, str] | None = None
+    before: DataFrame, after: DataFrame, row_id: str, renamed: Mapping[str, str] | None = None, few: bool = False
 ) -> DataFrame:
     """Rows (row id, column, before, after, operation) for every cell that differs; null compares as ''.
 
-    `renamed` maps old to new column names. One join on the row id, both sides pruned to the shared columns.
+    `renamed` maps old to new column names. One join on the row id, both sides pruned to the shared columns. With `few`,
+    where most rows are expected to be the same, only rows of unequal hash buckets are joined (`versions.differing`,
+    which runs a job); the result is the same.
     """
-    renamed = dict(renamed or {})
-    pairs = [(old, renamed.get(old, old)) for old in before.columns if old != row_id]
-    pairs = [(old, new) for old, new in pairs if new in after.columns and new != row_id]
+    pairs = versions.shared_pairs(before, after, row_id, renamed)
+    if few:
+        before, after = versions.differing(before, after, row_id, pairs)
     left = before.select(row_id, *[F.col(old).cast("string").alias(f"_b{i}") for i, (old, _) in enumerate(pairs)])
     right = after.select(row_id, *[F.col(new).cast("string").alias(f"_a{i}") for i, (_, new) in enumerate(pairs)])
     cells = [
@@ -75,7 +78,10 @@ def column_impact(changes: DataFrame, total_rows: Column) -> DataFrame:
     return rows.withColumn("pct", F.try_divide(F.col("cells_modified") * 100.0, total_rows))
 
 
-def removed_rows(before: DataFrame, after: DataFrame, row_id: str) -> DataFrame:
+def removed_rows(before: DataFrame, after: DataFrame, row_id: str, few: bool = False) -> DataFrame:
+    """Rows whose id is gone; `few` as in `cell_changes`."""
+    if few:
+        before, after = versions.differing(before, after, row_id)
     return before.join(after.select(row_id), row_id, "left_anti")
 
 
@@ -130,30 +136,57 @@ COMMON_NAMES = ("id", "name", "date", "value")
 COLUMN_WEIGHT, TYPE_WEIGHT = 0.70, 0.30
 
 
-def similar_datasets(catalog: DataFrame, at_least: float = 0.80) -> DataFrame:
-    """Pairs of catalog entries with alike columns and types; a size difference over 30% lowers the score.
+def _least_overlap(at_least: float) -> float:
+    """The share of common columns below which no score reaches `at_least`: types give at most their weight."""
+    return max((at_least - TYPE_WEIGHT) / COLUMN_WEIGHT, 0.0)
+
+
+def _prefixes(sets: DataFrame, at_least: float) -> DataFrame:
+    """(schema, size, c): each set's rarest columns, as many as two sets that are alike enough cannot both lack.
+
+    Sets whose common part is at least the share t of the larger one agree in one of their first n - ceil(t n) + 1
+    columns in any common order; by rarity, that column is a rare one.
+    """
+    cells = sets.select("schema", F.size("cs").alias("size"), F.explode("cs").alias("c"))
+    often = cells.groupBy("c").agg(F.count(F.lit(1)).alias("often"))
+    ranked = cells.join(often, "c").groupBy("schema", "size").agg(F.array_sort(F.collect_list(F.struct("often", "c"))).alias("r"))
+    needed = F.greatest(F.ceil(F.col("size") * _least_overlap(at_least) - 1e-9), F.lit(1)).cast("int")
+    return ranked.select("schema", "size", F.explode(F.slice("r", F.lit(1), F.col("size") - needed + 1)).alias("r")).select("schema", "size", "r.c")
+
 
-    Only entries that share a column can score, so candidates come from an equi-join on column names.
+def similar_schemas(catalog: DataFrame, at_least: float = 0.80) -> tuple[DataFrame, DataFrame]:
+    """Distinct schemas (schema, columns, column_types, datasets), and pairs of them that are alike (first, second,
+    score; a schema of several datasets is a pair with itself).
+
+    Candidates meet on their rarest columns (`_prefixes`), so a column that most tables have brings nobody together.
     """
-    plain = F.filter("columns", lambda c: ~F.lower(c).isin(*COMMON_NAMES))
-    rows = catalog.select("dataset", "columns", "column_types", plain.alias("kept"))
-    # A pair is compared on kept names, or on all names where one side has no kept one; it meets on those only.
+    entries = F.sort_array(F.map_entries("column_types"))
+    keyed = catalog.select("dataset", "columns", "column_types", F.to_json(F.struct(F.array_sort("columns"), entries)).alias("_k"))
+    schemas = keyed.groupBy(F.sha2("_k", 256).alias("schema")).agg(
+        F.first("columns").alias("columns"), F.first("column_types").alias("column_types"), F.count(F.lit(1)).alias("datasets")
+    )
+    rows = schemas.withColumn("kept", F.filter("columns", lambda c: ~F.lower(c).isin(*COMMON_NAMES)))
+    # A pair is compared on kept names, or on all names where one side has no kept one.
     lonely = F.size("kept") == 0
-    whole = rows.select("dataset", F.explode("columns").alias("c"), lonely.alias("lonely"))
-    kept = rows.select("dataset", F.explode("kept").alias("c"))
+    kept = _prefixes(rows.where(~lonely).select("schema", F.array_distinct("kept").alias("cs")), at_least)
+    whole = _prefixes(rows.select("schema", F.array_distinct("columns").alias("cs")), at_least)
+    alone = rows.where(lonely).select("schema")
 
     def meet(x: DataFrame, y: DataFrame) -> DataFrame:
-        both = x.alias("x").join(y.alias("y"), F.col("x.c") == F.col("y.c")).where(F.col("x.dataset") != F.col("y.dataset"))
-        a, b = F.col("x.dataset"), F.col("y.dataset")
+        x, y = x.alias("x"), y.alias("y")
+        least, most = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
+        both = x.join(y, (F.col("x.c") == F.col("y.c")) & (F.col("x.schema") != F.col("y.schema")) & (least >= most * _least_overlap(at_least) - 1e-9))
+        a, b = F.col("x.schema"), F.col("y.schema")
         return both.select(F.least(a, b).alias("first"), F.greatest(a, b).alias("second"))
 
-    pairs = meet(kept, kept).unionByName(meet(whole.where("lonely"), whole)).distinct()
+    pairs = meet(kept, kept).unionByName(meet(whole.join(alone, "schema", "left_semi"), whole)).distinct()
+    itself = schemas.where("datasets > 1").select(F.col("schema").alias("first"), F.col("schema").alias("second"))
     a = rows.select(*[F.col(c).alias(f"a_{c}") for c in rows.columns])
     b = rows.select(*[F.col(c).alias(f"b_{c}") for c in rows.columns])
-    both = pairs.join(a, F.col("first") == F.col("a_dataset")).join(b, F.col("second") == F.col("b_dataset"))
-    whole = (F.size("a_kept") == 0) | (F.size("b_kept") == 0)
-    left = F.when(whole, F.col("a_columns")).otherwise(F.col("a_kept"))
-    right = F.when(whole, F.col("b_columns")).otherwise(F.col("b_kept"))
+    both = pairs.unionByName(itself).join(a, F.col("first") == F.col("a_schema")).join(b, F.col("second") == F.col("b_schema"))
+    some = (F.size("a_kept") == 0) | (F.size("b_kept") == 0)
+    left = F.when(some, F.col("a_columns")).otherwise(F.col("a_kept"))
+    right = F.when(some, F.col("b_columns")).otherwise(F.col("b_kept"))
     both = both.withColumns({"_l": left, "_r": right}).withColumn("_common", F.array_intersect("_l", "_r"))
     same = F.size(F.filter("_common", lambda c: F.col("a_column_types")[c] == F.col("b_column_types")[c]))
     overlap = F.size("_common") / F.greatest(F.size("_l"), F.size("_r"))
@@ -161,7 +194,22 @@ def similar_datasets(catalog: DataFrame, at_least: float = 0.80) -> DataFrame:
     base = COLUMN_WEIGHT * overlap + TYPE_WEIGHT * types
     sizes = F.least(F.size("a_columns"), F.size("b_columns")) / F.greatest(F.size("a_columns"), F.size("b_columns"))
     score = F.when(sizes < 0.7, base * sizes).otherwise(base)
-    return both.select("first", "second", score.alias("score")).where(F.col("score") >= at_least)
+    alike = both.select("first", "second", score.alias("score")).where(F.col("score") >= at_least)
+    members = keyed.select("dataset", F.sha2("_k", 256).alias("schema"))
+    return members, alike
+
+
+def similar_datasets(catalog: DataFrame, at_least: float = 0.80) -> DataFrame:
+    """Pairs of catalog entries with alike columns and types; a size difference over 30% lowers the score.
+
+    The work is done on distinct schemas (`similar_schemas`); every pair of datasets of alike schemas is a row.
+    """
+    members, alike = similar_schemas(catalog, at_least)
+    a = members.select(F.col("schema").alias("first"), F.col("dataset").alias("_a"))
+    b = members.select(F.col("schema").alias("second"), F.col("dataset").alias("_b"))
+    rows = alike.join(a, "first").join(b, "second")
+    rows = rows.where((F.col("first") != F.col("second")) | (F.col("_a") < F.col("_b")))
+    return rows.select(F.least("_a", "_b").alias("first"), F.greatest("_a", "_b").alias("second"), "score")
 
 
 def recurring_insights(registry: DataFrame, at_least: int = 3, prefix: int | None = None) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from grainmill.functions.numbers import fixed
-from grainmill.operators import changelog, clean, profile
+from grainmill.operators import changelog, clean, profile, versions
 from grainmill.plans.cleaning import Action, apply_plan, run_plan
 from grainmill.sources import files
 from grainmill.workloads.fixtures import DIRTY_CUSTOMER, dirty_customer, dirty_orders, sql_number, sql_squeeze, sql_strip
@@ -63,6 +63,53 @@ def _(t):
     return changes(t).groupBy("column").agg(F.count(F.lit(1)).alias("cells"))
 
 
+NEWER = """newer AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 2003 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
+    CASE WHEN o_orderkey % 1009 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 3001 <> 0
+    UNION ALL SELECT -o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 4001 = 0)"""
+
+
+def order_versions(t: Tables):
+    """Orders, and a later version of them: a few prices and states changed, a few rows gone, a few new."""
+    older = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    key = F.col("o_orderkey")
+    changed = older.where(key % 3001 != 0).withColumns(
+        {
+            "o_orderstatus": F.when(key % 2003 == 0, "X").otherwise(F.col("o_orderstatus")),
+            "o_totalprice": F.when(key % 1009 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")),
+        }
+    )
+    return older, changed.unionByName(older.where(key % 4001 == 0).withColumn("o_orderkey", -key))
+
+
+@query(
+    "t01_few_changes",
+    f"""WITH {NEWER}, c AS (SELECT o.o_orderkey, 'o_orderstatus' AS "column", o.o_orderstatus AS before, n.o_orderstatus AS after, CAST(NULL AS DOUBLE) AS moved FROM orders o JOIN newer n USING (o_orderkey)
+      UNION ALL SELECT o.o_orderkey, 'o_totalprice', '', '', n.o_totalprice - o.o_totalprice FROM orders o JOIN newer n USING (o_orderkey))
+    SELECT o_orderkey, "column", CASE WHEN "column" = 'o_totalprice' THEN '' ELSE before END AS before, CASE WHEN "column" = 'o_totalprice' THEN '' ELSE after END AS after
+    FROM c WHERE before <> after OR moved <> 0""",
+)
+def _(t):
+    older, newer = order_versions(t)
+    rows = changelog.cell_changes(older, newer, "o_orderkey", few=True)
+    price = F.col("column") == "o_totalprice"  # both engines write large doubles in forms of their own
+    return rows.select("o_orderkey", "column", *[F.when(price, "").otherwise(F.col(c)).alias(c) for c in ("before", "after")])
+
+
+@query(
+    "s19_row_changes",
+    f"""WITH {NEWER} SELECT COUNT(*) FILTER (WHERE o.o_orderkey IS NULL) AS rows_added, COUNT(*) FILTER (WHERE n.o_orderkey IS NULL) AS rows_removed,
+    COUNT(*) FILTER (WHERE o.o_orderstatus <> n.o_orderstatus OR o.o_totalprice <> n.o_totalprice) AS rows_changed
+    FROM orders o FULL JOIN newer n ON o.o_orderkey = n.o_orderkey""",
+)
+def _(t):
+    return versions.row_changes(*order_versions(t), "o_orderkey")
+
+
+@query("t04_few_removed_rows", f"WITH {NEWER} SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM newer)")
+def _(t):
+    return changelog.removed_rows(*order_versions(t), "o_orderkey", few=True).select("o_orderkey", "o_custkey")
+
+
 @query("t02_inferred_operations", f"""{C}, {BEFORE_AFTER} SELECT id, col AS "column", op AS operation FROM ch""")
 def _(t):
     return changes(t).select("id", "column", "operation")
@@ -206,6 +253,31 @@ def _(t):
     return changelog.similar_datasets(catalog(t)).withColumn("score", fixed(F.col("score"), 6))
 
 
+@query(
+    "t09_similar_catalog_entries",
+    f"""WITH e AS (SELECT c_nationkey || '-' || c_mktsegment AS dataset, STRFTIME(o_orderdate, 'm%Y') || (EXTRACT(MONTH FROM o_orderdate) + 1) // 2 AS c, COUNT(*) AS n
+      FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+    d AS (SELECT dataset, LIST(c ORDER BY c) AS cs, MAP(LIST(c ORDER BY c), LIST(CASE WHEN n % 5 > 0 THEN 'numeric' ELSE 'categorical' END ORDER BY c)) AS ts FROM e GROUP BY 1),
+    p AS (SELECT a.dataset AS first, b.dataset AS second, LIST_INTERSECT(a.cs, b.cs) AS x, LEN(a.cs) AS m, LEN(b.cs) AS k, a.ts AS ta, b.ts AS tb FROM d a JOIN d b ON a.dataset < b.dataset),
+    q AS (SELECT *, 0.7 * LEN(x) / GREATEST(m, k) + 0.3 * COALESCE(LEN([c FOR c IN x IF ta[c] = tb[c]]) / NULLIF(LEN(x), 0), 0) AS base, LEAST(m, k) / GREATEST(m, k) AS sizes FROM p)
+    SELECT first, second, {fx('CASE WHEN sizes < 0.7 THEN base * sizes ELSE base END', 6)} AS score FROM q WHERE CASE WHEN sizes < 0.7 THEN base * sizes ELSE base END >= 0.8""",
+)
+def _(t):
+    """A written catalog of tables, read back: one per nation and segment, a column per two months with orders."""
+    folder, day = scratch(t, "catalog"), F.col("o_orderdate")
+    part = F.concat(F.date_format(day, "'m'yyyy"), F.floor((F.month(day) + 1) / 2).cast("string"))
+    cells = (
+        t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy(F.concat_ws("-", "c_nationkey", "c_mktsegment").alias("dataset"), part.alias("c"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    kind = F.when(F.col("n") % 5 > 0, "numeric").otherwise("categorical").alias("kind")
+    entries = cells.select("dataset", F.struct("c", kind).alias("e")).groupBy("dataset").agg(F.array_sort(F.collect_list("e")).alias("es"))
+    entries.select("dataset", F.col("es.c").alias("columns"), F.map_from_entries("es").alias("column_types")).write.parquet(folder)
+    rows = changelog.similar_datasets(t.spark.read.parquet(folder))
+    return rows.withColumn("score", fixed(F.col("score"), 6))
+
+
 @query(
     "t10_recurring_insights",
     """SELECT LOWER(event_type) || ' drives most value' AS pattern, COUNT(DISTINCT user_id) AS datasets FROM events GROUP BY 1 HAVING COUNT(DISTINCT user_id) >= 3""",
