@@ -13,7 +13,7 @@ import statistics
 import sys
 import time
 
-from grainmill.session import local_session
+from grainmill.session import clear_scratch, local_session
 from grainmill.workloads import QUERIES, load_all
 
 HEADLINE = (
@@ -60,6 +60,7 @@ def main() -> None:
         except Exception as error:  # noqa: BLE001 - one broken query must not hide the others
             print(f"{name}: {error}", file=sys.stderr)
             seconds[name] = None
+        clear_scratch(spark)
     total = sum(s for s in seconds.values() if s is not None)
     scale = re.search(r"sf([\d.]+)", folder)
     print(

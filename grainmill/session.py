@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -40,6 +43,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     made = tempfile.mkdtemp(prefix="grainmill-checkpoint-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(made)
     return made
 
@@ -51,3 +55,24 @@ def cut_lineage(df):
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+_SCRATCH: list[str] = []
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for intermediate tables under the shared checkpoint folder; `clear_scratch` deletes it."""
+    _SCRATCH.append(f"{checkpoint_dir(spark)}/grainmill-{name}-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder on whatever file system it is on; a missing one is no error."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the scratch folders made so far. Frames that read them must be done with."""
+    while _SCRATCH:
+        delete_folder(spark, _SCRATCH.pop())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Mapping, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -25,31 +26,55 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
     return SEPARATORS[best] if counts[best] else ","
 
 
+WHOLE = 1 << 50  # larger than any file: a file is one partition, and no two share one
+
+
+@contextmanager
+def _file_per_partition(spark: SparkSession):
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n, None) for n in names}
+    for n in names:
+        spark.conf.set(n, str(WHOLE))
+    try:
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+def first_lines(spark: SparkSession, paths: str | Sequence[str], encoding: str = "UTF-8") -> list[tuple[str, str]]:
+    """Path and first line of every file under the paths that has a line, in the order of the paths. One job.
+
+    Every file is a task that stops at its first line, so a large file costs no more than a small one.
+    """
+    reader = spark.read
+    if encoding.upper().replace("_", "-").startswith(("UTF-16", "UTF-32")):
+        reader = reader.option("encoding", encoding).option("lineSep", "\n")  # line ends of several bytes
+    lines = reader.text([paths] if isinstance(paths, str) else list(paths)).select(
+        F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("line")
+    )
+
+    def first(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.slice(0, 1)
+                return
+
+    with _file_per_partition(spark):
+        found = lines.mapInArrow(first, "path string, line binary").collect()
+    texts = [(r["path"], bytes(r["line"]).decode(encoding, "replace").lstrip("\ufeff").rstrip("\r")) for r in found]
+    return sorted(texts)
+
+
 def headers(
     spark: SparkSession, paths: str | Sequence[str], separator: str = ",", encoding: str = "UTF-8"
 ) -> dict[str, tuple[str, ...]]:
-    """The raw header of every file under the paths, repeats and empty names as they are. One job for all files.
+    """The raw header of every file under the paths, repeats and empty names as they are; see `first_lines`.
 
-    Each file's first line comes from its first split; files without a line have no header.
+    Files without a line are left out.
     """
-    lines = spark.read.text([paths] if isinstance(paths, str) else list(paths)).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.col("value"),
-        F.monotonically_increasing_id().alias("at"),
-    )
-    first = lines.where("block = 0").groupBy("path").agg(F.min_by("value", "at").alias("line")).collect()
-    found = {}
-    for row in sorted(first, key=lambda r: r["path"]):
-        line = row["line"] if encoding.upper() == "UTF-8" else None
-        found[row["path"]] = tuple(next(csv.reader([line], delimiter=separator), [])) if line is not None else ()
-    if encoding.upper() != "UTF-8":
-        # The text reader knows UTF-8 only; in another encoding the CSV reader is asked, file by file of a few kinds.
-        reader = spark.read.option("header", False).option("sep", separator).option("encoding", encoding)
-        for path in found:
-            line = reader.csv(path).limit(1).collect()
-            found[path] = tuple("" if v is None else v for v in line[0]) if line else ()
-    return found
+    lines = first_lines(spark, paths, encoding)
+    return {path: tuple(next(csv.reader([line], delimiter=separator), [])) for path, line in lines}
 
 
 def by_header(found: Mapping[str, tuple[str, ...]]) -> dict[tuple[str, ...], list[str]]:
@@ -153,6 +178,27 @@ def catalog(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {p.rsplit("/", 1)[-1]: _read_groups(spark, by_header({p: h})) for p, h in found.items()}
 
 
+def file_inventory(spark: SparkSession, paths: str | Sequence[str], words: Sequence[str], separator: str = ",") -> DataFrame:
+    """Per file: name, rows, columns, percent of missing cells, key-like columns. A scan and one grouped aggregate per
+    distinct header, whatever the number of files."""
+    frames = []
+    for header, members in by_header(headers(spark, paths, separator)).items():
+        names = resolved_names(header)
+        rows = _read_groups(spark, {header: members}, separator).withColumn("_file", F.col("_metadata.file_name"))
+        missing = reduce(lambda a, b: a + b, [F.sum(F.col(f"`{n}`").isNull().cast("long")) for n in names])
+        keys = ", ".join(n for n in names if any(w in n.lower() for w in words)) or "None"
+        frames.append(
+            rows.groupBy(F.col("_file").alias("dataset")).agg(
+                F.count(F.lit(1)).alias("rows"),
+                F.lit(len(names)).alias("columns"),
+                F.coalesce(F.try_divide(missing * 100.0, F.count(F.lit(1)) * len(names)), F.lit(0.0)).alias("missing_pct"),
+                F.lit(keys).alias("candidate_keys"),
+            )
+        )
+    kind = "dataset string, rows bigint, columns int, missing_pct double, candidate_keys string"
+    return reduce(DataFrame.unionByName, frames, spark.createDataFrame([], kind))
+
+
 # ---------------------------------------------------------------- sinks
 
 

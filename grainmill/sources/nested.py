@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
@@ -79,11 +81,41 @@ def read_records(spark: SparkSession, path: str, multi_line: bool = True, root_l
     return flatten(rows)
 
 
-def read_landed(spark: SparkSession, path: str, key: str = "scheme_code") -> DataFrame:
-    """Landed per-key JSON files (`<key>.json` with a `data` list): the list's rows plus the key from the file name."""
-    document = spark.read.option("multiLine", True).json(path)
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"([^/]+)\.json$", 1)
-    return document.select(name.alias(key), F.explode("data").alias("r")).select(key, "r.*")
+class Landed(NamedTuple):
+    """Rows of the readable files, and the others with what is wrong with them."""
+
+    rows: DataFrame
+    quarantine: DataFrame
+
+    def counts(self, key: str) -> DataFrame:
+        """One row: keys with rows, rows, keys in quarantine."""
+        broken = self.quarantine.agg(F.count_distinct(key)).scalar()
+        return self.rows.agg(F.count_distinct(key).alias("keys"), F.count(F.lit(1)).alias("rows")).select("*", broken.alias("quarantined"))
+
+
+def read_landed(
+    spark: SparkSession, path: str, schema: str, key: str = "scheme_code", pattern: str = r"([^/]+)\.json$", field: str = "data"
+) -> Landed:
+    """Landed JSON files of one document per key: rows (key and `schema`) of the list `field`, and a quarantine.
+
+    The key is the first group of `pattern` in the file's path. A file that is no JSON document, or whose list is
+    missing, empty or of another form, does not stop the others: it goes to the quarantine (key, path, reason, text).
+    Every file is either read or quarantined.
+    """
+    kind = f"`{field}` array<struct<{schema}>>, _broken string"
+    reader = spark.read.schema(kind).option("multiLine", True).option("columnNameOfCorruptRecord", "_broken")
+    place = F.col("_metadata.file_path")
+    found = reader.option("recursiveFileLookup", True).json(path).select(
+        F.regexp_extract(place, pattern, 1).alias(key), place.alias("path"), F.col(f"`{field}`").alias("_list"), "_broken"
+    )
+    reason = (
+        F.when(F.col("_broken").isNotNull(), "unreadable")
+        .when(F.col("_list").isNull(), "no list")
+        .when(F.size("_list") == 0, "empty list")
+    )
+    marked = found.withColumn("reason", reason)
+    rows = marked.where("reason IS NULL").select(key, F.explode("_list").alias("_r")).select(key, "_r.*")
+    return Landed(rows, marked.where("reason IS NOT NULL").select(key, "path", "reason", F.col("_broken").alias("text")))
 
 
 def parse_column(df: DataFrame, column: str, schema: str) -> DataFrame:

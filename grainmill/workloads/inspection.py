@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from grainmill.functions.numbers import fixed
 from grainmill.operators import inspect
 from grainmill.plans.cleaning import apply_plan, build_plan
+from grainmill.sources import files
 from grainmill.workloads.cleaning import TAILED, tailed
 from grainmill.workloads.fixtures import (
     DIRTY_CUSTOMER,
@@ -15,6 +16,7 @@ from grainmill.workloads.fixtures import (
     sql_number,
     sql_strip,
 )
+from grainmill.workloads.loading import with_header
 from grainmill.workloads.profiling import HOLLOW, hollow
 from grainmill.workloads.registry import fx, query
 
@@ -30,7 +32,8 @@ SHORT = ["severity", "column", "issue", "count"]
     'Unnamed: 1, Column3' AS details FROM region LIMIT 1""",
 )
 def _(t):
-    rows = t.customer.select("c_custkey", "c_name", "c_nationkey").toDF("id", "Unnamed: 1", "Column3")
+    path = with_header(t, t.customer.select("c_custkey", "c_name", "c_nationkey"), "id,,Column3")
+    rows = files.read_csv(t.spark, path)
     return inspect.structural(rows).select(*SHORT, "details")
 
 

@@ -1,12 +1,10 @@
 """Star schema, integrity checks, the ten reporting queries, and sources read back from Spark-written files."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from grainmill.functions.numbers import fixed
 from grainmill.operators import integrity, star
-from grainmill.session import checkpoint_dir
+from grainmill.session import scratch_folder
 from grainmill.sources import files, nested, rowid
 from grainmill.workloads.fixtures import DIRTY_CUSTOMER, dirty_customer
 from grainmill.workloads.funds import supplier_master, supplier_performance, text_date, transactions
@@ -16,7 +14,17 @@ from grainmill.workloads.registry import Tables, fx, query
 
 def scratch(t: Tables, name: str) -> str:
     """A fresh folder under the session's shared checkpoint folder."""
-    return f"{checkpoint_dir(t.spark)}/grainmill-{name}-{uuid.uuid4().hex}"
+    return scratch_folder(t.spark, name)
+
+
+def with_header(t: Tables, rows, header: str):
+    """The path of one delimited file of the rows, under a header line of its own."""
+    path = scratch(t, "header")
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]
+    lines = rows.select(F.lit(1).alias("_at"), F.concat_ws(",", *cells).alias("value"))
+    first = t.spark.createDataFrame([(0, header)], "_at int, value string")
+    first.unionByName(lines).repartition(1).sortWithinPartitions("_at").select("value").write.text(path)
+    return path
 
 
 # ---------------------------------------------------------------- checks
@@ -52,11 +60,16 @@ def _(t):
     UNION ALL SELECT 'date', 'days', COUNT(*) FROM events)""",
 )
 def _(t):
-    tables = {
+    """Names from the headers of written files."""
+    folder = scratch(t, "shared")
+    written = {
         "facts": t.orders.select(F.col("o_custkey").alias("customer_id"), F.col("o_orderdate").alias("date")),
         "master": t.customer.select(F.col("c_custkey").alias("customer_id")),
         "days": t.events.select(F.col("ts").alias("date")),
     }
+    for name, rows in written.items():
+        files.write_csv(rows, f"{folder}/{name}")
+    tables = {name: files.read_csv(t.spark, f"{folder}/{name}") for name in written}
     counted = integrity.inventory(tables).select("dataset", "rows")
     shared = integrity.shared_columns(tables).withColumn("dataset", F.explode(F.split("datasets", ", ")))
     return shared.join(counted, "dataset").select("column", "dataset", "rows")
@@ -375,13 +388,17 @@ def _(t):
 
 @query(
     "s07_directory_catalog",
-    "SELECT CAST(3 AS BIGINT) AS files, COUNT(*) AS rows FROM customer",
+    """SELECT files, rows, columns, missing_pct, candidate_keys FROM (SELECT CAST(3 AS BIGINT) AS files, COUNT(*) AS rows, 5 AS columns,
+    0.0::DOUBLE AS missing_pct, 'None' AS candidate_keys FROM customer
+    UNION ALL SELECT CAST(2 AS BIGINT), COUNT(*), 3, 0.0::DOUBLE, 'None' FROM nation)""",
 )
 def _(t):
     folder = scratch(t, "catalog")
-    files.write_csv(t.customer.repartition(3), folder)
-    rows = integrity.inventory(files.catalog(t.spark, folder))
-    return rows.agg(F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows"))
+    files.write_csv(t.customer.repartition(3), f"{folder}/a")
+    files.write_csv(t.nation.repartition(2), f"{folder}/b")
+    rows = files.file_inventory(t.spark, [f"{folder}/a", f"{folder}/b"], integrity.KEY_WORDS)
+    figures = ["columns", "candidate_keys"]
+    return rows.groupBy(*figures).agg(F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows"), F.max("missing_pct").alias("missing_pct"))
 
 
 @query("s08_repeated_header", "SELECT CAST(n_nationkey AS VARCHAR) AS a, n_name AS a_1, CAST(n_regionkey AS VARCHAR) AS b FROM nation")
@@ -423,6 +440,33 @@ def _(t):
     )
 
 
+def landed(t: Tables):
+    """A JSON document per user with the user's events, as files by key; some are cut off, some lack the list."""
+    folder, user = scratch(t, "landed"), F.col("user_id")
+    item = F.struct("event_id", "event_type", F.col("value").alias("nav"))
+    docs = t.events.groupBy("user_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(item)).alias("data"))).alias("text"))
+    broken = F.when(user % 10 == 3, F.expr("substring(text, 1, length(text) - 9)")).when(user % 10 == 4, '{"meta": 1}')
+    docs.select("user_id", F.coalesce(broken, "text").alias("value")).repartition("user_id").write.partitionBy("user_id").text(folder)
+    return nested.read_landed(t.spark, folder, "event_id bigint, event_type string, nav double", "user", r"user_id=([^/]+)/")
+
+
+@query("s13_landed_rows", "SELECT CAST(user_id AS VARCHAR) AS user, event_id, event_type, FLOOR(value * 100 + 0.5) AS cents FROM events WHERE user_id % 10 NOT IN (3, 4)")
+def _(t):
+    return landed(t).rows.select("user", "event_id", "event_type", F.floor(F.col("nav") * 100 + 0.5).cast("double").alias("cents"))
+
+
+@query(
+    "s13_quarantine",
+    """SELECT reason, COUNT(DISTINCT user_id) AS files FROM (SELECT user_id, CASE WHEN user_id % 10 = 3 THEN 'unreadable' WHEN user_id % 10 = 4 THEN 'no list' ELSE 'read' END AS reason FROM events)
+    GROUP BY 1""",
+)
+def _(t):
+    """Files read and files quarantined by reason; together they are all files."""
+    files_of = landed(t)
+    read = files_of.rows.agg(F.lit("read").alias("reason"), F.count_distinct("user").alias("files")).where("files > 0")
+    return read.unionByName(files_of.quarantine.groupBy("reason").agg(F.count_distinct("user").alias("files")))
+
+
 @query("s14_s15_s16_sinks", "SELECT 'csv' AS form, COUNT(*) AS rows FROM supplier UNION ALL SELECT 'parquet', COUNT(*) FROM supplier UNION ALL SELECT 'json', COUNT(*) FROM supplier")
 def _(t):
     folder = scratch(t, "sinks")

@@ -6,6 +6,7 @@ from grainmill.functions.numbers import fixed
 from grainmill.operators import profile
 from grainmill.operators.dedup import duplicate_count, near_duplicate_count
 from grainmill.operators.recommend import actions_for, preview, recommendations
+from grainmill.sources import files
 from grainmill.workloads.fixtures import (
     DIRTY_CUSTOMER,
     DIRTY_ORDERS,
@@ -16,6 +17,7 @@ from grainmill.workloads.fixtures import (
     sql_squeeze,
     sql_strip,
 )
+from grainmill.workloads.loading import scratch, with_header
 from grainmill.workloads.registry import fx, query
 
 C = f"WITH {DIRTY_CUSTOMER}"
@@ -160,7 +162,10 @@ def _(t):
 
 @query("d15_repeated_header", "SELECT 'duplicate_columns' AS id, CAST(2 AS BIGINT) AS affected_count FROM customer LIMIT 1")
 def _(t):
-    rows = profile.issues(t.customer, header=["key", "name", "nation", "key", "name.1"])
+    path = with_header(t, t.customer, "key,name,nation,key,name.1")
+    header = next(iter(files.headers(t.spark, path).values()))
+    rows = files.read_csv(t.spark, path)
+    rows = profile.issues(rows.toDF(*[c.replace(".", "_") for c in rows.columns]), header=header)
     return rows.where("id = 'duplicate_columns'").select("id", "affected_count")
 
 
@@ -340,9 +345,12 @@ def _(t):
     ('value', 'numeric'), ('props', 'categorical')) v("column", role)""",
 )
 def _(t):
-    # The roles come from the schema; the join with present values keeps the work on the table.
-    roles = profile.schema_roles(t.events)
-    counts = profile.column_counts(t.events).where(F.col("rows") > F.col("missing"))
+    # Names and kinds come from a written file, kinds from all its values.
+    folder = scratch(t, "roles")
+    files.write_csv(t.events.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")), folder)
+    events = files.infer_types(files.read_csv(t.spark, folder))
+    roles = profile.schema_roles(events)
+    counts = profile.column_counts(events).where(F.col("rows") > F.col("missing"))
     role = F.create_map(*[F.lit(x) for pair in roles.items() for x in pair])[F.col("column")]
     return counts.select("column", role.alias("role"))
 
@@ -354,7 +362,7 @@ def _(t):
 def _(t):
     from grainmill.operators.geo import geo_columns
 
-    rows = t.customer.select("c_custkey", F.col("c_nationkey").alias("c_region"), F.col("c_name").alias("city_name"))
+    rows = files.read_csv(t.spark, with_header(t, t.customer.select("c_custkey", "c_nationkey", "c_name"), "c_custkey,c_region,city_name"))
     names = geo_columns(rows)
     return profile.column_counts(rows, names).select("column", "rows")
 

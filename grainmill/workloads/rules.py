@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from grainmill.functions.numbers import fixed
 from grainmill.operators import rules
+from grainmill.sources import files
+from grainmill.workloads.loading import scratch
 from grainmill.workloads.registry import Tables, fx, query
 
 LIMIT_SQL = " OR ".join(f"(v >= {limit} * 0.95 AND v < {limit})" for limit in rules.LIMITS)
@@ -180,7 +182,9 @@ def _(t):
     ('slow_fast_mover', FALSE, 'sku'), ('reorder_suggestion', FALSE, 'sku')) v(rule, ok, m))""",
 )
 def _(t):
-    rows = t.lineitem.select("l_quantity", "l_shipdate", "l_tax")
+    folder = scratch(t, "rules")
+    files.write_csv(t.lineitem.select("l_quantity", "l_shipdate", "l_tax"), folder)
+    rows = files.infer_types(files.read_csv(t.spark, folder))
     n = rows.agg(F.count(F.lit(1))).scalar()
     return rules.applicable(rows, "inventory").withColumn("rows", n)
 

@@ -1,9 +1,11 @@
 """Drift watch on events by day, as tables and as a stream."""
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import Window, functions as F
 
 from grainmill.functions.numbers import fixed
-from grainmill.operators import drift
+from grainmill.operators import drift, sketches
 from grainmill.operators.explore import missing_per_column
 from grainmill.streaming import watch
 from grainmill.workloads.loading import scratch
@@ -70,6 +72,48 @@ def _(t):
     return rows.select(day, "row_count", fixed(F.col("value_mean"), 5).alias("value_mean"))
 
 
+PROBABILITIES = {"p05": 0.05, "p50": 0.5, "p95": 0.95}
+
+
+def ranks_hold(estimates, values, on):
+    """Whether every estimate's exact rank among the values is as near to its probability as the sketch promises."""
+    slack = 3 * sketches.rank_error()  # three times the bound of 99 cases in 100
+    rows = estimates.join(values, on)
+    tests = [
+        (F.avg((F.col("v") < F.col(name)).cast("double")) <= p + slack) & (F.avg((F.col("v") <= F.col(name)).cast("double")) >= p - slack)
+        for name, p in PROBABILITIES.items()
+    ]
+    return rows.groupBy(*on, "n").agg(reduce(lambda a, b: a & b, tests).alias("within"))
+
+
+@query(
+    "z01_sketched_days",
+    "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS snapshot, COUNT(value) AS n, COUNT(value) > 0 AS within FROM events GROUP BY 1",
+)
+def _(t):
+    """Approximate quantiles of every day from one pass, held against the exact ranks."""
+    rows = t.events.select(F.to_date("ts").cast("string").alias("snapshot"), F.col("value").alias("v"))
+    return ranks_hold(sketches.approximate_quantiles(rows, ["snapshot"], "v", PROBABILITIES), rows, ["snapshot"])
+
+
+@query(
+    "k05_sketched_weeks",
+    """WITH d AS (SELECT CAST(ts AS DATE) AS day, COUNT(value) AS n FROM events GROUP BY 1)
+    SELECT CAST(day AS VARCHAR) AS snapshot, CAST(SUM(n) OVER (ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS BIGINT) AS n, n > 0 AS within FROM d""",
+)
+def _(t):
+    """Sketches stored per day; each seven days' quantiles are merged from them without reading events again."""
+    folder, day = scratch(t, "sketches"), F.to_date("ts")
+    sketches.value_sketches(t.events.withColumn("day", day), ["day"], ["value"]).write.parquet(folder)
+    weeks = sketches.rolling(t.spark.read.parquet(folder), "day", ["value"], 7)
+    found = weeks.select(F.col("day").cast("string").alias("snapshot"), sketches.count("value").alias("n"), *[sketches.estimate("value", p).alias(n) for n, p in PROBABILITIES.items()])
+    days = t.events.select(day.alias("day")).distinct()
+    place = days.select("day", F.row_number().over(Window.orderBy("day")).alias("at"))  # one row per day
+    spread = place.select(F.col("day").alias("_day"), F.explode(F.sequence("at", F.col("at") + 6)).alias("at")).join(place, "at")
+    values = t.events.join(spread, day == F.col("_day")).select(F.col("day").cast("string").alias("snapshot"), F.col("value").alias("v"))
+    return ranks_hold(found, values, ["snapshot"])
+
+
 @query(
     "z02_baseline_store",
     f"""WITH {DRIFT}, f AS (SELECT * FROM days ORDER BY day LIMIT 1)

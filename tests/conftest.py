@@ -9,9 +9,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 @pytest.fixture(scope="session")
 def spark():
-    from grainmill.session import local_session
+    from grainmill.session import clear_scratch, local_session
 
     session = local_session(8, "grainmill-tests")
     yield session
+    clear_scratch(session)
     session.stop()
 

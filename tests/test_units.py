@@ -335,7 +335,8 @@ def test_nested_json(spark, tmp_path):
     landed = tmp_path / "landed"
     landed.mkdir()
     (landed / "119551.json").write_text('{"data": [{"date": "05-01-2024", "nav": "10.5"}]}')
-    assert [tuple(r) for r in nested.read_landed(spark, str(landed)).collect()] == [("119551", "05-01-2024", "10.5")]
+    rows = nested.read_landed(spark, str(landed), "date string, nav string").rows
+    assert [tuple(r) for r in rows.collect()] == [("119551", "05-01-2024", "10.5")]
 
 
 def test_database_guard():
