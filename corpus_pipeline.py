@@ -6,12 +6,10 @@ stage's documents. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from grainmill.llm import jaccard, mixing, packing, pii, queries, toxicity
-from grainmill.session import checkpoint_dir
+from grainmill.session import delete_folder, scratch_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 TOXIC = 0.7
@@ -70,13 +68,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what passes between them is written to the shared checkpoint folder."""
-    folder = f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
-    docs = queries.documents(spark, sf_dir)
+    """All stages over documents; what passes between them is written to the shared checkpoint folder.
+
+    A stage's documents are deleted when the next one's are written; the last ones, which the result reads, by
+    `session.clear_scratch`.
+    """
+    docs, before = queries.documents(spark, sf_dir), None
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
-            path = f"{folder}/{number}"
+            path = scratch_folder(spark, f"corpus-{number}")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:
+                delete_folder(spark, before)
+            before = path
     return docs
