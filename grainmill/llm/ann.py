@@ -23,7 +23,8 @@ from grainmill.llm.topk import usable
 SAMPLE_ROWS = 20_000
 PART_ROWS = 8192
 FIRST_ROWS = 256
-COLUMNS = 16
+QUERY_ROWS = 64  # queries whose first column block is multiplied at once
+COLUMNS = 32
 EPSILON = 1.2  # of the hypothesis test; larger drops fewer candidates
 SEED = 17
 
@@ -50,35 +51,42 @@ def augmented(x: np.ndarray, largest: float, turn: np.ndarray) -> np.ndarray:
     return np.column_stack([x, rest]) @ turn
 
 
-def scan_list(rows: np.ndarray, query: np.ndarray, k: int, columns: int, epsilon: float) -> tuple[np.ndarray, int]:
+def first_block(rows: np.ndarray, queries: np.ndarray, columns: int) -> np.ndarray:
+    """Partial distances over the first columns, of every query (row) to every row."""
+    x, q = rows[:, :columns], queries[:, :columns]
+    return (q * q).sum(1)[:, None] - 2 * q @ x.T + (x * x).sum(1)
+
+
+def scan_list(
+    rows: np.ndarray, query: np.ndarray, k: int, columns: int, epsilon: float, first: np.ndarray
+) -> tuple[np.ndarray, int]:
     """Positions of rows that may be among the k nearest to the query, and how many components were looked at.
 
-    The first rows are measured whole and give the bar; the rest are dropped block by block of columns.
+    The rows nearest over the `first` columns are measured whole and give the bar; the others are dropped block by
+    block of columns.
     """
     n, dim = rows.shape
     head = min(n, max(FIRST_ROWS, k))
-    near = ((rows[:head] - query) ** 2).sum(1)
+    order = np.argpartition(first, head - 1) if head < n else np.arange(n)
+    near = ((rows[order[:head]] - query) ** 2).sum(1)
     bar = np.partition(near, k - 1)[k - 1] if head >= k else np.inf
-    kept, looked = [np.flatnonzero(near <= bar)], head * dim
-    for start in range(head, n, 2048):
-        alive = np.arange(start, min(start + 2048, n))
-        partial = np.zeros(len(alive))
+    kept, looked = [order[:head][near <= bar]], head * dim
+    if head < n:
+        alive = order[head:]
+        partial, looked = first[alive], looked + len(alive) * columns
         for at in range(0, dim, columns):
             to = min(at + columns, dim)
-            block = rows[alive, at:to] - query[at:to]
-            partial = partial + (block * block).sum(1)
-            looked += block.size
-            limit = bar if to == dim else bar * (to / dim) * (1 + epsilon / np.sqrt(to)) ** 2
+            if at:
+                block = rows[alive, at:to] - query[at:to]
+                partial = partial + (block * block).sum(1)
+                looked += block.size
+            slack = 1 + 1e-9  # for rounding in `first`
+            limit = bar * slack if to == dim else bar * slack * (to / dim) * (1 + epsilon / np.sqrt(to)) ** 2
             keep = partial <= limit
             alive, partial = alive[keep], partial[keep]
             if not len(alive):
                 break
-        if len(alive):
-            kept.append(alive)
-            near = np.concatenate([near, partial])
-            if len(near) >= k:
-                near = np.partition(near, k - 1)[:k]
-                bar = near[k - 1]
+        kept.append(alive)
     return np.concatenate(kept), looked
 
 
@@ -197,18 +205,22 @@ def _nearest(
     )
 
     def scan(key, left, right):
-        found = []
+        asking, found, scored = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if len(left) and len(right):
             ids, x = left["id"].to_numpy(), np.array(left["v"].tolist(), np.float64)
-            t = np.array(left["t"].tolist(), np.float64)
-            for query_id, v, turned_query in zip(right["id"], right["v"], right["t"]):
-                others = ids != query_id
-                near, _ = scan_list(t[others] if not others.all() else t, turned_query, k, COLUMNS, EPSILON)
-                near = np.flatnonzero(others)[near]
+            t, turned = np.array(left["t"].tolist(), np.float64), np.array(right["t"].tolist(), np.float64)
+            for at, (query_id, v) in enumerate(zip(right["id"].tolist(), right["v"])):
+                if at % QUERY_ROWS == 0:
+                    firsts = first_block(t, turned[at : at + QUERY_ROWS], COLUMNS)
+                own = ids == query_id
+                near, _ = scan_list(t, turned[at], k + int(own.sum()), COLUMNS, EPSILON, firsts[at % QUERY_ROWS])
+                near = near[~own[near]]
                 scores = x[near] @ v
                 best = np.lexsort((ids[near], -scores))[:k]
-                found.append(pd.DataFrame({"query_id": query_id, "id": ids[near][best], "score": scores[best]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64"})
+                asking.append(np.full(len(best), query_id))
+                found.append(ids[near][best])
+                scored.append(scores[best])
+        return pd.DataFrame({"query_id": np.concatenate(asking), "id": np.concatenate(found), "score": np.concatenate(scored)})
 
     best = dealt.groupBy("part").cogroup(asked.groupBy("part")).applyInPandas(
         scan, "query_id bigint, id bigint, score double"
