@@ -18,21 +18,30 @@ TRUE_WORDS = ("yes", "y", "1", "true", "t")
 FALSE_WORDS = ("no", "n", "0", "false", "f")
 
 
+# Every text that the cast reads as a double, and few others.
+NUMERIC = r"^[+-]?(?:[0-9.]+(?:[eE][+-]?[0-9]+)?[dDfF]?|0[xX].*|(?i:inf|infinity|nan))$"
+
+
+def read_double(c: Column) -> Column:
+    """Stripped text to double, null where it is no number. The pattern is asked first, as a failed cast costs an exception."""
+    return F.when(c.rlike(NUMERIC), c.try_cast("double"))
+
+
 def to_double(c: Column) -> Column:
     """Plain conversion; null when the text is not a number."""
-    return strip(c).try_cast("double")
+    return read_double(strip(c))
 
 
 def to_number(c: Column) -> Column:
     """Text to double: currency, percent, commas and spaces dropped, `(1,250)` read as -1250, failures null."""
     cleaned = F.regexp_replace(c, NUMBER_NOISE, "")
     negative = F.regexp_replace(cleaned, r"^\((.*)\)$", "-$1")
-    return negative.try_cast("double")
+    return read_double(negative)
 
 
 def to_number_plain(c: Column) -> Column:
     """Text to double without the parenthesis rule, with the longer list of currency signs."""
-    return F.regexp_replace(c, CURRENCY_NOISE, "").try_cast("double")
+    return read_double(F.regexp_replace(c, CURRENCY_NOISE, ""))
 
 
 def to_integer(c: Column) -> Column:

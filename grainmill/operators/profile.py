@@ -2,7 +2,7 @@
 
 Three passes serve all detectors, whatever the number of columns:
 
-* one wide aggregate for everything that is a count per column,
+* one unpivot and aggregate for everything that is a count per column,
 * one unpivot and shuffle of (column, value) for distinct counts, repeats, spellings and typos,
 * one shuffle of row fingerprints for exact and near duplicates.
 
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from grainmill.functions import text
 from grainmill.functions.dates import parse_mixed
-from grainmill.functions.numbers import to_double
+from grainmill.functions.numbers import read_double
 from grainmill.functions.stats import count_if
 from grainmill.operators.dedup import near_duplicate_count
 from grainmill.operators.explore import melt_row, numeric_columns, similar_pairs, text_columns
@@ -65,67 +65,75 @@ def kind_of(stripped: Column, moment: Column) -> Column:
     )
 
 
-def column_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row per column with every per-column count the detectors use; null where a count does not apply."""
-    columns = list(columns or df.columns)
-    frames = [_column_counts(df, columns[i : i + 15]) for i in range(0, len(columns), 15)]
-    return reduce(DataFrame.unionByName, frames)
-
-
 COUNT_NAMES = (
     "rows", "missing", "blanks", "spaced", "multi_spaced", "control", "numeric", "kinds", "bad_dates", "odd_years",
-    "bad_emails", "bad_phones", "bad_urls", "negatives",
+    "bad_emails", "bad_phones", "bad_urls", "negatives", "present", "bools", "dates", "marked",
 )
 
 
-def _column_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    texts = set(text_columns(df))
-    numbers = set(numeric_columns(df))
+def column_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """One row per column with every per-column count the detectors use; null where a count does not apply.
+
+    Every cell becomes a row of one form, so the tests are written and compiled once, not once per column: a wide
+    aggregate of all columns outgrows what the virtual machine compiles. Counts combine before the shuffle.
+    """
+    columns = list(columns or df.columns)
+    texts, numbers = set(text_columns(df)), set(numeric_columns(df))
     roles = {
-        "date": set(named(columns, DATE_WORDS)),
-        "email": set(named(columns, EMAIL_WORDS)),
-        "phone": set(named(columns, PHONE_WORDS)),
-        "url": set(named(columns, URL_WORDS)),
-        "positive": set(named(columns, POSITIVE_WORDS)),
+        "date": set(named(columns, DATE_WORDS)) - numbers,
+        "email": set(named(columns, EMAIL_WORDS)) & texts,
+        "phone": set(named(columns, PHONE_WORDS)) & texts,
+        "url": set(named(columns, URL_WORDS)) & texts,
+        "positive": set(named(columns, POSITIVE_WORDS)) & numbers,
     }
-    # Stripping and date parsing happen once per cell, below the aggregate that uses them several times.
-    prepared = [F.col(c) for c in columns]
-    for c in columns:
-        if c in texts:
-            prepared += [text.strip(F.col(c)).alias(f"{c}|s"), parse_mixed(F.col(c)).alias(f"{c}|d")]
-    data = df.select(*prepared)
-    kinds = {f"{c}|k": kind_of(F.lower(F.col(f"`{c}|s`")), F.col(f"`{c}|d`")) for c in columns if c in texts}
-    data = data.withColumns(kinds) if kinds else data
-    aggregates, fields = [F.count(F.lit(1)).alias("rows")], {}
+    moments = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))}
+    cells = []
     for c in columns:
-        v = F.col(c)
-        present = v.isNotNull()
-        found: dict[str, Column] = {"missing": count_if(v.isNull())}
-        stripped, parsed = F.col(f"`{c}|s`"), F.col(f"`{c}|d`")
-        if c in texts:
-            found["blanks"] = count_if(stripped == "")
-            found["spaced"] = count_if(stripped != v)
-            found["multi_spaced"] = count_if(v.rlike(r"\s{2,}"))
-            found["control"] = count_if(v.rlike(text.CONTROL))
-            found["numeric"] = F.count(stripped.try_cast("double"))
-            # Flags instead of a set keep the whole aggregate in generated code.
-            seen = [F.max(F.when(F.col(f"`{c}|k`") == k, 1).otherwise(0)) for k in KINDS]
-            found["kinds"] = reduce(lambda a, b: a + b, seen)
-            found["bad_emails"] = count_if(present & ~v.rlike(EMAIL_PATTERN)) if c in roles["email"] else F.lit(None)
-            found["bad_phones"] = count_if(present & ~v.rlike(PHONE_PATTERN)) if c in roles["phone"] else F.lit(None)
-            found["bad_urls"] = count_if(present & ~v.rlike(URL_PATTERN)) if c in roles["url"] else F.lit(None)
-        if c in roles["date"] and not isinstance(df.schema[c].dataType, T.NumericType):
-            moment = parsed if c in texts else v
-            found["bad_dates"] = count_if(present & moment.isNull())
-            found["odd_years"] = count_if((F.year(moment) < 1800) | (F.year(moment) > 2100))
-        if c in roles["positive"] and c in numbers:
-            found["negatives"] = count_if(v < 0)
-        fields[c] = {"rows": "rows"}
-        for name in COUNT_NAMES[1:]:
-            value = found.get(name, F.lit(None)).cast("long")
-            aggregates.append(value.alias(f"{c}|{name}"))
-            fields[c][name] = f"{c}|{name}"
-    return melt_row(data.agg(*aggregates), fields)
+        v = F.col(f"`{c}`")
+        cells.append(
+            F.struct(
+                F.lit(c).alias("column"),
+                v.isNotNull().alias("there"),
+                (v if c in texts else F.lit(None)).cast("string").alias("v"),
+                (F.year(v) if c in moments else F.lit(None)).cast("int").alias("year"),
+                (v < 0 if c in roles["positive"] else F.lit(None)).cast("boolean").alias("negative"),
+                *[F.lit(c in roles[r]).alias(r) for r in ("date", "email", "phone", "url")],
+            )
+        )
+    rows = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    v = F.col("v")
+    rows = rows.withColumns({"s": text.strip(v), "d": parse_mixed(v)})
+    rows = rows.withColumns({"low": F.lower("s"), "year": F.coalesce("year", F.year("d"))}).withColumn("kind", kind_of(F.col("low"), F.col("d")))
+    there, s, written = F.col("there"), F.col("s"), F.col("v").isNotNull()
+    seen = [F.max(F.when(F.col("kind") == k, 1).otherwise(0)) for k in KINDS]
+    found = {
+        "rows": F.count(F.lit(1)),
+        "missing": count_if(~there),
+        "blanks": count_if(s == ""),
+        "spaced": count_if(s != v),
+        "multi_spaced": count_if(v.rlike(r"\s{2,}")),
+        "control": count_if(v.rlike(text.CONTROL)),
+        "numeric": F.count(read_double(s)),
+        "kinds": reduce(lambda a, b: a + b, seen),
+        "bad_dates": count_if(F.col("date") & there & F.col("year").isNull()),
+        "odd_years": count_if(F.col("date") & ((F.col("year") < 1800) | (F.col("year") > 2100))),
+        "bad_emails": count_if(F.col("email") & written & ~v.rlike(EMAIL_PATTERN)),
+        "bad_phones": count_if(F.col("phone") & written & ~v.rlike(PHONE_PATTERN)),
+        "bad_urls": count_if(F.col("url") & written & ~v.rlike(URL_PATTERN)),
+        "negatives": count_if(F.col("negative")),
+        "present": count_if(there),
+        "bools": count_if(F.col("low").isin(*BOOLEAN_TEXTS)),
+        "dates": F.count("d"),
+        "marked": count_if(F.col("low").rlike("[-/:]")),
+    }
+    counted = rows.groupBy("column").agg(*[value.cast("long").alias(name) for name, value in found.items()])
+    # A count is null for columns that its test is not for.
+    column = F.col("column")
+    of_text = ("blanks", "spaced", "multi_spaced", "control", "numeric", "kinds", "bools", "dates", "marked")
+    meant = {name: texts for name in of_text} | {"bad_dates": roles["date"], "odd_years": roles["date"], "negatives": roles["positive"]}
+    meant |= {"bad_emails": roles["email"], "bad_phones": roles["phone"], "bad_urls": roles["url"]}
+    kept = [F.when(column.isin(*meant[n]), F.col(n)).alias(n) if n in meant else F.col(n) for n in COUNT_NAMES]
+    return counted.select("column", *kept)
 
 
 def outlier_counts(df: DataFrame, columns: Sequence[str] | None = None, reach: float = 1.5) -> DataFrame:
@@ -239,9 +247,8 @@ def issues(
     """
     data = df.drop(*ignore)
     columns = data.columns
-    counts = column_counts(data)
     parts = [
-        _per_column_issues(counts, len(columns)),
+        _flatten(column_counts(data), _column_cells(len(columns))),
         _outlier_issues(data),
         _value_issues(data, categories),
         _row_issues(data),
@@ -291,7 +298,8 @@ def _flatten(rows: DataFrame, cells: Sequence[Column], column: Column | None = N
     )
 
 
-def _per_column_issues(counts: DataFrame, width: int) -> DataFrame:
+def _column_cells(width: int) -> list[Column]:
+    """Issues of a row of `column_counts`."""
     rows = F.col("rows")
     pct = lambda name: percent(F.col(name), rows)
     present = rows - F.col("missing")
@@ -299,7 +307,7 @@ def _per_column_issues(counts: DataFrame, width: int) -> DataFrame:
     odd = F.col("bad_dates") + F.col("odd_years")
     # A column whose values read as several kinds; int beside float is one kind.
     mixed = F.when((F.col("kinds") > 1) & (F.col("numeric") < present), F.col("kinds"))
-    cells = [
+    return [
         _issue("missing_values", F.when(pct("missing") > 30.0, "critical").otherwise("warning"), F.col("missing"), pct("missing"), "null"),
         _issue("blank_strings", "warning", F.col("blanks"), pct("blanks"), "blank text"),
         _issue("mixed_types", "critical", mixed, percent(mixed, F.lit(width)), "several kinds of value"),
@@ -314,7 +322,6 @@ def _per_column_issues(counts: DataFrame, width: int) -> DataFrame:
         _issue("url_pattern", "warning", F.col("bad_urls"), pct("bad_urls"), "not a web address"),
         _issue("business_rules", "warning", F.col("negatives"), pct("negatives"), "negative number"),
     ]
-    return _flatten(counts, cells)
 
 
 def _outlier_issues(df: DataFrame) -> DataFrame | None:
@@ -325,34 +332,39 @@ def _outlier_issues(df: DataFrame) -> DataFrame | None:
     return _flatten(rows, [_issue("outliers", "warning", F.col("outside"), percent(F.col("outside"), F.col("rows")), example)])
 
 
-def _value_issues(df: DataFrame, categories: int | None) -> DataFrame | None:
-    texts, keys = text_columns(df), named(df.columns, KEY_WORDS)
-    if not texts and not keys:
-        return None
+def valued_columns(df: DataFrame) -> list[str]:
+    """Columns whose values are counted: texts and keys."""
+    return list(dict.fromkeys([*text_columns(df), *named(df.columns, KEY_WORDS)]))
+
+
+def _value_cells(df: DataFrame) -> list[Column]:
+    """Issues of a row of `value_stats`."""
     total = df.agg(F.count(F.lit(1))).scalar()
-    stats = value_stats(df, list(dict.fromkeys([*texts, *keys])))
-    is_key, is_text = F.col("column").isin(*keys), F.col("column").isin(*texts)
+    is_key, is_text = F.col("column").isin(*named(df.columns, KEY_WORDS)), F.col("column").isin(*text_columns(df))
     repeated = F.when(is_key, F.col("repeated"))
     variants = F.when(is_text, F.col("case_variants"))
     clash = F.concat_ws(" / ", "clash.a", "clash.b")
-    parts = [
-        _flatten(
-            stats,
-            [
-                _issue("uniqueness_violations", "critical", repeated, percent(repeated, total), "repeated key"),
-                _issue("case_inconsistent", "warning", variants, percent(variants, F.col("trimmed_values")), clash),
-            ],
-        )
+    return [
+        _issue("uniqueness_violations", "critical", repeated, percent(repeated, total), "repeated key"),
+        _issue("case_inconsistent", "warning", variants, percent(variants, F.col("trimmed_values")), clash),
     ]
-    if texts:
-        pairs = typo_pairs(df, texts, categories)
-        grouped = pairs.groupBy("column", "k").agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.concat_ws(" vs ", "first", "second")).alias("e")
-        )
-        parts.append(
-            _flatten(grouped, [_issue("category_inconsistent", "warning", F.col("n"), percent(F.col("n"), F.col("k")), F.col("e"))])
-        )
-    return reduce(DataFrame.unionByName, parts)
+
+
+def _typo_issues(df: DataFrame, categories: int | None) -> DataFrame | None:
+    if not text_columns(df):
+        return None
+    grouped = typo_pairs(df, text_columns(df), categories).groupBy("column", "k").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.concat_ws(" vs ", "first", "second")).alias("e")
+    )
+    return _flatten(grouped, [_issue("category_inconsistent", "warning", F.col("n"), percent(F.col("n"), F.col("k")), F.col("e"))])
+
+
+def _value_issues(df: DataFrame, categories: int | None) -> DataFrame | None:
+    if not valued_columns(df):
+        return None
+    found = _flatten(value_stats(df, valued_columns(df)), _value_cells(df))
+    typos = _typo_issues(df, categories)
+    return found if typos is None else found.unionByName(typos)
 
 
 def row_counts(df: DataFrame) -> DataFrame:
@@ -419,23 +431,11 @@ def compare_health(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def detected_types(df: DataFrame) -> DataFrame:
     """Per column: empty, boolean, number, date, mixed or text, decided from counts of what its values read as."""
-    texts = text_columns(df)
-    aggregates, fields = [F.count(F.lit(1)).alias("rows")], {}
-    for c in df.columns:
-        found = {"present": F.count(c)}
-        if c in texts:
-            v, low = F.col(c), F.lower(text.strip(F.col(c)))
-            found |= {
-                "bools": count_if(low.isin(*BOOLEAN_TEXTS)),
-                "numerics": F.count(to_double(v)),
-                "dates": F.count(parse_mixed(v)),
-                "marked": count_if(low.rlike("[-/:]")),
-            }
-        fields[c] = {"rows": "rows"}
-        for name in ("present", "bools", "numerics", "dates", "marked"):
-            aggregates.append(found.get(name, F.lit(None)).cast("long").alias(f"{c}|{name}"))
-            fields[c][name] = f"{c}|{name}"
-    counts = melt_row(df.agg(*aggregates), fields)
+    return column_counts(df).select("column", "rows", "present", _detected(df).alias("detected"))
+
+
+def _detected(df: DataFrame) -> Column:
+    """The kind that a row of `column_counts` speaks for."""
     declared = {
         f.name: "boolean" if isinstance(f.dataType, T.BooleanType)
         else "date" if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
@@ -447,32 +447,47 @@ def detected_types(df: DataFrame) -> DataFrame:
     by_schema = F.lit(None).cast("string")
     for c, k in known.items():
         by_schema = F.when(F.col("column") == c, k).otherwise(by_schema)
-    present, marked = F.col("present"), F.col("marked") > 0
+    present, marked, numbers = F.col("present"), F.col("marked") > 0, F.col("numeric")
     by_values = (
         F.when(F.col("bools") == present, "boolean")
-        .when(F.col("numerics") == present, "number")
+        .when(numbers == present, "number")
         .when(marked & (F.col("dates") == present), "date")
-        .when(F.col("numerics") > 0, "mixed")
+        .when(numbers > 0, "mixed")
         .when(marked & (F.col("dates") > 0), "mixed")
         .otherwise("text")
     )
-    return counts.select(
-        "column", "rows", "present", F.when(present == 0, "empty").otherwise(F.coalesce(by_schema, by_values)).alias("detected")
-    )
+    return F.when(present == 0, "empty").otherwise(F.coalesce(by_schema, by_values))
 
 
-def column_report(df: DataFrame, found: DataFrame) -> DataFrame:
-    """Per column: detected type, missing cells (blanks included for text), repeated values, issues, status."""
-    types = detected_types(df)
-    blanks = column_counts(df).select("column", "missing", F.coalesce("blanks", F.lit(0)).alias("blanks"))
-    repeats = distinct_counts(df, df.columns).select("column", "repeated")
-    per_column = found.where(F.col("column").isNotNull()).groupBy("column").agg(F.count(F.lit(1)).alias("issues"))
-    rows = (
-        types.join(blanks, "column")
-        .join(repeats, "column", "left")
-        .join(per_column, "column", "left")
-        .withColumns({"repeated": F.coalesce("repeated", F.lit(0)), "issues": F.coalesce("issues", F.lit(0))})
-    )
+def column_report(df: DataFrame) -> DataFrame:
+    """Per column: detected type, missing cells (blanks included for text), repeated values, issues, status.
+
+    The issues are those of `issues` that concern a column. Counts and value statistics are read once each, for the
+    figures and the issues alike; whole-row checks are not made.
+    """
+
+    def many(cells: list[Column]) -> Column:
+        return reduce(lambda a, b: a + b, [F.when(c.getField("affected_count") > 0, 1).otherwise(0) for c in cells])
+
+    rows = column_counts(df).select(
+        "column", "rows", "missing", F.coalesce("blanks", F.lit(0)).alias("blanks"),
+        _detected(df).alias("detected"), many(_column_cells(len(df.columns))).alias("i0"),
+    )
+    valued = valued_columns(df)
+    rest = [c for c in df.columns if c not in valued]
+    repeats = []
+    if valued:
+        repeats.append(value_stats(df, valued).select("column", "repeated", many(_value_cells(df)).alias("i1")))
+    if rest:
+        repeats.append(distinct_counts(df, rest).select("column", "repeated", F.lit(0).alias("i1")))
+    rows = rows.join(reduce(DataFrame.unionByName, repeats), "column", "left")
+    for name, part in (("i2", _outlier_issues(df)), ("i3", _typo_issues(df, None))):
+        if part is None:
+            rows = rows.withColumn(name, F.lit(0))
+        else:
+            rows = rows.join(part.groupBy("column").agg(F.count(F.lit(1)).alias(name)), "column", "left")
+    issues_found = reduce(lambda a, b: a + b, [F.coalesce(f"i{k}", F.lit(0)) for k in range(4)])
+    rows = rows.withColumns({"repeated": F.coalesce("repeated", F.lit(0)), "issues": issues_found.cast("long")})
     missing = F.col("missing") + F.when(F.col("detected").isin("text", "mixed"), F.col("blanks")).otherwise(0)
     pct = percent(missing, F.col("rows"))
     status = (

@@ -135,11 +135,24 @@ def _(t):
     )
 
 
-@query("u02_alpha_beta_p_value")
+@query(
+    "u02_alpha_beta_p_value",
+    # P(|T| <= t) is an integral of a power of the cosine up to atan(t / sqrt(df)), here by Simpson's rule.
+    f"""WITH {RETS}, {IDX}, j AS (SELECT r.fund, r.ret AS y, i.index_ret AS x FROM rets r JOIN idx i ON r.date = i.date
+      WHERE i.index_ret IS NOT NULL),
+    m AS (SELECT fund, REGR_SLOPE(y, x) AS b, REGR_R2(y, x) AS r2, REGR_SXX(y, x) AS sxx, REGR_SYY(y, x) AS syy, COUNT(*) AS n
+      FROM j GROUP BY fund HAVING COUNT(*) >= 30),
+    t AS (SELECT fund, b, b / SQRT((1 - r2) * syy / sxx / (n - 2)) AS t, n - 2 AS df FROM m),
+    s AS (SELECT fund, ATAN(ABS(t) / SQRT(df)) / 2000 AS h, SUM(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+      * POW(COS(i * ATAN(ABS(t) / SQRT(df)) / 2000), df - 1)) AS w FROM t, UNNEST(RANGE(2001)) u(i) GROUP BY ALL)
+    SELECT fund, {fx('b', 6)} AS beta, {fx('t', 4)} AS t_value,
+    {fx('1 - 2 * EXP(LGAMMA((df + 1) / 2) - LGAMMA(df / 2)) / SQRT(PI()) * w * h / 3', 6)} AS p_value FROM t JOIN s USING (fund)""",
+)
 def _(t):
     rows = fa.alpha_beta(rets(t), index_returns(t), "fund")
     p = t_two_sided(F.col("t_value"), (F.col("n") - 2).cast("double"))
-    return rows.select("fund", "beta", "t_value", p.alias("p_value"))
+    digits = {"beta": F.col("beta"), "t_value": F.col("t_value"), "p_value": p}
+    return rows.select("fund", *[fixed(c, 4 if name == "t_value" else 6).alias(name) for name, c in digits.items()])
 
 
 @query(

@@ -320,7 +320,7 @@ def _report_sql() -> str:
 @query("p02_column_report", _report_sql())
 def _(t):
     rows = dirty_orders(t)
-    return profile.column_report(rows, profile.issues(rows)).drop("missing_pct")
+    return profile.column_report(rows).drop("missing_pct")
 
 
 def _text_role(c: str) -> str:

@@ -215,8 +215,7 @@ def _(t):
 def _(t):
     label = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus"))
     rows = t.orders.select("o_custkey", "o_totalprice", label.alias("label"))
-    found = profile.issues(rows)
-    return changelog.issue_report(profile.column_report(rows, found)).select("column", "status")
+    return changelog.issue_report(profile.column_report(rows)).select("column", "status")
 
 
 @query(
