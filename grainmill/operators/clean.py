@@ -184,7 +184,7 @@ def fill_direction(
     filled = ordered.fill(df, columns, order, keys, direction)
     after = filled.agg(F.struct(*[count_if(F.col(c).isNull()).alias(c) for c in columns]).alias("s")).scalar()
     done = [count_if(_missing(df, c)) - F.first(after.getField(c)) for c in columns]
-    return Cleaned(filled, df.agg(_total(done, "cells_filled")))
+    return Cleaned(filled, df.agg(_total(done).alias("cells_filled")))
 
 
 def drop_rows_missing(df: DataFrame, column: str) -> Cleaned:

@@ -47,8 +47,10 @@ def first_lines(spark: SparkSession, paths: str | Sequence[str], encoding: str =
 
     Every file is a task that stops at its first line, so a large file costs no more than a small one.
     """
+    name = encoding.upper().replace("_", "-")
+    width = 2 if name.startswith("UTF-16") else 4 if name.startswith("UTF-32") else 1
     reader = spark.read
-    if encoding.upper().replace("_", "-").startswith(("UTF-16", "UTF-32")):
+    if width > 1 and name.endswith(("LE", "BE")):
         reader = reader.option("encoding", encoding).option("lineSep", "\n")  # line ends of several bytes
     lines = reader.text([paths] if isinstance(paths, str) else list(paths)).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("line")
@@ -62,8 +64,12 @@ def first_lines(spark: SparkSession, paths: str | Sequence[str], encoding: str =
 
     with _file_per_partition(spark):
         found = lines.mapInArrow(first, "path string, line binary").collect()
-    texts = [(r["path"], bytes(r["line"]).decode(encoding, "replace").lstrip("\ufeff").rstrip("\r")) for r in found]
-    return sorted(texts)
+
+    def decoded(line: bytes) -> str:
+        # Where a mark at the file's start tells the byte order, lines end at a byte; what is left of the sign goes.
+        return line[: len(line) // width * width].decode(encoding, "replace").lstrip("\ufeff").rstrip("\r\n")
+
+    return sorted((r["path"], decoded(bytes(r["line"]))) for r in found)
 
 
 def headers(

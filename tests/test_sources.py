@@ -43,7 +43,7 @@ def test_a_large_file_is_not_read_whole(spark, tmp_path):
     with files._file_per_partition(spark):
         lines.mapInArrow(first, "value string").collect()
     assert 0 < reads.value <= 10_000  # of 3,600,001 lines
-    assert files.headers(spark, str(tmp_path), ";") == {f"file://{tmp_path}/large.csv": ("a", "b")}
+    assert list(files.headers(spark, str(tmp_path), ";").values()) == [("a", "b")]
     assert spark.conf.get("spark.sql.files.openCostInBytes") != str(files.WHOLE)
 
 
